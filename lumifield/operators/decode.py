@@ -48,6 +48,15 @@ def signal(
         F.when(bg > 0, (med - bg) / F.when(bg > 0, bg)).otherwise(0.0).alias("snr"), (med > level).alias("over"))
 
 
+def edge_snr(
+    sig: DataFrame, beads: DataFrame, max_size: int, margin: int = 40, by: Sequence[str] = ()
+) -> DataFrame:
+    """Older rule: the ratio is 0 for beads closer than ``margin`` to an edge."""
+    near = lambda c: (F.col(c) < margin) | (F.col(c) >= max_size - margin)
+    at = beads.select(*by, "bead_id", (near("x") | near("y")).alias("_edge"))
+    return sig.join(at, [*by, "bead_id"]).withColumn("snr", F.when(F.col("_edge"), 0.0).otherwise(F.col("snr"))).drop("_edge")
+
+
 def brightest(rank: str = "chan_rank", brightness: str = "brightness") -> Column:
     """Aggregate: position of the brightest channel, the first one on ties."""
     return F.max_by(rank, F.struct(F.col(brightness), -F.col(rank)))

@@ -54,8 +54,10 @@ def two_nearest(
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     q = attach(queries, parts, by, spread_by=("q_id",)).select(
         *by, "q_id", "q_vec", part_of("q_id", "_nq").alias("_q"), every("_nc").alias("_c"))
+    # the candidate side gets its own key names, so that both sides may come from one table
     c = attach(candidates, parts, by, spread_by=("c_id",)).select(
-        *by, "c_id", "c_vec", every("_nq").alias("_q"), part_of("c_id", "_nc").alias("_c"))
+        *[F.col(k).alias(f"{k}_c") for k in by], "c_id", "c_vec",
+        every("_nq").alias("_q_c"), part_of("c_id", "_nc").alias("_c_c"))
     fields = {f.name: f for f in queries.schema.fields}
     schema = T.StructType([
         *[fields[k] for k in by], fields["q_id"],
@@ -74,7 +76,7 @@ def two_nearest(
         return rows.assign(c_id=cs["c_id"].to_numpy()[idx].ravel(), dist=np.sqrt((diff * diff).sum(2)).ravel())
 
     keys = [*by, "_q", "_c"]
-    found = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(nearest, schema)
+    found = q.groupBy(*keys).cogroup(c.groupBy(*[f"{k}_c" for k in keys])).applyInPandas(nearest, schema)
     order = Window.partitionBy(*by, "q_id").orderBy("dist", "c_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2)
 

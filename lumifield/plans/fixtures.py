@@ -124,3 +124,53 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
         "CAST(CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'P' THEN 3 ELSE 0 END AS INT) AS working_ndim",
         "CASE WHEN o_orderpriority LIKE '5%' THEN '' ELSE 'changed_' END AS prefix",
         "CAST(90 + o_custkey % 11 AS INT) AS max_size")
+
+
+def listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths as two loads of a folder would list them: sub-folders and other endings included."""
+    once = _table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderstatus").selectExpr(
+        "concat('/d/', CASE WHEN o_custkey % 4 = 0 THEN 'sub/' ELSE '' END, 'c', o_orderkey, CASE o_custkey % 5"
+        " WHEN 0 THEN '.TIF' WHEN 1 THEN '.tiff' WHEN 2 THEN '.ome.tif' WHEN 3 THEN '.png' ELSE '.tif.bak' END) AS path",
+        "o_orderstatus = 'F' AS seen")
+    return once.unionAll(once)
+
+
+def stack_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Catalogue of the image's cycles: cycle 1 has a 2-D working image, cycle 2 a 3-D one."""
+    return pixels(spark, sf, channels=[0]).groupBy("cycle").agg(F.max("y").alias("last")).selectExpr(
+        "cycle", "concat('/d/c', cycle, '.ome.tif') AS path", "0 AS reference_channel", "cycle + (CASE WHEN cycle > 0 THEN 1 ELSE 0 END) AS working_ndim",
+        "CASE WHEN cycle = 1 THEN '' ELSE 'changed_' END AS prefix", "CAST(last - 8 * cycle AS INT) AS max_size")
+
+
+def working_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """Working images of cycles 1 (reference channel only) and 2 (all channels)."""
+    return pixels(spark, sf, [1], [0]).unionByName(pixels(spark, sf, [2])).selectExpr(
+        "y", "x", "cycle", "channel", "v div 2 + 7 AS v")
+
+
+def moving_stack(spark: SparkSession, sf: str) -> DataFrame:
+    """All channels of cycle 0, moved tile by tile as :func:`moving_pixels`; uncovered positions are 0."""
+    f = pixels(spark, sf, [0])
+    w = f.where("channel = 0").agg((F.max("y") + 1).alias("w")).scalar()
+    t = f.select("y", "x", "cycle", "channel", w.alias("w")).selectExpr(
+        "y", "x", "cycle", "channel",
+        "y - ((y*4 div w) % 3 - 1) AS fy", "x - ((x*4 div w) % 3 - 1) AS fx")
+    src = f.selectExpr("channel", "y AS fy", "x AS fx", "v")
+    return t.join(src, ["channel", "fy", "fx"], "left").select(
+        "y", "x", "cycle", "channel", F.coalesce("v", F.lit(0)).alias("v"))
+
+
+def descriptors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(fixed, moving) descriptor vectors per label: the given vectors, and the same ones disturbed."""
+    e = _table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    fixed = e.select("label", F.col("vec_id").alias("c_id"), F.col("embedding").cast("array<double>").alias("c_vec"))
+    bent = F.transform(F.col("embedding").cast("array<double>"), lambda v, i: v + 0.05 * ((F.col("vec_id") + i) % 5 - 2))
+    return fixed, e.select("label", F.col("vec_id").alias("q_id"), bent.alias("q_vec"))
+
+
+def point_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Point pairs per 40-pixel tile under a known affine map, one in nine far off."""
+    return beads(spark, sf).selectExpr(
+        "(y div 40)*1000 + x div 40 AS tile_id", "bead_id", "x", "y",
+        "1.01*x - 0.02*y + 3 + (bead_id % 7)/100D + CASE WHEN bead_id % 9 = 4 THEN 25 ELSE 0 END AS u",
+        "0.03*x + 0.98*y - 2 + (bead_id % 5)/100D AS v")
