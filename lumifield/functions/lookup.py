@@ -17,7 +17,7 @@ SPREAD = 16
 
 def attach(
     rows: DataFrame,
-    table: DataFrame,
+    table: DataFrame | tuple[DataFrame, int],
     on: Sequence[str],
     how: str = "inner",
     spread_by: Sequence[str] = ("y", "x"),
@@ -26,12 +26,12 @@ def attach(
 ) -> DataFrame:
     """Join a per-key side table (one row per key) to ``rows``.
 
-    The side table is stored and counted. Small: broadcast, so ``rows`` is not shuffled. Large: each
+    The side table is stored and counted, unless it comes as the pair that ``store`` returns. Small: broadcast, so ``rows`` is not shuffled. Large: each
     side row is copied ``spread`` times and ``rows`` choose a copy by a hash of ``spread_by``, so one
     hot key is shared out over that many tasks (AQE splits further what is still too big).
     """
     on = list(on)
-    side, n = store(table, "side")
+    side, n = table if isinstance(table, tuple) else store(table, "side")
     if n <= max_rows:
         return rows.join(F.broadcast(side), on, how)
     if spread <= 1 or not spread_by:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumifield.functions.storage import store
+
 
 def histogram(px: DataFrame, by: Sequence[str], value: str = "v") -> DataFrame:
     """Value counts of each plane: at most 65,536 rows per plane for 8- and 16-bit samples."""
@@ -36,7 +38,7 @@ def grouped_median(rows: DataFrame, by: Sequence[str], value: str, out: str) ->
     bins. Values are bounded by the sample depth, so the bins of a group are too.
     """
     by = list(by)
-    rows = rows.where(F.col(value).isNotNull()).withColumn("_bin", F.floor(value))
+    rows, _ = store(rows.where(F.col(value).isNotNull()).select(*by, value, F.floor(value).alias("_bin")), "values")
     bins = rows.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_n"))
     run = Window.partitionBy(*by).orderBy("_bin")
     ranked = bins.withColumn("_upto", F.sum("_n").over(run)).withColumn(
@@ -69,8 +71,6 @@ def running_index(
     The rows are range-sorted over the cluster and written once; each row then carries its
     position in its partition, and the (few) per-partition group counts give the offsets.
     """
-    from lumifield.functions.storage import store
-
     by = list(by)
     ordered = rows.orderBy(*by, *order).withColumn("_row", F.monotonically_increasing_id())
     stored, _ = store(ordered.withColumn("_part", F.spark_partition_id()), "ordered")

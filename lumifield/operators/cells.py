@@ -155,8 +155,8 @@ def nearest_site(
     return found
 
 
-def check_inputs(beads: DataFrame, labels: DataFrame, protein: DataFrame, code: DataFrame) -> None:
-    """Columns, types and non-emptiness of the four inputs."""
+def check_schema(beads: DataFrame, labels: DataFrame, protein: DataFrame, code: DataFrame) -> None:
+    """Columns and types of the four inputs; runs no job."""
     require(labels, "y", "x", "label", name="cell labels")
     require(protein, "y", "x", "v", name="protein image")
     require(beads, "x", "y", *code_columns(code), name="bead table")
@@ -166,9 +166,18 @@ def check_inputs(beads: DataFrame, labels: DataFrame, protein: DataFrame, code:
     wrong = [c for c in code_columns(code) if kinds[c] not in ("int", "bigint", "smallint", "tinyint")]
     if wrong:
         raise TypeError(f"colour code column(s) {', '.join(wrong)} must be whole numbers")
+
+
+def check_inputs(beads: DataFrame, labels: DataFrame, protein: DataFrame, code: DataFrame) -> None:
+    """Schema and non-emptiness of the four inputs."""
+    check_schema(beads, labels, protein, code)
     for name, df in (("cell labels", labels), ("bead table", beads), ("protein image", protein), ("colour code", code)):
-        if df.limit(1).count() == 0:
-            raise ValueError(f"{name} is empty")
+        _not_empty(name, 0 if df.isEmpty() else 1)
+
+
+def _not_empty(name: str, rows: int) -> None:
+    if rows == 0:
+        raise ValueError(f"{name} is empty")
 
 
 def cell_protein_values(
@@ -181,13 +190,16 @@ def cell_protein_values(
     """
     by = list(by)
     cols = code_columns(code)
-    names, _ = store(protein_names(code), "names")
-    coded = attach(beads.select(*by, "x", "y", *cols), names.select(*cols, "protein_idx"), cols, spread_by=("y", "x"))
+    names, n_names = store(protein_names(code), "names")
+    _not_empty("colour code", n_names)
+    coded = attach(
+        beads.select(*by, "x", "y", *cols), (names.select(*cols, "protein_idx"), n_names), cols, spread_by=("y", "x"))
     coded, _ = store(coded.select(*by, "x", "y", "protein_idx"), "coded")
     ok = in_bounds("x", "y", max_size, surround)
     in_cell = cell_of_beads(coded.where(ok), labels, by)
     cells = cell_centroids(labels, by) if centroids is None else centroids
-    cells, _ = store(cells, "cells")
+    cells, n_cells = store(cells, "cells")
+    _not_empty("cell labels", n_cells)
     own, _ = store(in_cell.select(*by, "label", "protein_idx", "x", "y"), "in_cell")
     used = own
     if impute:
@@ -195,8 +207,7 @@ def cell_protein_values(
         proteins = names.agg(F.collect_set("protein_idx")).scalar()
         wanted = cells.select(*by, "label", "gx", "gy", F.explode(proteins).alias("protein_idx"))
         gaps = wanted.join(own, [*by, "label", "protein_idx"], "left_anti")
-        near = nearest_site(gaps, coded, [*by, "label"], [*by, "protein_idx"]) if not by else nearest_site(
-            gaps, coded, ["label"], [*by, "protein_idx"])
+        near = nearest_site(gaps, coded, ["label"], [*by, "protein_idx"])
         used = own.unionByName(near.where(ok).select(*by, "label", "protein_idx", "x", "y"))
     values = bead_intensity(used, protein, radius, surround, by)
     joined = used.join(values, [*by, "x", "y"])
@@ -218,6 +229,6 @@ def build_cell_table(
 ) -> DataFrame:
     """Checks, then the whole wide table."""
     code = clean_color_code(code)
-    check_inputs(beads, labels, protein, code)
+    check_schema(beads, labels, protein, code)
     by = params.get("by", ())
     return cell_table(*cell_protein_values(beads, labels, protein, code, **params), by)

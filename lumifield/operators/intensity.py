@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lumifield.functions.constants import PALETTE
 from lumifield.functions.lookup import attach
 from lumifield.functions.stats import histogram, percentiles, plane_size, value_range
+from lumifield.functions.storage import store
 from lumifield.schemas import PLANE
 
 
@@ -135,7 +136,7 @@ def match_table(
     plane = [*cycle, channel]
     h = histogram(px, plane, value)
     run, whole = Window.partitionBy(*plane).orderBy(value), Window.partitionBy(*plane)
-    q = h.withColumn("q", F.sum("n").over(run) / F.sum("n").over(whole))
+    q, _ = store(h.withColumn("q", F.sum("n").over(run) / F.sum("n").over(whole)).drop("n"), "quantiles")
     first = q.groupBy(*cycle).agg(F.min(channel).alias("_template"))
     q = attach(q, first, cycle, spread_by=(value,))
     source = q.where(F.col(channel) != F.col("_template")).drop("_template")

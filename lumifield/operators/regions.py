@@ -33,10 +33,6 @@ def pixel_id(y: Column, x: Column) -> Column:
     return y * F.lit(ROW_STRIDE) + x
 
 
-def store_regions(df: DataFrame) -> DataFrame:
-    return store(df, "pixels")[0]
-
-
 def _label_block(pdf: pd.DataFrame) -> pd.DataFrame:
     """Label the pixels of one block: least pixel id over 8-neighbour steps, by pointer jumping."""
     ids = pdf["y"].to_numpy(np.int64) * ROW_STRIDE + pdf["x"].to_numpy(np.int64)

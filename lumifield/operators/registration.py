@@ -252,8 +252,13 @@ def carry_forward(
 
 
 def _sampled(targets: DataFrame, px: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Bilinear samples of ``px`` at (sy, sx); a corner outside [y0,y1) x [x0,x1) counts as 0."""
-    keys = [c for c in targets.columns if c not in ("sy", "sx", "y0", "y1", "x0", "x1")]
+    """Bilinear samples of ``px`` at (sy, sx) for every position of ``px``; 0 where there is no source.
+
+    targets: by, ty_, tx_ (the position), sy, sx, and the allowed source window [y0,y1) x [x0,x1). A
+    corner outside the window, or of weight 0, is not joined. Every position also enters the final
+    sum with 0, which saves joining the result back to the image.
+    """
+    keys = [*by, "ty_", "tx_"]
     # settle rounding noise so that whole-pixel shifts hit pixels exactly
     sy, sx = F.round("sy", 9), F.round("sx", 9)
     def axis(s: Column, lo: str, hi: str) -> Column:
@@ -267,7 +272,9 @@ def _sampled(targets: DataFrame, px: DataFrame, by: Sequence[str], value: str) -
         .select(*keys, F.col("_a.i").alias("y"), F.col("_b.i").alias("x"), (F.col("_a.k") * F.col("_b.k")).alias("_k"))
     )
     hit = corners.join(px.select(*by, "y", "x", value), [*by, "y", "x"])
-    return hit.groupBy(*keys).agg(F.sum(F.col("_k") * F.col(value)).alias(value))
+    blank = px.select(*by, F.col("y").alias("ty_"), F.col("x").alias("tx_"), F.lit(0.0).alias(value))
+    parts = hit.select(*keys, (F.col("_k") * F.col(value)).alias(value)).unionByName(blank)
+    return parts.groupBy(*keys).agg(F.sum(value).alias(value)).withColumnsRenamed({"ty_": "y", "tx_": "x"})
 
 
 def _inverse_at(x: Column, y: Column) -> tuple[Column, Column]:
@@ -288,9 +295,7 @@ def warp(
     zero = F.lit(0).cast("long")
     targets = t.select(*by, F.col("y").alias("ty_"), F.col("x").alias("tx_"), sy.alias("sy"), sx.alias("sx"),
                        zero.alias("y0"), F.col("h").alias("y1"), zero.alias("x0"), F.col("w").alias("x1"))
-    got = _sampled(targets, px, by, value).withColumnsRenamed({"ty_": "y", "tx_": "x"})
-    return px.select(*by, "y", "x").join(got, [*by, "y", "x"], "left").withColumn(
-        value, F.coalesce(value, F.lit(0.0)))
+    return _sampled(targets, px, by, value)
 
 
 def align_stack(
@@ -299,8 +304,8 @@ def align_stack(
 ) -> DataFrame:
     """Warp every channel of a file with its tile transforms and stitch the tile cores.
 
-    Only core positions are computed: each target position belongs to at most two core candidates
-    per axis, found by arithmetic; its sample is looked up in the tile's own window.
+    Only core positions are computed: the tile that owns a position follows from arithmetic, without
+    a join or shuffle, and its sample is looked up in that tile's own window.
     """
     geo = windows.select(*image, "tile_id", "h", "cx", "cy", "half", "y0", "y1", "x0", "x1", "ymin", "xmin").join(
         transforms.select(*image, "tile_id", *MATRIX), [*image, "tile_id"], "left")
@@ -308,27 +313,27 @@ def align_stack(
     heights = geo.select(*image, "h").distinct()
     grid = attach(px.select(*by, "y", "x"), heights, image)
     half = half_side(n)
-    near = lambda c: F.array_distinct(F.transform(
-        F.array(F.lit(-1), F.lit(0), F.lit(1)),
-        lambda k: F.least(F.greatest(F.floor(F.col(c) / (2 * half)).cast("int") + k, F.lit(0)), F.lit(n - 1))))
-    def covered(c: str, k: str) -> Column:
-        centre = (2 * F.col(k) + 1) / F.lit(2 * n) * F.col("h")
-        first = (centre - half.cast("long")).cast("long")
-        return (F.col(c) >= first) & (F.col(c) < first + 2 * half.cast("long"))
-    owned = (
-        grid.withColumn("_i", F.explode(near("x"))).where(covered("x", "_i"))
-        .withColumn("_j", F.explode(near("y"))).where(covered("y", "_j"))
-        .groupBy(*by, "y", "x").agg(F.max(F.col("_i") * n + F.col("_j")).alias("tile_id"))
-    )
+    def owner(c: str) -> Column:
+        """Last tile along the axis whose core covers the position, else NULL."""
+        guess = F.floor(F.col(c) / (2 * half)).cast("int")
+        last = F.lit(None).cast("int")
+        for step in (-1, 0, 1):  # later tiles go over earlier ones
+            k = F.least(F.greatest(guess + step, F.lit(0)), F.lit(n - 1))
+            first = ((2 * k + 1) / F.lit(2 * n) * F.col("h") - half.cast("long")).cast("long")
+            covered = (F.col(c) >= first) & (F.col(c) < first + 2 * half.cast("long"))
+            last = F.when(covered, k).otherwise(last)
+        return last
+
+    owned = grid.withColumns({"_i": owner("x"), "_j": owner("y")}).where(
+        F.col("_i").isNotNull() & F.col("_j").isNotNull()).select(
+        *by, "y", "x", (F.col("_i") * n + F.col("_j")).alias("tile_id"))
     t = attach(owned, geo, [*image, "tile_id"])
     ly = F.col("y") - core_offset("cy") + F.col("ymin")
     lx = F.col("x") - core_offset("cx") + F.col("xmin")
     sx, sy = _inverse_at(lx, ly)
     targets = t.select(*by, F.col("y").alias("ty_"), F.col("x").alias("tx_"),
                        (sy + F.col("y0")).alias("sy"), (sx + F.col("x0")).alias("sx"), "y0", "y1", "x0", "x1")
-    got = _sampled(targets, px, by, value).withColumnsRenamed({"ty_": "y", "tx_": "x"})
-    return px.select(*by, "y", "x").join(got, [*by, "y", "x"], "left").withColumn(
-        value, F.coalesce(F.rint(F.round(value, 9)).cast("long"), F.lit(0)))
+    return _sampled(targets, px, by, value).withColumn(value, F.rint(F.round(value, 9)).cast("long"))
 
 
 def describe_matrix(transforms: DataFrame) -> DataFrame:

@@ -15,10 +15,16 @@ from pyspark.sql import functions as F
 
 from lumifield.functions.lookup import attach
 from lumifield.functions.stats import plane_size
+from lumifield.functions.storage import store
 from lumifield.operators.intensity import contrast_clean, percentile_threshold
 from lumifield.schemas import PLANE
 
 Kernel = tuple[Sequence[float], Sequence[float]]  # weights down, weights across
+Size = tuple[DataFrame, int]  # stored plane sizes and their number
+
+
+def stored_size(px: DataFrame, by: Sequence[str]) -> Size:
+    return store(plane_size(px, by), "size")
 
 
 def gaussian(size: int, sigma: float = 0.0) -> list[float]:
@@ -81,14 +87,15 @@ def _pass(
 
 def filter_bank(
     px: DataFrame, kernels: Mapping[str, Kernel], by: Sequence[str] = PLANE, value: str = "v",
-    border: str = "mirror", keep: Sequence[str] = (),
+    border: str = "mirror", keep: Sequence[str] = (), size: Size | None = None,
 ) -> DataFrame:
     """Apply several separable kernels at once; one output column (double) per kernel.
 
-    ``keep`` lists columns to carry along; the value column itself is kept.
+    ``keep`` lists columns to carry along; the value column itself is kept. ``size`` (from
+    :func:`stored_size`) saves measuring the planes again in a chain of filters.
     """
     keep = [value, *[k for k in keep if k != value]]
-    sized = attach(px.select(*by, "y", "x", *keep), plane_size(px, by), by)
+    sized = attach(px.select(*by, "y", "x", *keep), size or plane_size(px, by), by)
     across = _pass(sized, by, "x", "w", {f"_{k}": (value, wx) for k, (_, wx) in kernels.items()}, border, keep)
     down = _pass(across, by, "y", "h", {k: (f"_{k}", wy) for k, (wy, _) in kernels.items()}, border, keep)
     return down.drop("h", "w")
@@ -96,9 +103,9 @@ def filter_bank(
 
 def blur(
     px: DataFrame, weights: Sequence[float], by: Sequence[str] = PLANE, value: str = "v", out: str = "blurred",
-    border: str = "mirror", keep: Sequence[str] = (),
+    border: str = "mirror", keep: Sequence[str] = (), size: Size | None = None,
 ) -> DataFrame:
-    return filter_bank(px, {out: (weights, weights)}, by, value, border, keep)
+    return filter_bank(px, {out: (weights, weights)}, by, value, border, keep, size)
 
 
 def whole(c: Column) -> Column:
@@ -108,23 +115,23 @@ def whole(c: Column) -> Column:
 
 
 def subtract_background(
-    px: DataFrame, fraction: float = 1.0, size: int = 101, by: Sequence[str] = PLANE, value: str = "v"
+    px: DataFrame, fraction: float = 1.0, width: int = 101, by: Sequence[str] = PLANE, value: str = "v"
 ) -> DataFrame:
     """Subtract a fraction of the wide Gaussian background, stopping at 0."""
-    b = blur(px, gaussian(size), by, value)
+    b = blur(px, gaussian(width), by, value)
     level = (whole(F.col("blurred")) * F.lit(fraction)).cast("long")
     return b.withColumn(value, F.greatest(F.col(value) - level, F.lit(0))).drop("blurred")
 
 
 def unsharp(
-    px: DataFrame, by: Sequence[str] = PLANE, value: str = "v", size: int = 5, sigma: float = 1.0,
-    amount: float = 1.0, low_contrast: float = 0,
+    px: DataFrame, by: Sequence[str] = PLANE, value: str = "v", width: int = 5, sigma: float = 1.0,
+    amount: float = 1.0, low_contrast: float = 0, size: Size | None = None,
 ) -> DataFrame:
     """Unsharp mask on 8-bit samples: (1+a) v - a blur, clipped to 0-255, half-even.
 
     With ``low_contrast`` > 0, pixels that differ less than that from the blur stay as they are.
     """
-    b = blur(px, gaussian(size, sigma), by, value)
+    b = blur(px, gaussian(width, sigma), by, value, size=size)
     soft = whole(F.col("blurred"))
     sharp = F.lit(amount + 1.0) * F.col(value) - F.lit(float(amount)) * soft
     sharp = F.rint(F.least(F.greatest(sharp, F.lit(0.0)), F.lit(255.0))).cast("long")
@@ -135,10 +142,10 @@ def unsharp(
 
 def adaptive_threshold(
     px: DataFrame, weights: Sequence[float], offset: float, by: Sequence[str] = PLANE, value: str = "v",
-    keep: Sequence[str] = (),
+    keep: Sequence[str] = (), size: Size | None = None,
 ) -> DataFrame:
     """255 where the sample exceeds the local (rounded) mean minus ``offset``, else 0."""
-    b = blur(px, weights, by, value, border="replicate", keep=keep)
+    b = blur(px, weights, by, value, border="replicate", keep=keep, size=size)
     hit = F.col(value) > whole(F.col("blurred")) - F.lit(offset)
     return b.withColumn(value, F.when(hit, 255).otherwise(0)).drop("blurred")
 
@@ -146,13 +153,13 @@ def adaptive_threshold(
 def bead_mask(px: DataFrame, by: Sequence[str] = PLANE, value: str = "v", min_area: int = 20) -> DataFrame:
     """Dark-bead mask of an 8-bit brightfield: sharpen, stretch, invert, sharpen, local mean with
     offset 50; dark components of at least ``min_area`` pixels are then set to bright."""
-    from lumifield.operators.regions import area_at_least, components, store_regions
+    from lumifield.operators.regions import area_at_least, components
 
     flip = lambda df: df.withColumn(value, F.lit(255) - F.col(value))
-    sharp = unsharp(px, by, value)
+    size = stored_size(px, by)
+    sharp, _ = store(unsharp(px, by, value, size=size), "sharp")
     stretched = flip(contrast_clean(sharp, by, 2, 98, value))
-    binary = adaptive_threshold(unsharp(stretched, by, value), box(11), 50, by, value)
-    binary = store_regions(binary)
+    binary, _ = store(adaptive_threshold(unsharp(stretched, by, value, size=size), box(11), 50, by, value, size=size), "binary")
     large = area_at_least(components(binary.where(F.col(value) == 0), by), min_area, by)
     out = binary.join(large.select(*by, "y", "x", F.lit(True).alias("_large")), [*by, "y", "x"], "left")
     return out.withColumn(value, F.when(F.col("_large"), 255).otherwise(F.col(value))).drop("_large")
@@ -205,14 +212,14 @@ def tissue_mask(
 ) -> DataFrame:
     """Keep-mask of a plane (column ``keep``): shrink, blur (5 x 5 ones / 225), dark fifth, drop dark
     areas under ``min_area``, enlarge; dark areas and zero pixels are masked out."""
-    from lumifield.operators.regions import area_at_least, components, store_regions
+    from lumifield.operators.regions import area_at_least, components
 
-    own = plane_size(px, by)
+    own, _ = stored_size(px, by)
     down = own.select(*by, "h", "w", F.floor(F.col("h") / shrink).alias("th"), F.floor(F.col("w") / shrink).alias("tw"))
-    small = resample(px, down, by, value).withColumn(value, whole(F.col(value)))
+    small, _ = store(resample(px, down, by, value).withColumn(value, whole(F.col(value))), "small")
     weights = [1 / 15.0] * 5
-    soft = blur(small, weights, by, value).select(*by, "y", "x", whole(F.col("blurred")).alias(value))
-    dark = store_regions(percentile_threshold(soft, pct, by, value).withColumn(value, 255 - F.col(value)))
+    soft, _ = store(blur(small, weights, by, value).select(*by, "y", "x", whole(F.col("blurred")).alias(value)), "soft")
+    dark, _ = store(percentile_threshold(soft, pct, by, value).withColumn(value, 255 - F.col(value)), "dark")
     large = area_at_least(components(dark.where(F.col(value) == 255), by), min_area, by)
     spots = dark.select(*by, "y", "x").join(
         large.select(*by, "y", "x", F.lit(255).alias(value)), [*by, "y", "x"], "left").fillna(0, [value])

@@ -102,6 +102,8 @@ def stitch(
     ry, rx = F.col("y") - F.col("y0") - F.col("ymin"), F.col("x") - F.col("x0") - F.col("xmin")
     core = t.where((ry >= 0) & (ry < side) & (rx >= 0) & (rx < side))
     placed = core.select(*by, "tile_id", (core_offset("cy") + ry).alias("y"), (core_offset("cx") + rx).alias("x"), value)
-    top = placed.groupBy(*by, "y", "x").agg(F.max_by(value, "tile_id").alias("_top"))
-    return grid.select(*by, "y", "x").join(top, [*by, "y", "x"], "left").select(
-        *by, "y", "x", F.coalesce("_top", F.lit(0)).alias(value))
+    # the empty canvas goes in as tile -1, so that one aggregate both fills and overlays
+    canvas = grid.select(*by, F.lit(-1).alias("tile_id"), "y", "x", F.lit(0).alias(value))
+    wanted = placed.unionByName(canvas).groupBy(*by, "y", "x").agg(
+        F.max_by(value, "tile_id").alias(value), F.min("tile_id").alias("_canvas"))
+    return wanted.where(F.col("_canvas") == -1).drop("_canvas")

@@ -164,7 +164,7 @@ def descriptors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(fixed, moving) descriptor vectors per label: the given vectors, and the same ones disturbed."""
     e = _table(spark, sf, "embeddings", "vec_id", "embedding", "label")
     fixed = e.select("label", F.col("vec_id").alias("c_id"), F.col("embedding").cast("array<double>").alias("c_vec"))
-    bent = F.transform(F.col("embedding").cast("array<double>"), lambda v, i: v + 0.05 * ((F.col("vec_id") + i) % 5 - 2))
+    bent = F.transform(F.col("embedding").cast("array<double>"), lambda v, i: v + 0.1 * ((F.col("vec_id") + i) % 5 - 2))
     return fixed, e.select("label", F.col("vec_id").alias("q_id"), bent.alias("q_vec"))
 
 

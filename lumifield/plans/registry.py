@@ -246,7 +246,8 @@ def p12_stencils(spark, sf):
         "gauss3": (stencil.gaussian(3), stencil.gaussian(3)), "gauss5": (stencil.gaussian(5, 1.0), stencil.gaussian(5, 1.0)),
         "gauss11": (stencil.gaussian(11), stencil.gaussian(11)),
     }
-    return stencil.filter_bank(fx.brightfield(spark, sf), bank, PLANE).select("y", "x", *[r6(k) for k in bank])
+    # 4 places: sums of doubles may be taken in any order
+    return stencil.filter_bank(fx.brightfield(spark, sf), bank, PLANE).select("y", "x", *[F.round(k, 4).alias(k) for k in bank])
 
 
 @query
@@ -403,7 +404,7 @@ def t05_pair_points(spark, sf):
 def t06_two_nearest(spark, sf):
     fixed, moving = fx.descriptors(spark, sf)
     near = registration.two_nearest(moving, fixed, ["label"])
-    return registration.ratio_matches(near, ["label"], 0.9).select("label", "q_id", "c_id", r6("d1"), r6("d2"))
+    return registration.ratio_matches(near, ["label"]).select("label", "q_id", "c_id", r6("d1"), r6("d2"))
 
 
 @query
@@ -450,7 +451,8 @@ def t11_warp(spark, sf):
     px = fx.pixels(spark, sf, channels=[0])
     m = px.select("cycle").distinct().selectExpr(
         "cycle", "1.0D + cycle * 0.02D AS a", "0.05D AS b", "1.25D - cycle AS tx", "-0.04D AS c", "0.97D AS d", "2.5D AS ty")
-    return registration.warp(px, m, plane_size(px, ["cycle"]), PLANE, ["cycle"]).select("cycle", "y", "x", r6("v"))
+    return registration.warp(px, m, plane_size(px, ["cycle"]), PLANE, ["cycle"]).select(
+        "cycle", "y", "x", F.round("v", 4).alias("v"))
 
 
 @query
@@ -615,14 +617,18 @@ def c07_adjusted_median(spark, sf):
     return cells.bead_intensity(fx.beads(spark, sf), fx.protein_pixels(spark, sf)).select("x", "y", r6("intensity"))
 
 
-@query
-def c08_cell_protein_values(spark, sf):
+def _values(spark, sf):
     beads, labels, protein, code = _cell_inputs(spark, sf)
     names = cells.protein_names(code)
     coded = beads.join(names.select("cy0", "cy1", "cy2", "protein_idx"), ["cy0", "cy1", "cy2"])
     inside = cells.cell_of_beads(coded.where(cells.in_bounds("x", "y")), labels)
     values = cells.bead_intensity(inside, protein)
-    return inside.join(values, ["x", "y"]).select("label", "protein_idx", "bead_id", r6("intensity"))
+    return inside.join(values, ["x", "y"])
+
+
+@query
+def c08_cell_protein_values(spark, sf):
+    return _values(spark, sf).select("label", "protein_idx", "bead_id", r6("intensity"))
 
 
 @query
@@ -637,7 +643,7 @@ def c09_nearest_bead(spark, sf):
 
 @query
 def c10_cell_medians(spark, sf):
-    return grouped_median(c08_cell_protein_values(spark, sf), ["label", "protein_idx"], "intensity", "value").select(
+    return grouped_median(_values(spark, sf), ["label", "protein_idx"], "intensity", "value").select(
         "label", "protein_idx", r6("value"))
 
 

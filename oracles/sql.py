@@ -455,7 +455,7 @@ SELECT y, x, greatest(v - CAST(trunc({whole('s')} * 0.5::DOUBLE) AS BIGINT), 0)
 for _name, _w in (("box3", BOX3), ("mean225", MEAN225), ("gauss3", gauss(3)), ("gauss5", gauss(5, 1.0)), ("gauss11", gauss(11))):
     stencil(f"st_{_name}", "bf", _w)
 oracle("p12_stencils", """
-SELECT y, x, round(a.s, 6) AS box3, round(b.s, 6) AS mean225, round(c.s, 6) AS gauss3, round(d.s, 6) AS gauss5, round(e.s, 6) AS gauss11
+SELECT y, x, round(a.s, 4) AS box3, round(b.s, 4) AS mean225, round(c.s, 4) AS gauss3, round(d.s, 4) AS gauss5, round(e.s, 4) AS gauss11
 FROM st_box3 a JOIN st_mean225 b USING (y, x) JOIN st_gauss3 c USING (y, x) JOIN st_gauss5 d USING (y, x) JOIN st_gauss11 e USING (y, x)""")
 oracle("p13_unsharp", "SELECT y, x, v FROM sharp")
 piece("inverted", """
@@ -570,11 +570,11 @@ oracle("t05_pair_points", """
 SELECT CAST(tile_id AS INTEGER) AS tile_id, CAST(rank AS INTEGER) AS rank, f.x AS u, f.y AS v, m.x, m.y FROM fixed_points f JOIN moving_points m USING (tile_id, rank)
 QUALIFY count(*) OVER (PARTITION BY tile_id) >= 4""")
 oracle("t06_two_nearest", """
-WITH moving AS (SELECT label, vec_id AS q_id, list_transform(embedding, lambda v, i: CAST(v AS DOUBLE) + 0.05::DOUBLE * ((vec_id + i - 1) % 5 - 2)) AS q FROM embeddings),
+WITH moving AS (SELECT label, vec_id AS q_id, list_transform(embedding, lambda v, i: CAST(v AS DOUBLE) + 0.1::DOUBLE * ((vec_id + i - 1) % 5 - 2)) AS q FROM embeddings),
 ranked AS (SELECT m.label, q_id, vec_id AS c_id, list_distance(q, CAST(embedding AS DOUBLE[])) AS d FROM moving m JOIN embeddings e ON e.label = m.label
   QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY list_distance(q, CAST(embedding AS DOUBLE[])), vec_id) <= 2),
 best AS (SELECT label, q_id, arg_min(c_id, d) AS c_id, min(d) AS d1, max(d) AS d2 FROM ranked GROUP BY label, q_id HAVING count(*) = 2)
-SELECT label, q_id, c_id, round(d1, 6) AS d1, round(d2, 6) AS d2 FROM best WHERE d1 < 0.9::DOUBLE*d2 QUALIFY count(*) OVER (PARTITION BY label) >= 4""")
+SELECT label, q_id, c_id, round(d1, 6) AS d1, round(d2, 6) AS d2 FROM best WHERE d1 < 0.7::DOUBLE*d2 QUALIFY count(*) OVER (PARTITION BY label) >= 4""")
 oracle("t07_affine", """
 SELECT tile_id, round(a, 6) AS a, round(b, 6) AS b, round(tx, 6) AS tx, round(c, 6) AS c, round(d, 6) AS d, round(ty, 6) AS ty FROM fit""")
 oracle("t08_shift_search", "SELECT CAST(tile_id AS INTEGER) AS tile_id, dy, dx, round(ncc, 6) AS ncc FROM best2")
@@ -598,7 +598,7 @@ src AS (SELECT p.cycle, y, x, round((d*(x-tx) - b*(y-ty))/(a*d - b*c), 9) AS sx,
 corner AS (SELECT cycle, y, x, floor(sy) + dy AS py, floor(sx) + dx AS px,
   (CASE dy WHEN 0 THEN 1 - (sy - floor(sy)) ELSE sy - floor(sy) END) * (CASE dx WHEN 0 THEN 1 - (sx - floor(sx)) ELSE sx - floor(sx) END) AS k
   FROM src, (VALUES (0),(1)) AS a(dy), (VALUES (0),(1)) AS b(dx))
-SELECT c.cycle, c.y, c.x, round(coalesce(sum(k*p.v), 0), 6) AS v FROM corner c LEFT JOIN (SELECT * FROM pixels WHERE channel = 0) p ON p.cycle = c.cycle AND p.y = c.py AND p.x = c.px GROUP BY ALL""")
+SELECT c.cycle, c.y, c.x, round(coalesce(sum(k*p.v), 0), 4) AS v FROM corner c LEFT JOIN (SELECT * FROM pixels WHERE channel = 0) p ON p.cycle = c.cycle AND p.y = c.py AND p.x = c.px GROUP BY ALL""")
 oracle("t12_stitch", """
 SELECT b.y, b.x, coalesce(t.v, 0) AS v FROM bf b LEFT JOIN (
   SELECT ty, tx, arg_max(v, tile_id) AS v FROM core4 JOIN bf s ON s.y = sy AND s.x = sx AND sy >= y0 AND sy < y1 AND sx >= x0 AND sx < x1 GROUP BY ty, tx) t
