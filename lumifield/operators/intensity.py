@@ -204,19 +204,17 @@ def fit_to_shape(img: DataFrame, target: DataFrame, by: Sequence[str] = (), valu
     Floor of the excess goes before, the rest after; cells outside ``img`` are NULL.
     """
     by = list(by)
-    size = plane_size(target, by).withColumnsRenamed({"h": "th", "w": "tw"})
-    own = plane_size(img, by)
-    sizes = size.join(own, by) if by else size.crossJoin(own)  # by empty: one row each
-    shift = lambda t, o: F.floor(F.greatest(F.col(t) - F.col(o), F.lit(0)) / 2)
-    moved = _with_plane(img, sizes, by).select(
-        *by, (F.col("y") + shift("th", "h")).alias("y"), (F.col("x") + shift("tw", "w")).alias("x"), value)
-    return target.select(*by, "y", "x").join(moved, [*by, "y", "x"], "left")
-
-
-def _with_plane(px: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFrame:
+    shift = lambda t, o: F.floor(F.greatest(t - o, F.lit(0)) / 2)
     if by:
-        return attach(px, table, by)
-    return px.crossJoin(F.broadcast(table.limit(1)))  # one plane: the table is a single row
+        size = plane_size(target, by).withColumnsRenamed({"h": "th", "w": "tw"})
+        sized = attach(img, size.join(plane_size(img, by), by), by)
+        down, across = shift(F.col("th"), F.col("h")), shift(F.col("tw"), F.col("w"))
+    else:  # one plane: its sizes are single values
+        sized = img
+        side = lambda df, c: df.agg(F.max(c) + 1).scalar()
+        down, across = shift(side(target, "y"), side(img, "y")), shift(side(target, "x"), side(img, "x"))
+    moved = sized.select(*by, (F.col("y") + down).alias("y"), (F.col("x") + across).alias("x"), value)
+    return target.select(*by, "y", "x").join(moved, [*by, "y", "x"], "left")
 
 
 def disc(radius: int) -> list[tuple[int, int]]:

@@ -67,9 +67,9 @@ def beads(spark: SparkSession, sf: str) -> DataFrame:
 
 def protein_pixels(spark: SparkSession, sf: str) -> DataFrame:
     base = pixels(spark, sf, [0], [1]).selectExpr(
-        "y", "x", "v", "y div 8 AS gy", "x div 8 AS gx", "((y div 8)*31 + (x div 8)*17) % 7 AS h")
+        "y", "x", "cycle", "v", "y div 8 AS gy", "x div 8 AS gx", "((y div 8)*31 + (x div 8)*17) % 7 AS h")
     return base.selectExpr(
-        "y", "x",
+        "y", "x", "cycle",
         """CASE WHEN h < 6 AND abs(y-(gy*8+3+h%3)) <= 2 AND abs(x-(gx*8+3+(h*5)%3)) <= 2
              THEN 5300 + 100*h ELSE CASE WHEN (y div 24 + x div 24) % 2 = 0 THEN 14000 ELSE 1500 END END + v % 200 AS v""")
 

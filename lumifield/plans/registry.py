@@ -270,7 +270,7 @@ def p15_adaptive_threshold(spark, sf):
 
 @query
 def p16_tissue_mask(spark, sf):
-    return stencil.tissue_mask(fx.protein_pixels(spark, sf).withColumn("cycle", F.lit(0)), ["cycle"], min_area=3).select("y", "x", "keep")
+    return stencil.tissue_mask(fx.protein_pixels(spark, sf), ["cycle"], min_area=3).select("y", "x", "keep")
 
 
 @query

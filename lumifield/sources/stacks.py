@@ -48,7 +48,7 @@ def read_stack(
     channels: Sequence[int] | None = None, max_size: int | None = None,
 ) -> DataFrame:
     """Stored stacks; the selection reaches the scan as partition filters, the crop as row-group filters."""
-    px = spark.read.schema(PIXELS).parquet(path)
+    px = spark.read.schema(PIXELS).parquet(path).select(PIXELS.fieldNames())
     for column, wanted in (("file", files), ("cycle", cycles), ("channel", channels)):
         if wanted is not None:
             px = px.where(F.col(column).isin(list(wanted)))
