@@ -1,8 +1,10 @@
-"""Neighbourhood filters as two one-dimensional passes of window functions.
+"""Neighbourhood filters as two one-dimensional passes.
 
-A pass partitions by image line (one row, then one column of one plane), so a window partition is
-never larger than an image side, and costs one shuffle whatever the kernel width. Planes are dense
-grids. Several kernels share the two passes.
+A pass partitions by image line (rows, then columns of one plane), so a partition is never larger
+than a few image sides, and costs one shuffle whatever the kernel width. Narrow kernels are window
+functions; a kernel wider than ``WIDE`` taps would need as many window frames per sample, and is
+computed on whole lines as arrays instead. Planes are dense grids. Several kernels share the two
+passes.
 """
 
 from __future__ import annotations
@@ -10,16 +12,21 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lumifield.functions.lookup import attach
+from lumifield.functions.lookup import attach, bucket
 from lumifield.functions.stats import plane_size
 from lumifield.functions.storage import store
 from lumifield.operators.intensity import contrast_clean, percentile_threshold
 from lumifield.schemas import PLANE
 
 Kernel = tuple[Sequence[float], Sequence[float]]  # weights down, weights across
+WIDE = 25   # taps; above, lines are filtered as arrays
+BAND = 16   # lines per array
 Size = tuple[DataFrame, int]  # stored plane sizes and their number
 
 
@@ -85,6 +92,27 @@ def _pass(
     )
 
 
+def _wide_pass(
+    px: DataFrame, by: Sequence[str], axis: str, terms: Mapping[str, tuple[str, Sequence[float]]], border: str,
+) -> DataFrame:
+    """As :func:`_pass`, on bands of ``BAND`` whole lines held as an array per task call."""
+    line = "x" if axis == "y" else "y"
+    mode = {"mirror": "reflect", "replicate": "edge"}[border]
+    schema = T.StructType([*px.schema.fields, *[T.StructField(name, T.DoubleType()) for name in terms]])
+    jobs = [(name, col, [float(w) for w in weights]) for name, (col, weights) in terms.items()]
+
+    def band(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([line, axis])
+        n = int(pdf[axis].max()) + 1
+        for name, col, weights in jobs:
+            r = len(weights) // 2
+            lines = np.pad(pdf[col].to_numpy(np.float64).reshape(-1, n), ((0, 0), (r, r)), mode=mode)
+            pdf[name] = sum(w * lines[:, k:k + n] for k, w in enumerate(weights)).ravel()
+        return pdf[[f.name for f in schema.fields]]
+
+    return px.groupBy(*by, bucket(line, BAND)).applyInPandas(band, schema)
+
+
 def filter_bank(
     px: DataFrame, kernels: Mapping[str, Kernel], by: Sequence[str] = PLANE, value: str = "v",
     border: str = "mirror", keep: Sequence[str] = (), size: Size | None = None,
@@ -95,6 +123,11 @@ def filter_bank(
     :func:`stored_size`) saves measuring the planes again in a chain of filters.
     """
     keep = [value, *[k for k in keep if k != value]]
+    if max(len(w) for kernel in kernels.values() for w in kernel) > WIDE:
+        across = _wide_pass(
+            px.select(*by, "y", "x", *keep), by, "x", {f"_{k}": (value, wx) for k, (_, wx) in kernels.items()}, border)
+        down = _wide_pass(across, by, "y", {k: (f"_{k}", wy) for k, (wy, _) in kernels.items()}, border)
+        return down.drop(*[f"_{k}" for k in kernels])
     sized = attach(px.select(*by, "y", "x", *keep), size or plane_size(px, by), by)
     across = _pass(sized, by, "x", "w", {f"_{k}": (value, wx) for k, (_, wx) in kernels.items()}, border, keep)
     down = _pass(across, by, "y", "h", {k: (f"_{k}", wy) for k, (wy, _) in kernels.items()}, border, keep)

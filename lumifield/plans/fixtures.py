@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,20 +14,26 @@ def _table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet").select(*columns)
 
 
+@lru_cache(maxsize=32)
+def _rows(app: str, events: str) -> int:
+    """Number of events (from the file footers), asked once per application and table."""
+    return SparkSession.active().read.parquet(events).count()
+
+
 def sites(spark: SparkSession, sf: str) -> DataFrame:
     """One row per pixel position of a square image: every event is a pixel; the last event also
     stands for the positions that complete the square."""
     events = _table(spark, sf, "events", "event_id", "value")
-    n = events.agg(F.count(F.lit(1)).alias("n"))
-    w = n.select(F.ceil(F.sqrt("n")).cast("long").alias("w")).scalar()
-    last = n.select((F.col("n") - 1).alias("last")).scalar()
+    n = _rows(spark.sparkContext.applicationId, f"{sf}/events.parquet")
+    w = math.ceil(math.sqrt(n))
     cores = spark.sparkContext.defaultParallelism
-    if len(events.inputFiles()) < cores:  # few input splits: share the pixel work out
+    if n > 50_000 and len(events.inputFiles()) < cores:  # few input splits: share the pixel work out
         events = events.repartition(cores, "event_id")
-    p = events.select("event_id", "value", w.alias("w"), last.alias("last")).select(
-        "w", F.explode(F.when(F.col("event_id") < F.col("last"), F.array("event_id")).otherwise(
-            F.sequence(F.col("event_id"), F.col("w") * F.col("w") - 1))).alias("p"),
-        F.expr("CAST(floor(value*100) AS BIGINT) % 200").alias("noise"), "event_id")
+    p = events.select(
+        F.lit(w).cast("long").alias("w"), "event_id",
+        F.explode(F.when(F.col("event_id") < n - 1, F.array("event_id")).otherwise(
+            F.sequence(F.col("event_id"), F.lit(w * w - 1).cast("long")))).alias("p"),
+        F.expr("CAST(floor(value*100) AS BIGINT) % 200").alias("noise"))
     p = p.withColumn("nz", F.when(F.col("p") == F.col("event_id"), F.col("noise")).otherwise(F.lit(0)))
     return (
         p.selectExpr("p div w AS y", "p % w AS x", "nz")
