@@ -1,8 +1,8 @@
 """Shading correction: local contrast equalisation with a clip limit, on 7-pixel tiles.
 
-Each tile's look-up table is a clipped running count of its values. Only the values that occur in a
-tile change that count, so a table is kept as its steps (one row per value present, with the range
-of values it answers for), and pixels meet the four tables around them by equality.
+Each tile's look-up table is a clipped running count of its values, kept as one array per tile. All
+pixels between the same four tile centres (a cell) blend the same four tables, so the tables are
+sent to their cells and every pixel is joined once, to its cell.
 """
 
 from __future__ import annotations
@@ -70,35 +70,50 @@ def equalise_tiles(
         counts.withColumn("kept", F.least("n", limit))
         .withColumn("below", F.sum("kept").over(run))
         .withColumn("excess", F.sum(F.col("n") - F.col("kept")).over(tile))
-        .withColumn("upto", F.coalesce(F.lead("bin").over(run), F.lit(BINS)) - 1)
-        .withColumn("start", F.when(F.row_number().over(run) == 1, F.lit(0)).otherwise(F.col("bin")))
+        .withColumn("upto", (F.coalesce(F.lead("bin").over(run), F.lit(BINS)) - 1).cast("long"))
+        .withColumn("start", F.when(F.row_number().over(run) == 1, F.lit(0)).otherwise(F.col("bin")).cast("long"))
     )
     each = F.floor(F.col("excess") / BINS)
     rest = F.col("excess") - each * BINS
     every = F.greatest(F.floor(F.lit(BINS) / F.when(rest > 0, rest)), F.lit(1))
-    extra = F.when(rest > 0, F.least(rest, F.floor(F.col("q") / every) + 1)).otherwise(0)
-    count = F.when(F.col("q") < F.col("bin"), 0).otherwise(F.col("below")) + each * (F.col("q") + 1) + extra
-    table = steps.withColumn("q", F.explode(F.sequence(F.col("start").cast("long"), F.col("upto").cast("long")))).select(
-        *by, "ti", "tj", "q",
-        F.least(F.rint(F.round(count * (F.lit(255.0) / F.col("area")), 9)), F.lit(255.0)).alias("_lut"))
-
-    # 3. blend the four tables around each pixel
-    def axis(c: str, t: str) -> Column:
-        f = F.col(c) / F.col(t) - 0.5
-        lo = F.floor(f)
-        inside = lambda i: F.least(F.greatest(i, F.lit(0)), F.col("g") - 1)
-        return F.array(F.struct(inside(lo).alias("i"), (1 - (f - lo)).alias("k")),
-                       F.struct(inside(lo + 1).alias("i"), (f - lo).alias("k")))
-    corners = (
-        p.select(*by, "y", "x", F.col(value).cast("long").alias("q"),
-                 F.explode(axis("y", "th")).alias("_a"), axis("x", "tw").alias("_bs"))
-        .select(*by, "y", "x", "q", "_a", F.explode("_bs").alias("_b"))
-        .select(*by, "y", "x", "q", F.col("_a.i").alias("ti"), F.col("_b.i").alias("tj"),
-                (F.col("_a.k") * F.col("_b.k")).alias("_k"))
+    scale = F.lit(255.0) / F.col("area")
+
+    def level(q: Column, step: Column) -> Column:
+        extra = F.when(F.col("rest") > 0, F.least(F.col("rest"), F.floor(q / F.col("every")) + 1)).otherwise(0)
+        count = F.when(q < step["bin"], 0).otherwise(step["below"]) + F.col("each") * (q + 1) + extra
+        return F.least(F.rint(F.round(count * F.col("scale"), 9)), F.lit(255.0)).cast("smallint")
+
+    by_tile = steps.groupBy(*by, "g", "ti", "tj", each.alias("each"), rest.alias("rest"), every.alias("every"), scale.alias("scale"))
+    ordered = by_tile.agg(F.array_sort(F.collect_list(F.struct("start", "upto", "bin", "below"))).alias("_s"))
+    tables = ordered.select(*by, "g", "ti", "tj", F.flatten(F.transform(
+        "_s", lambda s: F.transform(F.sequence(s["start"], s["upto"]), lambda q: level(q, s)))).alias("_lut"))
+
+    # 3. each table goes to the cells around its tile; at the image edge it also stands in for the missing one
+    def cells(t: str) -> Column:
+        before = F.struct(F.col(t).alias("c"), F.lit(1).alias("far"))
+        after = F.struct((F.col(t) + 1).alias("c"), F.lit(0).alias("far"))
+        first = F.when(F.col(t) == 0, F.struct(F.col(t).alias("c"), F.lit(0).alias("far")))
+        last = F.when(F.col(t) == F.col("g") - 1, F.struct((F.col(t) + 1).alias("c"), F.lit(1).alias("far")))
+        return F.array_compact(F.array(before, after, first, last))
+
+    sent = (
+        tables.select(*by, F.explode(cells("ti")).alias("_a"), cells("tj").alias("_bs"), "_lut")
+        .select(*by, "_a", F.explode("_bs").alias("_b"), "_lut")
+        .select(*by, F.col("_a.c").alias("ci"), F.col("_b.c").alias("cj"),
+                (2 * F.col("_a.far") + F.col("_b.far")).alias("corner"), "_lut")
     )
-    blended = corners.join(table, [*by, "ti", "tj", "q"]).groupBy(*by, "y", "x").agg(
-        F.sum(F.col("_k") * F.col("_lut")).alias("_s"))
-    return blended.select(*by, "y", "x", F.rint(F.round("_s", 9)).cast("int").alias(value))
+    cell = sent.groupBy(*by, "ci", "cj").agg(F.array_sort(F.collect_list(F.struct("corner", "_lut"))).alias("_four"))
+
+    # 4. blend
+    fy, fx = F.col("y") / F.col("th") - 0.5, F.col("x") / F.col("tw") - 0.5
+    placed = p.select(
+        *by, "y", "x", F.col(value).cast("int").alias("q"), (F.floor(fy) + 1).alias("ci"), (F.floor(fx) + 1).alias("cj"),
+        (fy - F.floor(fy)).alias("ky"), (fx - F.floor(fx)).alias("kx"))
+    at = lambda k: F.get(F.col("_four")[k]["_lut"], F.col("q"))
+    ky, kx = F.col("ky"), F.col("kx")
+    mixed = (1 - ky) * ((1 - kx) * at(0) + kx * at(1)) + ky * ((1 - kx) * at(2) + kx * at(3))
+    return placed.join(cell, [*by, "ci", "cj"]).select(
+        *by, "y", "x", F.rint(F.round(mixed, 9)).cast("int").alias(value))
 
 
 def correct_shading(
