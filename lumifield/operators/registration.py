@@ -251,30 +251,43 @@ def carry_forward(
     return filled.withColumns({c: F.col(f"_t.{c}") for c in columns}).drop("_t")
 
 
-def _sampled(targets: DataFrame, px: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Bilinear samples of ``px`` at (sy, sx) for every position of ``px``; 0 where there is no source.
+def _squares(px: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Each sample with its right, lower and lower right neighbour (columns sy, sx, p00 .. p11).
 
-    targets: by, ty_, tx_ (the position), sy, sx, and the allowed source window [y0,y1) x [x0,x1). A
-    corner outside the window, or of weight 0, is not joined. Every position also enters the final
-    sum with 0, which saves joining the result back to the image.
+    Neighbours come from windows along image lines, as planes are dense grids; a line of zeros goes
+    before the first row and column, and 0 stands for what lies beyond the last.
     """
-    keys = [*by, "ty_", "tx_"]
-    # settle rounding noise so that whole-pixel shifts hit pixels exactly
-    sy, sx = F.round("sy", 9), F.round("sx", 9)
-    def axis(s: Column, lo: str, hi: str) -> Column:
-        base = F.floor(s)
-        both = F.array(F.struct(base.alias("i"), (1 - (s - base)).alias("k")),
-                       F.struct((base + 1).alias("i"), (s - base).alias("k")))
-        return F.filter(both, lambda e: (e["k"] > 0) & (e["i"] >= F.col(lo)) & (e["i"] < F.col(hi)))
-    corners = (
-        targets.select(*keys, F.explode(axis(sy, "y0", "y1")).alias("_a"), axis(sx, "x0", "x1").alias("_bs"))
-        .select(*keys, "_a", F.explode("_bs").alias("_b"))
-        .select(*keys, F.col("_a.i").alias("y"), F.col("_b.i").alias("x"), (F.col("_a.k") * F.col("_b.k")).alias("_k"))
+    before = lambda c: F.explode(F.when(F.col(c) == 0, F.array(F.lit(-1).cast("long"), F.col(c))).otherwise(F.array(c)))
+    padded = (
+        px.select(*by, "y", "x", value).withColumn("sy", before("y")).withColumn("sx", before("x"))
+        .select(*by, "sy", "sx", F.when((F.col("sy") < 0) | (F.col("sx") < 0), F.lit(0.0)).otherwise(F.col(value)).alias("p00"))
     )
-    hit = corners.join(px.select(*by, "y", "x", value), [*by, "y", "x"])
-    blank = px.select(*by, F.col("y").alias("ty_"), F.col("x").alias("tx_"), F.lit(0.0).alias(value))
-    parts = hit.select(*keys, (F.col("_k") * F.col(value)).alias(value)).unionByName(blank)
-    return parts.groupBy(*keys).agg(F.sum(value).alias(value)).withColumnsRenamed({"ty_": "y", "tx_": "x"})
+    across = Window.partitionBy(*by, "sy").orderBy("sx")
+    down = Window.partitionBy(*by, "sx").orderBy("sy")
+    zero = F.lit(0.0)
+    right = padded.withColumn("p01", F.coalesce(F.lead("p00").over(across), zero))
+    return right.withColumns({
+        "p10": F.coalesce(F.lead("p00").over(down), zero), "p11": F.coalesce(F.lead("p01").over(down), zero)})
+
+
+def _sampled(targets: DataFrame, px: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Bilinear samples of ``px`` for every target; 0 where there is no source.
+
+    targets: by, y, x, the source position fy, fx (NULL for none) and the source window
+    [y0,y1) x [x0,x1), outside of which a corner counts as 0. A target is joined once, to the square
+    of four samples around its source.
+    """
+    settled = lambda c: F.round(c, 9)  # whole-pixel shifts are to hit pixels exactly
+    at = targets.withColumns({"fy": settled("fy"), "fx": settled("fx")})
+    at = at.withColumns({"sy": F.floor("fy"), "sx": F.floor("fx")})
+    joined = at.join(_squares(px, by, value), [*by, "sy", "sx"], "left")
+    def weights(f: str, s: str, lo: str, hi: str) -> tuple[Column, Column]:
+        part = F.col(f) - F.col(s)
+        inside = lambda i: (i >= F.col(lo)) & (i < F.col(hi))
+        return (F.when(inside(F.col(s)), 1 - part).otherwise(0.0), F.when(inside(F.col(s) + 1), part).otherwise(0.0))
+    (ya, yb), (xa, xb) = weights("fy", "sy", "y0", "y1"), weights("fx", "sx", "x0", "x1")
+    mixed = ya * (xa * F.col("p00") + xb * F.col("p01")) + yb * (xa * F.col("p10") + xb * F.col("p11"))
+    return joined.select(*by, "y", "x", F.coalesce(mixed, F.lit(0.0)).alias(value))
 
 
 def _inverse_at(x: Column, y: Column) -> tuple[Column, Column]:
@@ -293,7 +306,7 @@ def warp(
     t = attach(px.select(*by, "y", "x"), transforms.select(*image, *MATRIX).join(size.select(*image, "h", "w"), list(image)), image)
     sx, sy = _inverse_at(F.col("x"), F.col("y"))
     zero = F.lit(0).cast("long")
-    targets = t.select(*by, F.col("y").alias("ty_"), F.col("x").alias("tx_"), sy.alias("sy"), sx.alias("sx"),
+    targets = t.select(*by, "y", "x", sy.alias("fy"), sx.alias("fx"),
                        zero.alias("y0"), F.col("h").alias("y1"), zero.alias("x0"), F.col("w").alias("x1"))
     return _sampled(targets, px, by, value)
 
@@ -309,7 +322,7 @@ def align_stack(
     """
     geo = windows.select(*image, "tile_id", "h", "cx", "cy", "half", "y0", "y1", "x0", "x1", "ymin", "xmin").join(
         transforms.select(*image, "tile_id", *MATRIX), [*image, "tile_id"], "left")
-    geo, _ = store(geo, "tiles")
+    geo, n_geo = store(geo, "tiles")
     heights = geo.select(*image, "h").distinct()
     grid = attach(px.select(*by, "y", "x"), heights, image)
     half = half_side(n)
@@ -324,15 +337,12 @@ def align_stack(
             last = F.when(covered, k).otherwise(last)
         return last
 
-    owned = grid.withColumns({"_i": owner("x"), "_j": owner("y")}).where(
-        F.col("_i").isNotNull() & F.col("_j").isNotNull()).select(
-        *by, "y", "x", (F.col("_i") * n + F.col("_j")).alias("tile_id"))
-    t = attach(owned, geo, [*image, "tile_id"])
+    owned = grid.select(*by, "y", "x", (owner("x") * n + owner("y")).alias("tile_id"))
+    t = attach(owned, (geo, n_geo), [*image, "tile_id"], how="left")
     ly = F.col("y") - core_offset("cy") + F.col("ymin")
     lx = F.col("x") - core_offset("cx") + F.col("xmin")
     sx, sy = _inverse_at(lx, ly)
-    targets = t.select(*by, F.col("y").alias("ty_"), F.col("x").alias("tx_"),
-                       (sy + F.col("y0")).alias("sy"), (sx + F.col("x0")).alias("sx"), "y0", "y1", "x0", "x1")
+    targets = t.select(*by, "y", "x", (sy + F.col("y0")).alias("fy"), (sx + F.col("x0")).alias("fx"), "y0", "y1", "x0", "x1")
     return _sampled(targets, px, by, value).withColumn(value, F.rint(F.round(value, 9)).cast("long"))
 
 
