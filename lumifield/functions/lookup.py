@@ -75,3 +75,19 @@ def window_join(
         & (F.col("x") < F.col("px") + after)
     )
     return spread.join(cells, [*by, "_by", "_bx"]).where(inside).drop("_by", "_bx")
+
+
+def box_join(boxes: DataFrame, pixels: DataFrame, by: Sequence[str] = (), side: int = 16) -> DataFrame:
+    """All pixels in ``[y0, y1) x [x0, x1)`` of each box, for boxes of any size.
+
+    As :func:`window_join`, with a fixed bucket side: a box is copied once per bucket it meets.
+    """
+    some = boxes.where((F.col("y1") > F.col("y0")) & (F.col("x1") > F.col("x0")))
+    spread = (
+        some.withColumn("_by", F.explode(F.sequence(bucket("y0", side), bucket(F.col("y1") - 1, side))))
+        .withColumn("_bx", F.explode(F.sequence(bucket("x0", side), bucket(F.col("x1") - 1, side))))
+    )
+    cells = pixels.withColumn("_by", bucket("y", side)).withColumn("_bx", bucket("x", side))
+    inside = (
+        (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")))
+    return spread.join(cells, [*by, "_by", "_bx"]).where(inside).drop("_by", "_bx")

@@ -48,15 +48,30 @@ def signal(
         F.when(bg > 0, (med - bg) / F.when(bg > 0, bg)).otherwise(0.0).alias("snr"), (med > level).alias("over"))
 
 
+def _edge(c: str, max_size: int, margin: int) -> Column:
+    return (F.col(c) < margin) | (F.col(c) >= max_size - margin)
+
+
 def edge_snr(
     sig: DataFrame, beads: DataFrame, max_size: int, margin: int = 40, by: Sequence[str] = ()
 ) -> DataFrame:
     """Older rule: the ratio is 0 for beads closer than ``margin`` to an edge."""
-    near = lambda c: (F.col(c) < margin) | (F.col(c) >= max_size - margin)
-    at = beads.select(*by, "bead_id", (near("x") | near("y")).alias("_edge"))
+    at = beads.select(*by, "bead_id", (_edge("x", max_size, margin) | _edge("y", max_size, margin)).alias("_edge"))
     return sig.join(at, [*by, "bead_id"]).withColumn("snr", F.when(F.col("_edge"), 0.0).otherwise(F.col("snr"))).drop("_edge")
 
 
+def edge_zero(
+    sig: DataFrame, beads: DataFrame, max_size: int, radius: int = 2, by: Sequence[str] = ()
+) -> DataFrame:
+    """Older rule: nothing is measured for beads within two radii of an edge."""
+    m = 2 * radius
+    at = beads.select(*by, "bead_id", (_edge("x", max_size, m) | _edge("y", max_size, m)).alias("_edge"))
+    gone = F.col("_edge")
+    return sig.join(at, [*by, "bead_id"]).withColumns({
+        "brightness": F.when(gone, 0).otherwise(F.col("brightness")), "snr": F.when(gone, 0.0).otherwise(F.col("snr")),
+        "over": F.when(gone, False).otherwise(F.col("over"))}).drop("_edge")
+
+
 def brightest(rank: str = "chan_rank", brightness: str = "brightness") -> Column:
     """Aggregate: position of the brightest channel, the first one on ties."""
     return F.max_by(rank, F.struct(F.col(brightness), -F.col(rank)))
@@ -101,15 +116,21 @@ def drop_uncalled(wide: DataFrame, compat: bool = False) -> DataFrame:
 
 def decode_square(
     beads: DataFrame, px: DataFrame, n_cycles: int, reference_channel: int = 0, radius: int = 2, match: bool = True,
-    thresholds: Mapping[int, float] | None = None, by: Sequence[str] = (), **rules,
+    thresholds: Mapping[int, float] | None = None, by: Sequence[str] = (), max_size: int | None = None, **rules,
 ) -> DataFrame:
-    """Square-window decode: by, bead_id, x, y, cy0.., bbox (the window, inclusive)."""
+    """Square-window decode: by, bead_id, x, y, cy0.., bbox (the window, inclusive).
+
+    With ``max_size`` the older edge rules apply: no measurement within two radii of an edge, no
+    signal-to-noise ratio within 40 pixels.
+    """
     fluor = px.where(F.col("channel") != reference_channel)
     ranks = rank_channels(px, [*by, "cycle"], reference_channel)
     if match:
         fluor = match_histograms(fluor, [*by, "cycle"])
     bead = [*by, "bead_id"]
     sig = signal(square_samples(beads, fluor, radius, by), bead, thresholds)
+    if max_size is not None:
+        sig = edge_zero(edge_snr(sig, beads, max_size, 20 * radius, by), beads, max_size, radius, by)
     sig = attach(sig, ranks, [*by, "cycle", "channel"], spread_by=("bead_id",))
     wide = calls_wide(call_colours(sig, bead, **rules), n_cycles, bead)
     box = bbox_text(F.col("y") - radius, F.col("x") - radius, F.col("y") + radius - 1, F.col("x") + radius - 1)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumifield.functions.lookup import attach, window_join
+from lumifield.functions.lookup import box_join, window_join
 
 
 def bead_at(requests: DataFrame, beads: DataFrame, keep: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -33,6 +33,13 @@ def window_samples(requests: DataFrame, px: DataFrame, radius: int = 2, scale: f
     return window_join(points, px, reach, reach, by).select("request_id", *by, "cycle", "channel", "y", "x", "v")
 
 
+def box_samples(boxes: DataFrame, px: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Samples of every cycle and channel in the box [y1, y2) x [x1, x2) of each request."""
+    spans = boxes.select(
+        "request_id", *by, F.col("y1").alias("y0"), F.col("y2").alias("y1"), F.col("x1").alias("x0"), F.col("x2").alias("x1"))
+    return box_join(spans, px, by).select("request_id", *by, "cycle", "channel", "y", "x", "v")
+
+
 def grow_bbox(boxes: DataFrame, scale: float) -> DataFrame:
     """Box scaled about its centre: half sides floored, corners truncated."""
     out = {}
@@ -52,6 +59,3 @@ def grid_report(samples: DataFrame, calls: DataFrame, channels: Sequence[int]) -
     cells = [F.col(str(c)).alias(f"ch{c}") for c in channels]
     return grid.join(calls, ["request_id", "cycle"], "left").select(
         "request_id", "cycle", *cells, F.coalesce(F.col("call").cast("string"), F.lit("N/A")).alias("output"))
-
-
-__all__ = ["attach", "bead_at", "grid_report", "grow_bbox", "parse_bbox", "window_samples"]

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from lumifield.functions.constants import (
     INLIER_PX, MATCH_RATIO, MATRIX_FORMAT, MIN_POINTS, NCC_REUSE, NCC_STAGE_2, NCC_STAGE_3,
 )
-from lumifield.functions.lookup import attach
+from lumifield.functions.lookup import attach, bucket
 from lumifield.functions.storage import store
 from lumifield.operators.intensity import ncc_agg, ncc_columns
 from lumifield.operators.tiles import core_offset, half_side
@@ -175,6 +175,45 @@ def shift_search(
         *by, "dy", "dx", ncc_columns(*(F.col(c) for c in ("n", "sa", "sb", "sab", "saa", "sbb"))).alias("ncc"))
 
 
+def shift_pyramid(
+    fixed: DataFrame, moving: DataFrame, by: Sequence[str] = ("tile_id",), levels: int = 3, radius: int = 2,
+    plane: Sequence[str] = (), value: str = "v", keep: int = 3,
+) -> DataFrame:
+    """Best shift per group, found coarse to fine: by, dy, dx, ncc at full size.
+
+    Each level halves the image (block means), takes the ``keep`` best shifts of the level above,
+    doubled, and searches ``radius`` pixels around them, so shifts up to radius * (2 ** levels - 1)
+    are in reach. Keeping several guards against beads that repeat at a regular distance.
+    """
+    plane, by = list(plane), list(by)
+
+    def shrink(df: DataFrame, keys: list[str], factor: int) -> DataFrame:
+        if factor == 1:
+            return df.select(*keys, "y", "x", value)
+        return df.groupBy(*keys, bucket("y", factor).alias("y"), bucket("x", factor).alias("x")).agg(
+            F.rint(F.avg(value)).cast("long").alias(value))
+
+    keys = list(dict.fromkeys([*plane, *by]))
+    start = None
+    for level in reversed(range(levels)):
+        small = shrink(moving, keys, 2 ** level)
+        if start is None:
+            small = small.withColumns({"_sy": F.lit(0), "_sx": F.lit(0)})
+        else:
+            doubled = start.select(*by, (2 * F.col("dy")).alias("_sy"), (2 * F.col("dx")).alias("_sx"))
+            small = attach(small, doubled, by)
+        # compare each sample where the shift so far says it came from, and search around that
+        small = small.withColumns({"y": F.col("y") - F.col("_sy"), "x": F.col("x") - F.col("_sx")})
+        scores = shift_search(shrink(fixed, plane, 2 ** level), small, [*by, "_sy", "_sx"], radius, plane, value)
+        total = scores.groupBy(*by, (F.col("_sy") + F.col("dy")).alias("dy"), (F.col("_sx") + F.col("dx")).alias("dx")).agg(
+            F.max("ncc").alias("ncc"))
+        if level == 0:
+            return best_shift(total, by)
+        order = Window.partitionBy(*by).orderBy(F.desc(F.round("ncc", 9)), "dy", "dx")
+        best = total.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= keep).drop("_rank")
+        start, _ = store(best, "shifts")
+
+
 def best_shift(scores: DataFrame, by: Sequence[str] = ("tile_id",)) -> DataFrame:
     """Shift with the highest NCC per group (smallest shift order on ties; scores to 9 places)."""
     key = F.struct(F.round("ncc", 9), -F.col("dy"), -F.col("dx"))

@@ -425,6 +425,13 @@ def t08_shift_search(spark, sf):
     return registration.best_shift(shifts(spark, sf)).select("tile_id", "dy", "dx", r6("ncc"))
 
 
+@query
+def t08_shift_pyramid(spark, sf):
+    found = registration.shift_pyramid(
+        fx.brightfield(spark, sf).drop(*PLANE), tile4(fx.moving_pixels(spark, sf)), ["tile_id"], levels=2)
+    return found.select("tile_id", "dy", "dx", r6("ncc"))
+
+
 @query
 def t09_cascade(spark, sf):
     all_tiles = tile4(fx.moving_pixels(spark, sf))
@@ -566,8 +573,10 @@ def b13_decode_square(spark, sf):
 
 @query
 def b13_decode_square_older(spark, sf):
+    w = fx.brightfield(spark, sf).agg(F.max("x") + 1).first()[0]
     return decode.decode_square(
         fx.beads(spark, sf), fx.pixels(spark, sf), 3, thresholds=THRESHOLDS, cutoff=0.5, noise="none_high", gate="any_over",
+        max_size=w,
     ).select("x", "y", "cy0", "cy1", "cy2", "bbox")
 
 
@@ -717,6 +726,13 @@ def i03_windows(spark, sf):
         F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.min("y").alias("y0"), F.max("x").alias("x1"))
 
 
+@query
+def i03_box_windows(spark, sf):
+    boxes = inspect.grow_bbox(_parsed(spark, sf), 1.5).withColumnRenamed("bead_id", "request_id")
+    return inspect.box_samples(boxes, fx.pixels(spark, sf)).groupBy("request_id", *PLANE).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
+
+
 @query
 def i04_grow_bbox(spark, sf):
     return inspect.grow_bbox(_parsed(spark, sf), 1.5).select("bead_id", "y1", "x1", "y2", "x2")

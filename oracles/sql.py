@@ -245,7 +245,10 @@ JOIN matched_px p ON p.y = b.y AND p.x = b.x""")
 signals("msig", "matched_samples", thresholds=False)
 calls("call_m", "msig", reject="min(snr) > 1 - 0.1::DOUBLE OR NOT bool_and(over)")
 wide("wide_m", "call_m")
-signals("msig_older", "matched_samples")
+signals("msig_plain", "matched_samples")
+piece("msig_older", """
+SELECT bead_id, cycle, channel, chan_rank, CASE WHEN near2 THEN 0 ELSE br END AS br, CASE WHEN near40 THEN 0 ELSE snr END AS snr, over AND NOT near2 AS over
+FROM msig_plain JOIN (SELECT bead_id, x < 4 OR y < 4 OR x >= w-4 OR y >= w-4 AS near2, x < 40 OR y < 40 OR x >= w-40 OR y >= w-40 AS near40 FROM beads, side_w) USING (bead_id)""")
 calls("call_older", "msig_older", reject="max(snr) < 0.5 OR NOT bool_or(over)")
 wide("wide_older", "call_older")
 piece("region_matched", "SELECT r.label, p.cycle, p.channel, p.v FROM inner_region r JOIN matched_px p ON p.y = r.y AND p.x = r.x")
@@ -578,6 +581,7 @@ SELECT label, q_id, c_id, round(d1, 6) AS d1, round(d2, 6) AS d2 FROM best WHERE
 oracle("t07_affine", """
 SELECT tile_id, round(a, 6) AS a, round(b, 6) AS b, round(tx, 6) AS tx, round(c, 6) AS c, round(d, 6) AS d, round(ty, 6) AS ty FROM fit""")
 oracle("t08_shift_search", "SELECT CAST(tile_id AS INTEGER) AS tile_id, dy, dx, round(ncc, 6) AS ncc FROM best2")
+oracle("t08_shift_pyramid", "SELECT CAST(tile_id AS INTEGER) AS tile_id, dy, dx, round(ncc, 6) AS ncc FROM best2")
 oracle("t09_cascade", """
 SELECT CAST(tile_id AS INTEGER) AS tile_id, CASE WHEN use3 THEN 3 ELSE s2 END AS stage, CASE WHEN use3 THEN y3 ELSE y2 END AS dy, CASE WHEN use3 THEN x3 ELSE x2 END AS dx,
   round(CASE WHEN use3 THEN n3 ELSE b2 END, 6) AS ncc FROM (
@@ -674,9 +678,13 @@ oracle("i03_windows", """
 SELECT bead_id AS request_id, cycle, channel, count(*) AS n, CAST(sum(p.v) AS BIGINT) AS total, min(p.y) AS y0, max(p.x) AS x1 FROM (
   SELECT bead_id, y + dy AS y, x + dx AS x FROM beads, (SELECT unnest(range(-3, 3)) AS dy), (SELECT unnest(range(-3, 3)) AS dx)) b
 JOIN pixels p ON p.y = b.y AND p.x = b.x GROUP BY ALL""")
-oracle("i04_grow_bbox", """
+piece("grown", """
 SELECT bead_id, CAST(trunc((y1+y2)/2 - hy) AS BIGINT) AS y1, CAST(trunc((x1+x2)/2 - hx) AS BIGINT) AS x1, CAST(trunc((y1+y2)/2 + hy) AS BIGINT) AS y2, CAST(trunc((x1+x2)/2 + hx) AS BIGINT) AS x2
 FROM (SELECT *, floor((y2-y1)*1.5::DOUBLE/2) AS hy, floor((x2-x1)*1.5::DOUBLE/2) AS hx FROM boxes)""")
+oracle("i04_grow_bbox", "SELECT bead_id, y1, x1, y2, x2 FROM grown")
+oracle("i03_box_windows", """
+SELECT bead_id AS request_id, cycle, channel, count(*) AS n, CAST(sum(v) AS BIGINT) AS total
+FROM grown JOIN pixels ON y >= y1 AND y < y2 AND x >= x1 AND x < x2 GROUP BY ALL""")
 oracle("i05_grid_report", """
 SELECT g.*, coalesce(CAST(c.call AS VARCHAR), 'N/A') AS output FROM (
   SELECT bead_id AS request_id, cycle, round(avg(p.v) FILTER (channel = 0), 6) AS ch0, round(avg(p.v) FILTER (channel = 1), 6) AS ch1, round(avg(p.v) FILTER (channel = 2), 6) AS ch2, round(avg(p.v) FILTER (channel = 3), 6) AS ch3
