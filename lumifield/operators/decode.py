@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumifield.functions.constants import NO_CALL
 from lumifield.functions.lookup import attach, window_join
-from lumifield.operators.intensity import above_otsu, match_histograms
+from lumifield.operators.intensity import above_otsu, apply_match, match_table
 from lumifield.operators.regions import bbox_text, bead_table, binary_close, clear_border, components, plane_size
 
 
@@ -125,10 +125,11 @@ def decode_square(
     """
     fluor = px.where(F.col("channel") != reference_channel)
     ranks = rank_channels(px, [*by, "cycle"], reference_channel)
-    if match:
-        fluor = match_histograms(fluor, [*by, "cycle"])
     bead = [*by, "bead_id"]
-    sig = signal(square_samples(beads, fluor, radius, by), bead, thresholds)
+    samples = square_samples(beads, fluor, radius, by)
+    if match:  # the table comes from whole planes, but only the samples are looked up in it
+        samples = apply_match(samples, match_table(fluor, [*by, "cycle"]), [*by, "cycle"], spread_by=("bead_id",))
+    sig = signal(samples, bead, thresholds)
     if max_size is not None:
         sig = edge_zero(edge_snr(sig, beads, max_size, 20 * radius, by), beads, max_size, radius, by)
     sig = attach(sig, ranks, [*by, "cycle", "channel"], spread_by=("bead_id",))
@@ -152,10 +153,12 @@ def decode_regions(
     region in every cycle and fluorescent channel, call colours, drop beads without a full code."""
     first = px.where((F.col("cycle") == 0) & (F.col("channel") == reference_channel))
     beads, regions = find_beads(first, [*by, "cycle", "channel"])
-    fluor = match_histograms(px.where(F.col("channel") != reference_channel), [*by, "cycle"])
+    fluor = px.where(F.col("channel") != reference_channel)
     ranks = rank_channels(px, [*by, "cycle"], reference_channel)
     bead = [*by, "label"]
-    sig = signal(region_samples(regions, fluor, by), bead, thresholds)
+    samples = apply_match(
+        region_samples(regions, fluor, by), match_table(fluor, [*by, "cycle"]), [*by, "cycle"], spread_by=("label",))
+    sig = signal(samples, bead, thresholds)
     sig = attach(sig, ranks, [*by, "cycle", "channel"], spread_by=("label",))
     wide = drop_uncalled(calls_wide(call_colours(sig, bead, **rules), n_cycles, bead), compat)
     box = bbox_text(F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2"))

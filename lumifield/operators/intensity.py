@@ -162,13 +162,20 @@ def match_table(
     return near.select(*plane, value, matched.alias("matched"))
 
 
+def apply_match(
+    rows: DataFrame, lut: DataFrame, cycle: Sequence[str], channel: str = "channel", value: str = "v",
+    spread_by: Sequence[str] = ("y", "x"),
+) -> DataFrame:
+    """Replace samples by their matched value (doubles); samples of the template channel keep theirs."""
+    out = attach(rows, lut, [*cycle, channel, value], how="left", spread_by=spread_by)
+    return out.withColumn(value, F.coalesce("matched", F.col(value).cast("double"))).drop("matched")
+
+
 def match_histograms(
     px: DataFrame, cycle: Sequence[str], channel: str = "channel", value: str = "v"
 ) -> DataFrame:
     """Match each fluorescent channel's histogram to the first one of its cycle; values are doubles."""
-    lut = match_table(px, cycle, channel, value)
-    out = attach(px, lut, [*cycle, channel, value], how="left")
-    return out.withColumn(value, F.coalesce("matched", F.col(value).cast("double"))).drop("matched")
+    return apply_match(px, match_table(px, cycle, channel, value), cycle, channel, value)
 
 
 def ncc_columns(n: Column, sa: Column, sb: Column, sab: Column, saa: Column, sbb: Column) -> Column:

@@ -309,24 +309,34 @@ def _squares(px: DataFrame, by: Sequence[str], value: str) -> DataFrame:
         "p10": F.coalesce(F.lead("p00").over(down), zero), "p11": F.coalesce(F.lead("p01").over(down), zero)})
 
 
-def _sampled(targets: DataFrame, px: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+def _sampled(
+    targets: DataFrame, px: DataFrame, by: Sequence[str], value: str, on: Sequence[str] | None = None
+) -> DataFrame:
     """Bilinear samples of ``px`` for every target; 0 where there is no source.
 
-    targets: by, y, x, the source position fy, fx (NULL for none) and the source window
+    With ``on`` fewer than the plane columns ``by`` (an image without its channel), a target stands for
+    all channels, which it lists in the column ``channels``.
+
+    targets: on, y, x, the source position fy, fx (NULL for none) and the source window
     [y0,y1) x [x0,x1), outside of which a corner counts as 0. A target is joined once, to the square
     of four samples around its source.
     """
     settled = lambda c: F.round(c, 9)  # whole-pixel shifts are to hit pixels exactly
     at = targets.withColumns({"fy": settled("fy"), "fx": settled("fx")})
     at = at.withColumns({"sy": F.floor("fy"), "sx": F.floor("fx")})
-    joined = at.join(_squares(px, by, value), [*by, "sy", "sx"], "left")
+    joined = at.join(_squares(px, by, value), [*(on or by), "sy", "sx"], "left")
     def weights(f: str, s: str, lo: str, hi: str) -> tuple[Column, Column]:
         part = F.col(f) - F.col(s)
         inside = lambda i: (i >= F.col(lo)) & (i < F.col(hi))
         return (F.when(inside(F.col(s)), 1 - part).otherwise(0.0), F.when(inside(F.col(s) + 1), part).otherwise(0.0))
     (ya, yb), (xa, xb) = weights("fy", "sy", "y0", "y1"), weights("fx", "sx", "x0", "x1")
     mixed = ya * (xa * F.col("p00") + xb * F.col("p01")) + yb * (xa * F.col("p10") + xb * F.col("p11"))
-    return joined.select(*by, "y", "x", F.coalesce(mixed, F.lit(0.0)).alias(value))
+    sampled = F.coalesce(mixed, F.lit(0.0)).alias(value)
+    if on is None:
+        return joined.select(*by, "y", "x", sampled)
+    # a position without source is one row so far, and 0 in every channel
+    present = F.when(F.col("channel").isNull(), F.col("channels")).otherwise(F.array("channel"))
+    return joined.select(*on, "y", "x", sampled, F.explode(present).alias("channel")).select(*by, "y", "x", value)
 
 
 def _inverse_at(x: Column, y: Column) -> tuple[Column, Column]:
@@ -362,8 +372,10 @@ def align_stack(
     geo = windows.select(*image, "tile_id", "h", "cx", "cy", "half", "y0", "y1", "x0", "x1", "ymin", "xmin").join(
         transforms.select(*image, "tile_id", *MATRIX), [*image, "tile_id"], "left")
     geo, n_geo = store(geo, "tiles")
-    heights = geo.select(*image, "h").distinct()
-    grid = attach(px.select(*by, "y", "x"), heights, image)
+    # all channels of a file share one geometry: positions are taken from one channel only
+    stacks = px.groupBy(*image).agg(F.min("channel").alias("_first"), F.collect_set("channel").alias("channels"))
+    stacks = stacks.join(geo.select(*image, "h").distinct(), list(image))
+    grid = attach(px.select(*by, "y", "x"), stacks, image).where(F.col("channel") == F.col("_first"))
     half = half_side(n)
     def owner(c: str) -> Column:
         """Last tile along the axis whose core covers the position, else NULL."""
@@ -376,13 +388,14 @@ def align_stack(
             last = F.when(covered, k).otherwise(last)
         return last
 
-    owned = grid.select(*by, "y", "x", (owner("x") * n + owner("y")).alias("tile_id"))
+    owned = grid.select(*image, "channels", "y", "x", (owner("x") * n + owner("y")).alias("tile_id"))
     t = attach(owned, (geo, n_geo), [*image, "tile_id"], how="left")
     ly = F.col("y") - core_offset("cy") + F.col("ymin")
     lx = F.col("x") - core_offset("cx") + F.col("xmin")
     sx, sy = _inverse_at(lx, ly)
-    targets = t.select(*by, "y", "x", (sy + F.col("y0")).alias("fy"), (sx + F.col("x0")).alias("fx"), "y0", "y1", "x0", "x1")
-    return _sampled(targets, px, by, value).withColumn(value, F.rint(F.round(value, 9)).cast("long"))
+    targets = t.select(
+        *image, "channels", "y", "x", (sy + F.col("y0")).alias("fy"), (sx + F.col("x0")).alias("fx"), "y0", "y1", "x0", "x1")
+    return _sampled(targets, px, by, value, image).withColumn(value, F.rint(F.round(value, 9)).cast("long"))
 
 
 def describe_matrix(transforms: DataFrame) -> DataFrame:
