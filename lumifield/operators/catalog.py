@@ -52,11 +52,15 @@ def status(is_reference: str = "is_reference", working_ndim: str = "working_ndim
 
 
 def set_reference(files: DataFrame, chosen: DataFrame, by: Sequence[str] = ("slide",), key: str = "path") -> DataFrame:
-    """Make one file per group the reference; the one before goes back to the status it had earned."""
+    """Make one file per group the reference; the one before goes back to the status its working
+    image has earned. Other files keep the status they have, if the catalogue holds one."""
     picked = chosen.select(*by, F.col(key).alias("_chosen"))
     out = attach(files, picked, by, how="left", spread_by=(key,))
     is_ref = F.when(F.col("_chosen").isNotNull(), F.col(key) == F.col("_chosen")).otherwise(F.col("is_reference"))
-    return out.withColumn("is_reference", is_ref).drop("_chosen").withColumn("status", status())
+    touched = is_ref | F.col("is_reference")
+    now = out.withColumns({"_touched": touched, "is_reference": is_ref})
+    kept = F.when(F.col("_touched"), status()).otherwise(F.col("status")) if "status" in files.columns else status()
+    return now.withColumn("status", kept).drop("_chosen", "_touched")
 
 
 def cycle_order(files: DataFrame, by: Sequence[str] = ("slide",), key: str = "path") -> DataFrame:

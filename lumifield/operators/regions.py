@@ -258,6 +258,21 @@ def top_blobs(regions: DataFrame, by: Sequence[str] = ("tile_id",), k: int = 500
     return good.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def find_points(
+    px: DataFrame, by: Sequence[str] = PLANE, k: int = 500, min_circularity: float = 0.5, value: str = "v"
+) -> DataFrame:
+    """Key points of raw samples: 8 bits, 3 x 3 smoothing, local Gaussian threshold (11 x 11, offset 2),
+    then :func:`top_blobs`."""
+    from lumifield.operators.intensity import minmax_8bit
+    from lumifield.operators.stencil import adaptive_threshold, blur, gaussian, stored_size, whole
+
+    size = stored_size(px, by)
+    soft = blur(minmax_8bit(px, by, value), gaussian(3), by, value, size=size)
+    smooth = soft.select(*by, "y", "x", whole(F.col("blurred")).alias(value))
+    bright = adaptive_threshold(smooth, gaussian(11), 2, by, value, size=size).where(F.col(value) == 255)
+    return top_blobs(components(bright.select(*by, "y", "x"), by), by, k, min_circularity)
+
+
 def second_pass(
     px: DataFrame, beads: DataFrame, by: Sequence[str] = PLANE, level: float = 120, radius: int = 3
 ) -> DataFrame:
@@ -275,6 +290,6 @@ def second_pass(
 
 __all__ = [
     "area_at_least", "bbox_text", "bead_table", "binary_close", "clear_border", "components", "contour_centres",
-    "contour_moments", "distinct_beads", "inside_edges", "keep_labels", "measure", "plane_size", "range_filter",
+    "contour_moments", "distinct_beads", "find_points", "inside_edges", "keep_labels", "measure", "plane_size", "range_filter",
     "second_pass", "top_blobs",
 ]

@@ -315,7 +315,9 @@ def g02_clear_border(spark, sf):
 
 @query
 def g03_components(spark, sf):
-    return bright_regions(spark, sf).select("label", "y", "x")
+    # blocks whose borders cut through beads, so that pieces have to be joined
+    fg = intensity.above_otsu(fx.brightfield(spark, sf), PLANE)
+    return regions.components(fg, PLANE, block=60).select("label", "y", "x")
 
 
 @query
@@ -342,6 +344,11 @@ def g07_key_points(spark, sf):
     return key_points(fg).select("tile_id", "rank", "x", "y", "area", r6("circularity"))
 
 
+@query
+def g07_find_points(spark, sf):
+    return regions.find_points(fx.brightfield(spark, sf), PLANE).select("rank", "x", "y", "area", r6("circularity"))
+
+
 @query
 def g08_distinct_beads(spark, sf):
     found = regions.bead_table(bright_regions(spark, sf), PLANE).select("x", "y")

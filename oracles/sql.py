@@ -541,6 +541,17 @@ SELECT label, m00, round(m10, 6) AS m10, round(m01, 6) AS m01, round(length, 6)
 coalesce(CAST(round_even(round(m10/nullif(m00, 0), 9), 0) AS BIGINT), 0) AS x, coalesce(CAST(round_even(round(m01/nullif(m00, 0), 9), 0) AS BIGINT), 0) AS y FROM contour""")
 oracle("g07_key_points", """
 SELECT CAST(tile_id AS INTEGER) AS tile_id, CAST(rank AS INTEGER) AS rank, x, y, area, round(circularity, 6) AS circularity FROM fixed_points""")
+stencil("soft3", "gray8", gauss(3))
+piece("smooth8", f"SELECT y, x, {whole('s')} AS v FROM soft3")
+stencil("smooth11", "smooth8", gauss(11), "replicate")
+piece("locally_bright", f"SELECT y, x FROM smooth8 JOIN smooth11 USING (y, x) WHERE v > {whole('s')} - 2")
+labelled("local_region", "locally_bright")
+outline("local_outline", "local_region")
+oracle("g07_find_points", """
+SELECT CAST(rank AS INTEGER) AS rank, x, y, area, round(circularity, 6) AS circularity FROM (
+  SELECT *, row_number() OVER (ORDER BY area DESC, x DESC, y DESC) AS rank FROM (
+    SELECT CAST(trunc(round(m10/m00, 9)) AS BIGINT) AS x, CAST(trunc(round(m01/m00, 9)) AS BIGINT) AS y, m00 AS area, 4*pi()*m00/(length*length) AS circularity
+    FROM local_outline WHERE m00 > 0 AND length > 0) WHERE circularity >= 0.5) WHERE rank <= 500""")
 oracle("g08_distinct_beads", """
 SELECT CAST(round_even(wx, 0) AS BIGINT) AS x, CAST(round_even(wy, 0) AS BIGINT) AS y FROM region_table UNION SELECT x, y FROM beads""")
 piece("found_beads", """

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lumifield.operators import catalog
 from lumifield.sources import stacks, tables
@@ -99,6 +100,9 @@ def test_catalogue_rules(spark):
     chosen = spark.createDataFrame([(1, "/d/c3.tif")], "slide int, path string")
     got = {r.path: r.status for r in catalog.set_reference(f, chosen).collect()}
     assert got == {"/d/c2.tif": "Aligned", "/d/c1.tif": "Raw", "/d/c3.tif": "Reference", "/d/bad.tif": "Raw"}
+    known = f.withColumn("status", F.lit("Protein Generated"))
+    got = {r.path: r.status for r in catalog.set_reference(known, chosen).collect()}
+    assert got == {"/d/c2.tif": "Protein Generated", "/d/c1.tif": "Raw", "/d/c3.tif": "Reference", "/d/bad.tif": "Protein Generated"}
     good, bad = catalog.split_valid(f)
     assert good.count() == 3 and [r.path for r in bad.collect()] == ["/d/bad.tif"]
     with pytest.raises(Exception, match="out of range"):
