@@ -12,7 +12,7 @@ from lumifield.functions.constants import (
 )
 from lumifield.functions.lookup import attach, bucket, window_join
 from lumifield.functions.stats import grouped_median
-from lumifield.functions.storage import store
+from lumifield.functions.storage import store, store_observed
 from lumifield.schemas import require
 
 
@@ -125,10 +125,11 @@ def nearest_site(
     the beads is spread over space.
     """
     on, key = list(on), list(query_key)
-    sites, _ = store(sites.select(*on, "x", "y").distinct(), "sites")
-    todo, n = store(queries.join(sites.select(*on).distinct(), on, "left_semi").select(*key, *on, "gx", "gy"), "queries")
-    span = lambda df, x, y: df.agg(F.max(F.greatest(F.abs(x), F.abs(y))).alias("m")).first()["m"] or 0
-    extent = max(span(sites, F.col("x"), F.col("y")), span(todo, F.col("gx"), F.col("gy")))
+    far = lambda x, y: F.max(F.greatest(F.abs(x), F.abs(y)))
+    sites, seen = store_observed(sites.select(*on, "x", "y").distinct(), "sites", far=far("x", "y"))
+    asked = queries.join(sites.select(*on).distinct(), on, "left_semi").select(*key, *on, "gx", "gy")
+    todo, about = store_observed(asked, "queries", far=far("gx", "gy"))
+    n, extent = about["n"], max(seen["far"] or 0, about["far"] or 0)
     found = None
     ring = F.array(F.lit(-1), F.lit(0), F.lit(1))
     while n:

@@ -124,8 +124,8 @@ def fit_affine_robust(
 ) -> DataFrame:
     """Affine from the largest agreeing subset of the pairs.
 
-    ``tries`` triples per group are drawn by hash (so every run draws the same), each gives a model,
-    the model with most pairs within ``inlier_px`` wins, and its inliers are fitted again.
+    ``tries`` triples per group are drawn by a fixed arithmetic rule (so every run, and every engine,
+    draws the same), each gives a model, the model with most pairs within ``inlier_px`` wins, and its inliers are fitted again.
     ``pairs`` carries rank 1..n inside the group.
     """
     by = list(by)
@@ -133,7 +133,8 @@ def fit_affine_robust(
     draws = (
         sizes.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
         .withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(2))))
-        .withColumn("rank", (F.pmod(F.xxhash64(*by, "try", "m"), F.col("_n")) + 1).cast("int"))
+        .withColumn("_s", (3 * F.col("try") + F.col("m") + 1).cast("long"))
+        .withColumn("rank", ((F.col("_s") * F.col("_s") * 7919 + F.col("_s") * 104729) % 1000003 % F.col("_n") + 1).cast("int"))
         .select(*by, "try", "rank").distinct()
     )
     triples = draws.join(pairs, [*by, "rank"])

@@ -333,8 +333,8 @@ def g05_area_opening(spark, sf):
 
 @query
 def g06_contour_centres(spark, sf):
-    m = regions.contour_moments(bright_regions(spark, sf), PLANE)
-    c = regions.contour_centres(bright_regions(spark, sf), PLANE)
+    found = bright_regions(spark, sf)
+    m, c = regions.contour_moments(found, PLANE), regions.contour_centres(found, PLANE)
     return m.join(c, [*PLANE, "label"]).select("label", "m00", r6("m10"), r6("m01"), r6("length"), "x", "y")
 
 

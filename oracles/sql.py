@@ -591,6 +591,34 @@ best AS (SELECT label, q_id, arg_min(c_id, d) AS c_id, min(d) AS d1, max(d) AS d
 SELECT label, q_id, c_id, round(d1, 6) AS d1, round(d2, 6) AS d2 FROM best WHERE d1 < 0.7::DOUBLE*d2 QUALIFY count(*) OVER (PARTITION BY label) >= 4""")
 oracle("t07_affine", """
 SELECT tile_id, round(a, 6) AS a, round(b, 6) AS b, round(tx, 6) AS tx, round(c, 6) AS c, round(d, 6) AS d, round(ty, 6) AS ty FROM fit""")
+
+
+def affine(name: str, source: str, keys: str) -> None:
+    """Least-squares affine of the pairs (x, y) -> (u, v) of each group."""
+    piece(name, f"""
+SELECT {keys}, a, b, mu - a*mx - b*my AS tx, c, d, mv - c*mx - d*my AS ty FROM (
+  SELECT *, (cxu*cyy - cyu*cxy)/det AS a, (cyu*cxx - cxu*cxy)/det AS b, (cxv*cyy - cyv*cxy)/det AS c, (cyv*cxx - cxv*cxy)/det AS d FROM (
+    SELECT *, cxx*cyy - cxy*cxy AS det FROM (
+      SELECT {keys}, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv, k*var_pop(x) AS cxx, k*var_pop(y) AS cyy, k*covar_pop(x, y) AS cxy,
+        k*covar_pop(x, u) AS cxu, k*covar_pop(y, u) AS cyu, k*covar_pop(x, v) AS cxv, k*covar_pop(y, v) AS cyv
+      FROM (SELECT *, count(*) OVER (PARTITION BY {keys}) AS k FROM {source}) GROUP BY {keys}, k)) WHERE abs(det) > 1e-9)""")
+
+
+piece("ranked_pairs", """
+SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY bead_id) AS rank, count(*) OVER (PARTITION BY tile_id) AS n FROM pairs""")
+piece("draws", """
+SELECT DISTINCT tile_id, try, (s*s*7919 + s*104729) % 1000003 % n + 1 AS rank FROM (
+  SELECT tile_id, n, try, 3*try + m + 1 AS s FROM (SELECT DISTINCT tile_id, n FROM ranked_pairs WHERE n >= 4), (SELECT unnest(range(64)) AS try), (VALUES (0),(1),(2)) AS t(m))""")
+piece("triples", "SELECT d.try, p.* FROM draws d JOIN ranked_pairs p ON p.tile_id = d.tile_id AND p.rank = d.rank")
+affine("models", "triples", "tile_id, try")
+RESIDUAL = "(a*x + b*y + tx - u)*(a*x + b*y + tx - u) + (c*x + d*y + ty - v)*(c*x + d*y + ty - v) <= 9"
+piece("best_model", f"""
+SELECT tile_id, a, b, tx, c, d, ty FROM models JOIN ranked_pairs USING (tile_id) GROUP BY tile_id, try, a, b, tx, c, d, ty
+QUALIFY row_number() OVER (PARTITION BY tile_id ORDER BY count(*) FILTER ({RESIDUAL}) DESC, try) = 1""")
+piece("inliers", f"SELECT p.tile_id, x, y, u, v FROM ranked_pairs p JOIN best_model b ON b.tile_id = p.tile_id WHERE {RESIDUAL}")
+affine("robust", "inliers", "tile_id")
+oracle("t07_affine_robust", """
+SELECT tile_id, round(a, 6) AS a, round(b, 6) AS b, round(tx, 6) AS tx, round(c, 6) AS c, round(d, 6) AS d, round(ty, 6) AS ty FROM robust""")
 oracle("t08_shift_search", "SELECT CAST(tile_id AS INTEGER) AS tile_id, dy, dx, round(ncc, 6) AS ncc FROM best2")
 oracle("t08_shift_pyramid", "SELECT CAST(tile_id AS INTEGER) AS tile_id, dy, dx, round(ncc, 6) AS ncc FROM best2")
 oracle("t09_cascade", """
