@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumifield.llm import langid, minhash, quality, topk
 from lumifield.llm.substring import dedup_substrings
 
 
@@ -12,12 +13,42 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality_rules(_table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.array_join("failed", ",").alias("failed"))
+
+
+def op6_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf, "documents"))
+
+
+def op8_topk_search(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = topk.integers(_table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(vectors.where("id % 50 = 0"), vectors)
+
+
+def held_out(key: str = "doc_id"):
+    """True for the quarter of ids that language ID doesn't learn from; null for a null id."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
+
+
+def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    filters = langid.learn(docs.where(~held_out()))
+    return langid.identify(docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text"), filters).drop("text")
+
+
 def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = dedup_substrings(_table(spark, sf, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op6_minhash_dedup": op6_minhash_dedup,
+    "op8_topk_search": op8_topk_search,
+    "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
