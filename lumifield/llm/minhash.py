@@ -104,7 +104,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = 36, rows: int = 6) -> DataFrame:
     """Groups of documents linked by shingle sets with 100 * intersection >= ``percent`` * union.
 
-    ``docs`` has doc_id and text. Returns one row per row: doc_id, n_shingles, component_id (least doc_id
+    ``docs`` has doc_id and text. Returns one row per row: doc_id, text_hash (xxhash64 of doc_id and text), n_shingles, component_id (least doc_id
     reachable), kept (doc_id = component_id). A to Z count as a to z; a shingle is ``size`` words.
 
     Equal sets count as one item from the start. Items meet in banded buckets of their sketches; with
@@ -122,7 +122,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
     table, _ = store(d.mapInArrow(
         lambda it: _sketch(it, size, bands, rows), f"_id {kind}, _h long, n_shingles long, item long, keys array<long>"), "sketch")
     banded = table.where("n_shingles > 0").select("item", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("item").alias("x"), F.max("item").alias("y")).where("x <> y").select("key")
+    # counted sides are written before they are joined: both sides are then plain shuffles, and hot keys can be split
+    shared, _ = store(banded.groupBy("key").agg(F.min("item").alias("x"), F.max("item").alias("y")).where("x <> y").select("key"), "shared")
     open_, left = store(banded.join(shared, "key").select("key", "item").distinct(), "buckets")
 
     named = table.join(open_.select("item").distinct(), "item").groupBy("item").agg(F.min(F.struct("_id", "_h")).alias("c"))
@@ -161,8 +162,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
         group = table.withColumn("_g", F.col("item"))
     else:
         group = table.join(comps, table["item"] == comps["node"], "left").withColumn("_g", F.coalesce("comp", "item"))
-    group = group.select("_id", "n_shingles", "_g")
-    least = group.where("n_shingles > 0").groupBy("_g").agg(F.min("_id").alias("_low"))
+    group = group.select("_id", "_h", "n_shingles", "_g")
+    least, _ = store(group.where("n_shingles > 0").groupBy("_g").agg(F.min("_id").alias("_low"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "least")
     out = group.join(least.withColumnRenamed("_g", "_k"), (F.col("_g") == F.col("_k")) & (F.col("n_shingles") > 0), "left")
-    comp = F.when(F.col("n_shingles") > 0, F.col("_low")).otherwise(F.col("_id"))
-    return out.select(F.col("_id").alias("doc_id"), "n_shingles", comp.alias("component_id"), F.col("_id").eqNullSafe(comp).alias("kept"))
+    comp = F.when(F.col("_n") > 1, F.col("_low")).otherwise(F.col("_id"))
+    return out.select(F.col("_id").alias("doc_id"), F.col("_h").alias("text_hash"), "n_shingles", comp.alias("component_id"), F.col("_id").eqNullSafe(comp).alias("kept"))

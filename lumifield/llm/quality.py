@@ -40,6 +40,7 @@ def _table(members: bytes) -> np.ndarray:
 def _counts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     lead = np.ones(256, bool)
     lead[0x80:0xC0] = False  # bytes that continue a character
+    letters = _table(bytes([*range(65, 91), *range(97, 123), *range(128, 256)]))
     symbols, marks, upper = _table(SYMBOLS), _table(b"!?"), _table(bytes(range(65, 91)))
     for part in batches:
         for w in words(part.column("_text")):
@@ -56,13 +57,15 @@ def _counts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
             busy = covered(len(w.hash), at[twice], window)
             stutter = np.zeros(len(w.hash), bool)  # words equal to the word before them in the text
             stutter[1:] = (w.hash[1:] == w.hash[:-1]) & (w.text[1:] == w.text[:-1])
+            letter = np.r_[0, np.cumsum(letters[w.data])]
+            bare = letter[w.end] == letter[w.start]  # words without a letter
             own = part.slice(w.first, texts)
             yield batch(
                 _id=own.column("_id"), lang=own.column("lang"), source=own.column("source"), n_words=np.diff(w.upto),
                 word_chars=by_word(length), n_symbols=per_text(symbols[w.data]),
                 n_dup_lines=np.bincount(line_text[again], minlength=texts).astype(np.int64),
                 n_repeat_words=by_word(busy), n_lines=np.bincount(line_text, minlength=texts).astype(np.int64),
-                n_marks=per_text(marks[w.data]), n_upper=per_text(upper[w.data]), n_stutters=by_word(stutter))
+                n_marks=per_text(marks[w.data]), n_upper=per_text(upper[w.data]), n_stutters=by_word(stutter), n_bare=by_word(bare))
 
 
 def counts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -73,7 +76,7 @@ def counts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return d.mapInArrow(
         lambda it: _counts(it, window),
         f"_id {kind}, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-        "n_repeat_words long, n_lines long, n_marks long, n_upper long, n_stutters long").withColumnRenamed("_id", "doc_id")
+        "n_repeat_words long, n_lines long, n_marks long, n_upper long, n_stutters long, n_bare long").withColumnRenamed("_id", "doc_id")
 
 
 def sketch(rows: DataFrame, by: list[str], value: Column | str) -> DataFrame:

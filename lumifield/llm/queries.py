@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumifield.llm import langid, minhash, quality, topk
+from lumifield.llm import langid, linededup, minhash, packing, pieces, quality, secrets, topk, weaklabel
 from lumifield.llm.substring import dedup_substrings
 
 
@@ -19,8 +20,40 @@ def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
         F.array_join("failed", ",").alias("failed"))
 
 
+def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings by place; the values themselves are not returned."""
+    return secrets.scan(_table(spark, sf, "documents")).select(
+        "doc_id", "start", "length", F.round("probability", 6).alias("probability"), "is_secret")
+
+
+def op3_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return weaklabel.classify(_table(spark, sf, "documents")).select(
+        "doc_id", "n_words", F.round("posterior", 6).alias("posterior"), F.round("score", 6).alias("score"), "kept")
+
+
+def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), ["doc_id"]).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
+def op5_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of every text, and whether decoding them gives the text back."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _table(spark, sf, "documents")
+    ids = pieces.encode(docs.select("doc_id", "text", F.xxhash64(F.replace(F.coalesce("text", F.lit("")), F.lit("\u2581"), F.lit(" "))).alias("was")),
+                        model, ["doc_id", "was"])
+    back = pieces.decode_ids(ids.withColumn("ids_crc32", F.crc32("ids")).withColumn("n_ids", F.floor(F.length("ids") / 4)),
+                             model, ["doc_id", "was", "n_ids", "ids_crc32"])
+    return back.select("doc_id", "n_ids", "ids_crc32", (F.xxhash64("decoded") == F.col("was")).alias("round_trip"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf, "documents"))
+    return minhash.near_duplicates(_table(spark, sf, "documents")).drop("text_hash")
+
+
+def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return linededup.dedup_lines(_table(spark, sf, "documents")).select(
+        "doc_id", "n_lines", "n_deleted", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op8_topk_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,7 +79,12 @@ def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_packing": op4_packing,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_topk_search": op8_topk_search,
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,

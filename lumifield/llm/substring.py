@@ -129,12 +129,14 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, edge: int = EDGE) ->
     found = d.mapInArrow(lambda it: _edges(it, window, edge), f"{key}, mer long, path long, first int, last int")
     found, _ = store(found, "edges")
     again = found.groupBy("mer").agg(F.count(F.lit(1)).alias("n"), (F.min("path") != F.max("path")).alias("branch"))
-    again, _ = store(found.join(again.where("n > 1").select("mer", "branch"), "mer"), "again")
+    # written before the join, so that both sides are plain shuffles and a hot edge can be split
+    counted, _ = store(again.where("n > 1").select("mer", "branch"), "counted")
+    again, _ = store(found.join(counted, "mer"), "again")
     plain, branch = again.where("NOT branch"), again.where("branch")
     paths = branch.groupBy("mer", "path").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_h", "first", "last")).alias("c"))
     paths, _ = store(paths, "paths")
-    settled = branch.join(paths.where("n > 1").select("mer", "path"), ["mer", "path"])
+    settled = branch.select("mer", "path", "_id", "_h", "first", "last").join(paths.where("n > 1").select("mer", "path"), ["mer", "path"])
     looked = paths.select("c.*", "mer", (F.col("n") == 1).alias("alone")).groupBy("_id", "_h").agg(
         F.collect_set(F.struct("first", "last", "mer", "alone")).alias("spans"))
     same = lambda a, b: a["_h"].eqNullSafe(b["_h"]) & a["_id"].eqNullSafe(b["_id"])

@@ -6,11 +6,13 @@ bytes that occur inside no other UTF-8 character, so words are found on bytes. N
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 CHUNK = 1 << 20  # bytes that are hashed at a time; a longer text makes a longer chunk
 
@@ -171,3 +173,13 @@ def batch(**columns: pa.Array | np.ndarray) -> pa.RecordBatch:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def carried(docs: DataFrame, keep: Sequence[str]) -> tuple[list[Column], str]:
+    """Columns of ``docs`` under names c0, c1, ... that clash with nothing, and their types as a schema text."""
+    cols = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
+    return cols, "".join(f", c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+
+
+def restored(out: DataFrame, keep: Sequence[str]) -> DataFrame:
+    return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(keep)})
