@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumifield.functions.storage import store
 from lumifield.llm.graph import components
 from lumifield.llm.words import Words, batch, mix, running, signed, stretch, words
 
+BLOCK = 1 << 15  # shingles of a block of items that are compared at once
+
 
 def _sets(w: Words, size: int) -> list[np.ndarray]:
     """Sorted hashes of the distinct shingles of each text; a shorter text is one shingle as a whole."""
@@ -30,11 +31,15 @@ def _sets(w: Words, size: int) -> list[np.ndarray]:
     return out
 
 
-@lru_cache(maxsize=8)
+_orders: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _probes(bins: int) -> tuple[np.ndarray, np.ndarray]:
     """For each bin an own random order of all bins, and the place of each bin in it."""
-    order = np.argsort(np.random.Generator(np.random.PCG64(bins)).random((bins, bins)), axis=1)
-    return order, np.argsort(order, axis=1)
+    if bins not in _orders:
+        order = np.argsort(np.random.Generator(np.random.PCG64(bins)).random((bins, bins)), axis=1)
+        _orders[bins] = order, np.argsort(order, axis=1)
+    return _orders[bins]
 
 
 def one_permutation(hashes: np.ndarray, bins: int) -> np.ndarray:
@@ -101,6 +106,33 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _confirm_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between components found by comparing all sets of one block with all of another, one row for each two components."""
+    for part in batches:
+        for ca, ma, cb, mb in zip(*(part.column(c) for c in ("ca", "ma", "cb", "mb"))):
+            comps, sizes, hashes = [], [], []
+            for c, m in ((ca, ma), (cb, mb)):
+                comps.append(np.asarray(c.values))
+                flat = m.values
+                sizes.append(np.diff(np.asarray(flat.buffers()[1]).view(np.int32)[flat.offset : flat.offset + len(flat) + 1]) // 8)
+                hashes.append(np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in flat]))
+            voc, place = np.unique(np.concatenate(hashes), return_inverse=True)
+            many = np.bincount(place) > 1
+            column = np.cumsum(many) - 1
+            grid = []
+            for n, part_of in zip(sizes, (place[: len(hashes[0])], place[len(hashes[0]) :])):
+                row = np.repeat(np.arange(len(n)), n)
+                g = np.zeros((len(n), int(many.sum())), np.float32)
+                keep = many[part_of]
+                g[row[keep], column[part_of[keep]]] = 1
+                grid.append(g)
+            common = np.rint(grid[0] @ grid[1].T).astype(np.int64)
+            union = sizes[0][:, None] + sizes[1][None, :] - common
+            i, j = np.nonzero((100 * common >= percent * union) & (comps[0][:, None] != comps[1][None, :]))
+            found = np.unique(np.c_[comps[0][i], comps[1][j]], axis=0)
+            yield batch(a=found[:, 0], b=found[:, 1])
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = 36, rows: int = 6) -> DataFrame:
     """Groups of documents linked by shingle sets with 100 * intersection >= ``percent`` * union.
 
@@ -108,10 +140,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
     reachable), kept (doc_id = component_id). A to Z count as a to z; a shingle is ``size`` words.
 
     Equal sets count as one item from the start. Items meet in banded buckets of their sketches; with
-    the default numbers a pair at the limit meets in none with a chance of 4e-8. In each bucket the first item is a
-    centre and the others are compared with it on the full sets. Buckets whose items are then linked to one another
-    are done; in the rest the next 4, 16, ... items are centres, until all items of a bucket have been compared
-    or are linked. So no link is lost to the choice of a centre, and a bucket of copies never makes all pairs.
+    the default numbers a pair at the limit meets in none with a chance of 4e-8. In each bucket the first item is the
+    centre of a star, and the others are compared with it on the full sets. A bucket whose other items are then in one
+    component is done. In the rest, items outside the centre's component are compared with all others, a block of
+    items with a block at a time, and only links between components come out. So no link is lost to the choice of a
+    centre, a bucket of copies makes one pair per copy, and no pair of single items is ever a row but those of the stars.
 
     Null or empty texts and those without words have n_shingles 0 and are linked with nothing. Equal rows
     are one item. A null doc_id is linked by its text but never the name of a group with other ids; alone
@@ -121,42 +154,49 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
     d = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_h"), F.col("text").alias("_text"))
     table, _ = store(d.mapInArrow(
         lambda it: _sketch(it, size, bands, rows), f"_id {kind}, _h long, n_shingles long, item long, keys array<long>"), "sketch")
-    banded = table.where("n_shingles > 0").select("item", F.explode("keys").alias("key"))
+    banded = table.where("n_shingles > 0").select("item", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     # counted sides are written before they are joined: both sides are then plain shuffles, and hot keys can be split
     shared, _ = store(banded.groupBy("key").agg(F.min("item").alias("x"), F.max("item").alias("y")).where("x <> y").select("key"), "shared")
-    open_, left = store(banded.join(shared, "key").select("key", "item").distinct(), "buckets")
+    open_, _ = store(banded.join(shared, "key").select("key", "item", "n").distinct(), "buckets")
 
     named = table.join(open_.select("item").distinct(), "item").groupBy("item").agg(F.min(F.struct("_id", "_h")).alias("c"))
     named = named.select("item", F.col("c._id").alias("i"), F.col("c._h").alias("j"))
     texts = d.join(named, F.col("_h").eqNullSafe(F.col("j")) & F.col("_id").eqNullSafe(F.col("i"))).select("item", "_text")
     sets, _ = store(texts.dropDuplicates(["item"]).mapInArrow(lambda it: _full(it, size), "item long, members binary"), "sets")
 
-    links = comps = tried = None
-    centres = 1
-    while left:
-        now = open_ if comps is None else open_.join(comps, open_["item"] == comps["node"], "left").select(
-            "key", "item", F.coalesce("comp", "item").alias("comp"))
-        if comps is None:
-            now = now.withColumn("comp", F.col("item"))
-        mixed = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-        turn = F.row_number().over(Window.partitionBy("key").orderBy("item"))
-        now, left = store(now.join(mixed, "key").withColumn("turn", turn), "open")
-        if not left:
-            break
-        hub = now.where(F.col("turn") <= centres).select("key", F.col("item").alias("a"), F.col("comp").alias("ca"), F.col("turn").alias("ta"))
-        pairs = hub.join(now, "key").where("comp <> ca AND turn > ta").select("a", F.col("item").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs, n = store(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        with_a = pairs.join(sets.select(F.col("item").alias("a"), F.col("members").alias("sa")), "a")
-        with_b = with_a.join(sets.select(F.col("item").alias("b"), F.col("members").alias("sb")), "b")
-        new, n = store(with_b.mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), "links")
+    # stars: the first item of each bucket against the others
+    first = open_.groupBy("key").agg(F.min("item").alias("a"))
+    first, _ = store(first, "centres")
+    pairs, _ = store(open_.join(first, "key").where("item <> a").select("a", F.col("item").alias("b")).distinct(), "pairs")
+    with_a = pairs.join(sets.select(F.col("item").alias("a"), F.col("members").alias("sa")), "a")
+    with_b = with_a.join(sets.select(F.col("item").alias("b"), F.col("members").alias("sb")), "b").select("a", "b", "sa", "sb")
+    links, n = store(with_b.mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), "links")
+    comps = components(links) if n else None
+
+    # the rest: buckets whose other items are not all in one component
+    if comps is not None:
+        comps, _ = store(comps, "comps")
+        rest = open_.join(first, "key").where("item <> a").join(comps, F.col("item") == comps["node"], "left").select(
+            "key", "item", "n", F.coalesce("comp", "item").alias("comp"), "a")
+        hub = comps.select(F.col("node").alias("a"), F.col("comp").alias("of"))
+        rest = rest.join(hub, "a", "left").withColumn("main", F.col("comp") == F.coalesce("of", "a")).select("key", "item", "n", "comp", "main")
+    else:
+        rest = open_.join(first, "key").where("item <> a").select("key", "item", "n", F.col("item").alias("comp"), F.lit(False).alias("main"))
+    rest, _ = store(rest, "rest")
+    mixed = rest.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum("n").alias("all"))
+    mixed, left = store(mixed.where("x <> y").select("key", F.ceil(F.col("all") / BLOCK).alias("blocks")), "mixed")
+    if left:
+        # a block is a share of a bucket of about BLOCK shingles; two blocks of the main component are linked as it is
+        block = F.when(F.col("main"), F.lit(0)).otherwise(F.lit(1)) + 2 * F.pmod(F.xxhash64("item"), F.col("blocks"))
+        dealt = rest.join(mixed, "key").select("key", block.alias("block"), "item", "comp")
+        dealt = dealt.join(sets, "item").groupBy("key", "block").agg(F.collect_list(F.struct("item", "comp", "members")).alias("r"))
+        dealt, _ = store(dealt.select("key", "block", F.col("r.comp").alias("c"), F.col("r.members").alias("m")), "blocks")
+        one = dealt.select("key", F.col("block").alias("p"), F.col("c").alias("ca"), F.col("m").alias("ma"))
+        two = dealt.select("key", F.col("block").alias("q"), F.col("c").alias("cb"), F.col("m").alias("mb"))
+        met = one.join(two, "key").where("p <= q AND (p % 2 = 1 OR q % 2 = 1)").select("ca", "ma", "cb", "mb")
+        more, n = store(met.mapInArrow(lambda it: _confirm_blocks(it, percent), "a long, b long").distinct(), "links")
         if n:
-            links = new if links is None else links.unionByName(new)
-            comps = components(links)
-        open_, left = store(now.where(F.col("turn") > centres).select("key", "item"), "buckets")
-        centres *= 4
+            comps = components(links.unionByName(more))
 
     if comps is None:
         group = table.withColumn("_g", F.col("item"))
