@@ -184,7 +184,7 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(keep, named.schema.fields))
     if not filters.langs:
         return out.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
-    sent = docs.sparkSession.sparkContext.broadcast(filters)  # bounded: slots for each 63 languages
+    # the filters go with the function: a fixed number of slots for each 63 languages
     got = named.withColumn("_text", F.col(text)).mapInArrow(
-        lambda it: sent.value.predict(it), f"{schema}, lang_pred string, score double")
+        lambda it: filters.predict(it), f"{schema}, lang_pred string, score double")
     return got.toDF(*out.columns, "lang_pred", "score")

@@ -159,8 +159,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
     shared, _ = store(banded.groupBy("key").agg(F.min("item").alias("x"), F.max("item").alias("y")).where("x <> y").select("key"), "shared")
     open_, _ = store(banded.join(shared, "key").select("key", "item", "n").distinct(), "buckets")
 
-    named = table.join(open_.select("item").distinct(), "item").groupBy("item").agg(F.min(F.struct("_id", "_h")).alias("c"))
-    named = named.select("item", F.col("c._id").alias("i"), F.col("c._h").alias("j"))
+    named = table.where("n_shingles > 0").groupBy("item").agg(F.min(F.struct("_id", "_h")).alias("c"))  # before the join: copies are one row
+    named = named.join(open_.select("item").distinct(), "item").select("item", F.col("c._id").alias("i"), F.col("c._h").alias("j"))
     texts = d.join(named, F.col("_h").eqNullSafe(F.col("j")) & F.col("_id").eqNullSafe(F.col("i"))).select("item", "_text")
     sets, _ = store(texts.dropDuplicates(["item"]).mapInArrow(lambda it: _full(it, size), "item long, members binary"), "sets")
 

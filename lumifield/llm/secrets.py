@@ -196,13 +196,11 @@ def rule_label(value: str, left: str, right: str) -> int | None:
 
 def describe(found: DataFrame, language: Language) -> DataFrame:
     """Add ``features`` (array<double>) and ``rule`` (1, 0 or null) to candidates."""
-    sent = found.sparkSession.sparkContext.broadcast(language)  # bounded by the size of the dictionary
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             rows = list(zip(*(part.column(c).to_pylist() for c in ("value", "path", "left", "right"))))
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array([features(*r, sent.value) for r in rows], pa.list_(pa.float64())),
+                [*part.columns, pa.array([features(*r, language) for r in rows], pa.list_(pa.float64())),
                  pa.array([rule_label(r[0], r[2], r[3]) for r in rows], pa.int32())], [*part.schema.names, "features", "rule"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema.fields)

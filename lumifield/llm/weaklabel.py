@@ -196,10 +196,9 @@ def classify(docs: DataFrame, rows: int = TRAIN_ROWS, threshold: float = 0.5) ->
     labelled = keyed.join(F.broadcast(some), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("j"))).select("text", "good")
     scorer = fit_scorer(labelled, rows)
     scorer.prior = model.prior
-    sent = docs.sparkSession.sparkContext.broadcast(scorer)  # 4,097 numbers
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = keyed.select(F.col("doc_id").alias("i"), F.col("h").alias("j"), F.col("text").alias("_text")).mapInArrow(
-        lambda it: sent.value.score(it), f"i {kind}, j long, score double").distinct()
+        lambda it: scorer.score(it), f"i {kind}, j long, score double").distinct()
     out = voted.join(scored, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("j")))
     score = F.when(F.col("n_words") > 0, F.col("score")).otherwise(0.0)
     return out.select("doc_id", "n_words", *names, "posterior", score.alias("score"), (score >= threshold).alias("kept"))
