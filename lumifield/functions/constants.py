@@ -32,5 +32,6 @@ NCC_REUSE = 0.3                    # below: take the previous tile's transform
 NCC_STAGE_2, NCC_STAGE_3 = 0.5, 0.6
 MATCH_RATIO = 0.7
 MIN_POINTS = 4
+RANSAC_ROUNDS = 100_000
 INLIER_PX = 3.0
 # --------------------------------------------------------------------------------------------

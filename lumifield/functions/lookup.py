@@ -26,15 +26,17 @@ def attach(
 ) -> DataFrame:
     """Join a per-key side table (one row per key) to ``rows``.
 
-    The side table is stored and counted, unless it comes as the pair that ``store`` returns. Small: broadcast, so ``rows`` is not shuffled. Large: each
-    side row is copied ``spread`` times and ``rows`` choose a copy by a hash of ``spread_by``, so one
-    hot key is shared out over that many tasks (AQE splits further what is still too big).
+    The side table is stored and counted, unless it comes as the pair that ``store`` returns. Small: broadcast, so ``rows`` is not shuffled. Large: a
+    shuffle join of two plain tables, whose hot keys adaptive execution splits; where it is switched off, each side row is
+    copied ``spread`` times and ``rows`` choose a copy by a hash of ``spread_by``.
     """
     on = list(on)
     side, n = table if isinstance(table, tuple) else store(table, "side")
     if n <= max_rows:
         return rows.join(F.broadcast(side), on, how)
-    if spread <= 1 or not spread_by:
+    conf = rows.sparkSession.conf
+    adaptive = all(conf.get(f"spark.sql.adaptive.{k}", "true") == "true" for k in ("enabled", "skewJoin.enabled"))
+    if adaptive or spread <= 1 or not spread_by:
         return rows.join(side, on, how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(spread)))
     copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))

@@ -31,36 +31,12 @@ def plane_size(px: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def grouped_median(rows: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
-    """Exact median per group without holding a group in one task.
+    """Exact median per group: one aggregate whose state is the counts of the group's distinct values.
 
-    Step 1 counts values per unit-wide bin (combined on the map side) and finds, from running
-    counts, the one or two bins that hold the middle ranks. Step 2 looks only at the rows of those
-    bins. Values are bounded by the sample depth, so the bins of a group are too.
+    For values of bounded depth (samples and their ratios within one region); a state never outgrows the
+    number of different values, and states are combined before the shuffle.
     """
-    by = list(by)
-    rows, _ = store(rows.where(F.col(value).isNotNull()).select(*by, value, F.floor(value).alias("_bin")), "values")
-    bins = rows.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_n"))
-    run = Window.partitionBy(*by).orderBy("_bin")
-    ranked = bins.withColumn("_upto", F.sum("_n").over(run)).withColumn(
-        "_total", F.sum("_n").over(Window.partitionBy(*by))
-    )
-    lo, hi = F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2)
-    first = F.col("_upto") - F.col("_n") + 1
-    middle = ranked.where((F.col("_upto") >= lo) & (first <= hi)).select(
-        *by, "_bin", (first - 1).alias("_before"), lo.alias("_lo"), hi.alias("_hi")
-    )
-    # distinct values inside the middle bins, with counts, give the two middle order statistics
-    inner = (
-        rows.join(middle, [*by, "_bin"])
-        .groupBy(*by, "_bin", "_before", "_lo", "_hi", value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    step = Window.partitionBy(*by, "_bin").orderBy(value)
-    ends = inner.withColumn("_end", F.col("_before") + F.sum("_n").over(step))
-    start = F.col("_end") - F.col("_n")
-    at = lambda k: F.max(F.when((start < F.col(k)) & (F.col("_end") >= F.col(k)), F.col(value)))
-    mid = ends.groupBy(*by).agg(at("_lo").alias("_a"), at("_hi").alias("_b"))
-    return mid.select(*by, ((F.col("_a") + F.col("_b")) / 2).alias(out))
+    return rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.median(value).alias(out))
 
 
 def running_index(

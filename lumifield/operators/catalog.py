@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumifield.functions import constants as K
 from lumifield.functions.lookup import attach
-from lumifield.functions.stats import running_index
 
 DEFAULTS = {
     "axes": K.AXES, "unit": K.UNIT, "PhysicalSizeX": K.PIXEL_SIZE, "PhysicalSizeY": K.PIXEL_SIZE,
@@ -66,7 +65,8 @@ def set_reference(files: DataFrame, chosen: DataFrame, by: Sequence[str] = ("sli
 def cycle_order(files: DataFrame, by: Sequence[str] = ("slide",), key: str = "path") -> DataFrame:
     """Cycle number inside each selection: the reference first, then by path; each file once."""
     once = files.groupBy(*by, key).agg(F.bool_or("is_reference").alias("is_reference"))
-    return running_index(once, by, [F.desc("is_reference"), F.col(key)], "cycle")
+    order = Window.partitionBy(*by).orderBy(F.desc("is_reference"), F.col(key))  # a selection is a few files
+    return once.withColumn("cycle", (F.row_number().over(order) - 1).cast("int"))
 
 
 def fluorescent_channels(files: DataFrame, key: str = "path") -> DataFrame:
@@ -106,11 +106,14 @@ def sort_files(files: DataFrame, column: str, ascending: bool = True) -> DataFra
 def with_working_image(px: DataFrame, working: DataFrame, files: DataFrame, image: Sequence[str] = ("file",)) -> DataFrame:
     """Samples with working images in place: a 2-D one replaces the reference channel, a 3-D one the
     whole stack. Which planes to keep follows from the catalogue alone, so pixels are not joined to
-    pixels. ``files``: image, reference_channel, working_ndim."""
+    pixels. ``files``: image, reference_channel, working_ndim; any other number of dimensions leaves the
+    image as it is. Samples of an image that ``files`` doesn't list stop the job."""
     info = files.select(*image, "reference_channel", F.coalesce("working_ndim", F.lit(0)).alias("working_ndim"))
     is_ref = F.col("channel") == F.col("reference_channel")
     nd = F.col("working_ndim")
-    base = attach(px, info, image).where((nd == 0) | ((nd == 2) & ~is_ref))
+    stop = F.raise_error(F.concat(F.lit("no such image in the catalogue: "), F.to_json(F.struct(*image))))
+    listed = F.when(nd.isNotNull(), nd).otherwise(stop.cast("int"))
+    base = attach(px, info, image, how="left").withColumn("working_ndim", listed).where((nd != 3) & ((nd != 2) | ~is_ref))
     new = attach(working, info, image).where((nd == 3) | ((nd == 2) & is_ref))
     return base.select(*px.columns).unionByName(new.select(*px.columns))
 

@@ -146,15 +146,20 @@ def find_beads(brightfield: DataFrame, by: Sequence[str] = ("cycle", "channel"))
 
 
 def decode_regions(
-    px: DataFrame, n_cycles: int, reference_channel: int = 0, by: Sequence[str] = (), compat: bool = False,
+    px: DataFrame, n_cycles: int, reference_channel: int | DataFrame = 0, by: Sequence[str] = (), compat: bool = False,
     thresholds: Mapping[int, float] | None = None, **rules,
 ) -> DataFrame:
     """From pixels to the bead table: find beads in the first cycle's brightfield, measure each
-    region in every cycle and fluorescent channel, call colours, drop beads without a full code."""
-    first = px.where((F.col("cycle") == 0) & (F.col("channel") == reference_channel))
+    region in every cycle and fluorescent channel, call colours, drop beads without a full code.
+
+    ``reference_channel`` is one channel for all, or a table (by, cycle, reference_channel)."""
+    is_ref = F.col("channel") == F.lit(reference_channel) if isinstance(reference_channel, int) else F.col("channel") == F.col("reference_channel")
+    if not isinstance(reference_channel, int):
+        px = attach(px, reference_channel, [*by, "cycle"])
+    first = px.where((F.col("cycle") == 0) & is_ref).drop("reference_channel")
     beads, regions = find_beads(first, [*by, "cycle", "channel"])
-    fluor = px.where(F.col("channel") != reference_channel)
-    ranks = rank_channels(px, [*by, "cycle"], reference_channel)
+    fluor = px.where(~is_ref).drop("reference_channel")
+    ranks = rank_channels(fluor, [*by, "cycle"], -1)
     bead = [*by, "label"]
     samples = apply_match(
         region_samples(regions, fluor, by), match_table(fluor, [*by, "cycle"]), [*by, "cycle"], spread_by=("label",))

@@ -234,7 +234,7 @@ def inside_edges(beads: DataFrame, radius: int, max_size: int, closed_low: bool
     return beads.where(ok("x") & ok("y"))
 
 
-def range_filter(beads: DataFrame, low: int, high: int, literal: bool = False) -> DataFrame:
+def range_filter(beads: DataFrame, low: int | Column, high: int | Column, literal: bool = False) -> DataFrame:
     """Beads with both coordinates in (low, high).
 
     ``literal`` gives the older rule, in which a small x alone is enough and a failing bead becomes (0, 0).

@@ -6,6 +6,7 @@ A transform is six columns a, b, tx, c, d, ty: a moving point (x, y) goes to
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -13,9 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 from lumifield.functions.constants import (
-    INLIER_PX, MATCH_RATIO, MATRIX_FORMAT, MIN_POINTS, NCC_REUSE, NCC_STAGE_2, NCC_STAGE_3,
+    INLIER_PX, MATCH_RATIO, MATRIX_FORMAT, MIN_POINTS, NCC_REUSE, NCC_STAGE_2, NCC_STAGE_3, RANSAC_ROUNDS,
 )
 from lumifield.functions.lookup import attach, bucket
 from lumifield.functions.storage import store
@@ -120,30 +122,46 @@ def _residual2() -> Column:
 
 
 def fit_affine_robust(
-    pairs: DataFrame, by: Sequence[str] = ("tile_id",), tries: int = 64, inlier_px: float = INLIER_PX
+    pairs: DataFrame, by: Sequence[str] = ("tile_id",), tries: int = 64, inlier_px: float = INLIER_PX,
+    confidence: float = 0.99, most: int = RANSAC_ROUNDS,
 ) -> DataFrame:
     """Affine from the largest agreeing subset of the pairs.
 
-    ``tries`` triples per group are drawn by a fixed arithmetic rule (so every run, and every engine,
-    draws the same), each gives a model, the model with most pairs within ``inlier_px`` wins, and its inliers are fitted again.
-    ``pairs`` carries rank 1..n inside the group.
+    Triples are drawn by a fixed arithmetic rule (so every run, and every engine, draws the same), each gives
+    a model, the model with most pairs within ``inlier_px`` wins, and its inliers are fitted again. A group has
+    ``tries`` draws at first, and four times as many each round until, by its share of inliers so far, a
+    clean triple has been drawn with ``confidence``, or ``most`` have been drawn. ``pairs`` carries rank 1..n inside the group.
     """
     by = list(by)
     sizes = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_POINTS)
-    draws = (
-        sizes.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-        .withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(2))))
-        .withColumn("_s", (3 * F.col("try") + F.col("m") + 1).cast("long"))
-        .withColumn("rank", ((F.col("_s") * F.col("_s") * 7919 + F.col("_s") * 104729) % 1000003 % F.col("_n") + 1).cast("int"))
-        .select(*by, "try", "rank").distinct()
-    )
-    triples = draws.join(pairs, [*by, "rank"])
-    models = fit_affine(triples, [*by, "try"])
-    votes = models.join(pairs, by).groupBy(*by, "try", *MATRIX).agg(
-        F.count_if(_residual2() <= inlier_px * inlier_px).alias("inliers"))
-    best = votes.groupBy(*by).agg(F.max_by(F.struct(*MATRIX), F.struct("inliers", -F.col("try"))).alias("_m"))
-    model = best.select(*by, "_m.*")
-    inliers = attach(pairs, model, by, spread_by=("rank",)).where(_residual2() <= inlier_px * inlier_px)
+    todo, left = store(sizes, "sizes")
+    best, done = None, 0
+    while left:
+        draws = (
+            todo.withColumn("try", F.explode(F.sequence(F.lit(done), F.lit(tries - 1))))
+            .withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(2))))
+            .withColumn("_s", (3 * F.col("try") + F.col("m") + 1).cast("long"))
+            .withColumn("rank", ((F.col("_s") * F.col("_s") * 7919 + F.col("_s") * 104729) % 1000003 % F.col("_n") + 1).cast("int"))
+            .select(*by, "try", "rank").distinct()
+        )
+        models = fit_affine(draws.join(pairs, [*by, "rank"]), [*by, "try"])
+        votes = models.join(pairs, by).groupBy(*by, "try", *MATRIX).agg(
+            F.count_if(_residual2() <= inlier_px * inlier_px).alias("inliers"))
+        if best is not None:
+            votes = votes.unionByName(best)
+        best, _ = store(votes.groupBy(*by).agg(F.max_by(
+            F.struct("try", *MATRIX, "inliers"), F.struct("inliers", -F.col("try"))).alias("_m")).select(*by, "_m.*"), "models")
+        if tries >= most:
+            break
+        seen = todo.join(best.select(*by, "inliers"), by, "left").withColumn(
+            "_clean", F.pow(F.coalesce("inliers", F.lit(0)) / F.col("_n"), F.lit(3.0)))
+        need = F.when(F.col("_clean") >= 1, 0.0).when(F.col("_clean") <= 0, float(most)).otherwise(
+            math.log(1 - confidence) / F.log1p(-F.col("_clean")))
+        todo, left = store(seen.where(need > tries).select(*by, "_n"), "sizes")
+        done, tries = tries, min(most, 4 * tries)
+    if best is None:
+        return fit_affine(pairs.where("false"), by)
+    inliers = attach(pairs, best.select(*by, *MATRIX), by, spread_by=("rank",)).where(_residual2() <= inlier_px * inlier_px)
     return fit_affine(inliers.select(*by, "x", "y", "u", "v"), by)
 
 
@@ -156,16 +174,24 @@ def shift_search(
     Result: by, dy, dx, ncc, where the moving sample at (y, x) is compared with the fixed one at
     (y - dy, x - dx). Fixed neighbours are gathered along image lines (windows bounded by an image
     side), so both inputs are shuffled a fixed number of times; the shifts are expanded only
-    inside the aggregation stage and never written or shuffled as rows. ``fixed`` is a dense plane.
+    inside the aggregation stage and never written or shuffled as rows. ``fixed`` is a dense plane: one with gaps
+    is refused, as neighbours are found by their place in the line.
     """
     plane, by = list(plane), list(by)
     span = range(-radius, radius + 1)
     rows = Window.partitionBy(*plane, "y").orderBy("x")
     cols = Window.partitionBy(*plane, "x").orderBy("y")
     at = lambda c, k, w: F.lag(c, k).over(w) if k else F.col(c)
+    gap = F.raise_error(F.lit("the fixed plane has gaps"))
+
+    def dense(c: str, axis: str, w: WindowSpec) -> Column:
+        before = F.lag(axis, 1).over(w)
+        return F.when(before.isNull() | (before == F.col(axis) - 1), F.col(c)).otherwise(gap)
+
     line = fixed.select(*plane, "y", "x", value).withColumn(
-        "_line", F.array(*[at(value, k, rows) for k in span])).drop(value)
-    near = line.withColumn("_near", F.array(*[at("_line", k, cols) for k in span])).drop("_line")
+        "_line", F.array(*[at(value, k, rows) for k in span])).withColumn("x", dense("x", "x", rows).cast("long")).drop(value)
+    near = line.withColumn("_near", F.array(*[at("_line", k, cols) for k in span])).withColumn(
+        "y", dense("y", "y", cols).cast("long")).drop("_line")
     joined = moving.join(near, [*plane, "y", "x"])
     opened = joined.select(*by, F.col(value).alias("_m"), F.posexplode("_near").alias("_dy", "_row")).where(
         F.col("_row").isNotNull()).select(
@@ -176,17 +202,51 @@ def shift_search(
         *by, "dy", "dx", ncc_columns(*(F.col(c) for c in ("n", "sa", "sb", "sab", "saa", "sbb"))).alias("ncc"))
 
 
+def search_plan(reach: int) -> tuple[int, int]:
+    """(levels, radius on the coarsest one) of a pyramid in which every shift up to ``reach`` pixels is searched."""
+    levels = 1
+    while reach > 4 * 2 ** (levels - 1):
+        levels += 1
+    return levels, -(-reach // 2 ** (levels - 1))
+
+
 def shift_pyramid(
-    fixed: DataFrame, moving: DataFrame, by: Sequence[str] = ("tile_id",), levels: int = 3, radius: int = 2,
-    plane: Sequence[str] = (), value: str = "v", keep: int = 3,
+    fixed: DataFrame, moving: DataFrame, by: Sequence[str] = ("tile_id",), reach: int = 6, radius: int = 2,
+    plane: Sequence[str] = (), value: str = "v", keep: int = 4,
 ) -> DataFrame:
-    """Best shift per group, found coarse to fine: by, dy, dx, ncc at full size.
+    """Best shift per group, found coarse to fine: by, dy, dx, ncc at full size, and on_rim.
 
-    Each level halves the image (block means), takes the ``keep`` best shifts of the level above,
-    doubled, and searches ``radius`` pixels around them, so shifts up to radius * (2 ** levels - 1)
-    are in reach. Keeping several guards against beads that repeat at a regular distance.
+    Each level halves the image (block means), takes the best shifts of the level above, doubled, and searches ``radius``
+    pixels around them; the coarsest level searches all that is within ``reach``. As beads
+    repeat at regular distances, the right shift need not be among the best of a coarse level: the search is
+    made with ``keep`` shifts, then with twice as many for the groups whose result still moved, until none does.
+    on_rim: the shift lies at the rim of what was searched, so the true one may be farther off.
     """
-    plane, by = list(plane), list(by)
+    by = list(by)
+    levels, _ = search_plan(reach)
+    rim = (F.greatest(F.abs("dy"), F.abs("dx")) >= reach).alias("on_rim")
+    if levels == 1:
+        return best_shift(shift_search(fixed, moving, by, max(reach, 1), plane, value), by).select(*by, "dy", "dx", "ncc", rim)
+    found, _ = store(_pyramid(fixed, moving, by, reach, radius, plane, value, keep), "found")
+    settled, rest = None, moving
+    while True:
+        keep *= 2
+        again, _ = store(_pyramid(fixed, rest, by, reach, radius, plane, value, keep), "found")
+        old = found.select(*by, F.col("dy").alias("_y"), F.col("dx").alias("_x"))
+        same = again.join(old, by).withColumn("_same", (F.col("dy") == F.col("_y")) & (F.col("dx") == F.col("_x"))).drop("_y", "_x")
+        done = same.where("_same").drop("_same")
+        settled = done if settled is None else settled.unionByName(done)
+        found, left = store(same.where("NOT _same").drop("_same"), "moved")
+        if not left:
+            return settled.select(*by, "dy", "dx", "ncc", rim)
+        rest = attach(moving, found.select(*by), by, how="left_semi", spread_by=("y", "x"))
+
+
+def _pyramid(
+    fixed: DataFrame, moving: DataFrame, by: list[str], reach: int, radius: int, plane: Sequence[str], value: str, keep: int,
+) -> DataFrame:
+    plane = list(plane)
+    levels, widest = search_plan(reach)
 
     def shrink(df: DataFrame, keys: list[str], factor: int) -> DataFrame:
         if factor == 1:
@@ -205,11 +265,12 @@ def shift_pyramid(
             small = attach(small, doubled, by)
         # compare each sample where the shift so far says it came from, and search around that
         small = small.withColumns({"y": F.col("y") - F.col("_sy"), "x": F.col("x") - F.col("_sx")})
-        scores = shift_search(shrink(fixed, plane, 2 ** level), small, [*by, "_sy", "_sx"], radius, plane, value)
+        scores = shift_search(shrink(fixed, plane, 2 ** level), small, [*by, "_sy", "_sx"],
+                              widest if level == levels - 1 else radius, plane, value)
         total = scores.groupBy(*by, (F.col("_sy") + F.col("dy")).alias("dy"), (F.col("_sx") + F.col("dx")).alias("dx")).agg(
             F.max("ncc").alias("ncc"))
         if level == 0:
-            return best_shift(total, by)
+            return best_shift(total.where((F.abs("dy") <= reach) & (F.abs("dx") <= reach)), by)
         order = Window.partitionBy(*by).orderBy(F.desc(F.round("ncc", 9)), "dy", "dx")
         best = total.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= keep).drop("_rank")
         start, _ = store(best, "shifts")

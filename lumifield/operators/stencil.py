@@ -31,7 +31,10 @@ Size = tuple[DataFrame, int]  # stored plane sizes and their number
 
 
 def stored_size(px: DataFrame, by: Sequence[str]) -> Size:
-    return store(plane_size(px, by), "size")
+    """Stored plane sizes; a plane that is not a full grid is refused, as neighbours are found by their place."""
+    size = px.groupBy(*by).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), F.count(F.lit(1)).alias("_n"))
+    full = F.when(F.col("_n") == F.col("h") * F.col("w"), F.col("w")).otherwise(F.raise_error(F.lit("a plane has gaps")).cast("long"))
+    return store(size.withColumn("w", full).drop("_n"), "size")
 
 
 def gaussian(size: int, sigma: float = 0.0) -> list[float]:
@@ -104,6 +107,8 @@ def _wide_pass(
     def band(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([line, axis])
         n = int(pdf[axis].max()) + 1
+        if len(pdf) != n * pdf[line].nunique() or (pdf[axis].to_numpy().reshape(-1, n) != np.arange(n)).any():
+            raise ValueError("a plane has gaps")
         for name, col, weights in jobs:
             r = len(weights) // 2
             lines = np.pad(pdf[col].to_numpy(np.float64).reshape(-1, n), ((0, 0), (r, r)), mode=mode)
@@ -128,7 +133,7 @@ def filter_bank(
             px.select(*by, "y", "x", *keep), by, "x", {f"_{k}": (value, wx) for k, (_, wx) in kernels.items()}, border)
         down = _wide_pass(across, by, "y", {k: (f"_{k}", wy) for k, (wy, _) in kernels.items()}, border)
         return down.drop(*[f"_{k}" for k in kernels])
-    sized = attach(px.select(*by, "y", "x", *keep), size or plane_size(px, by), by)
+    sized = attach(px.select(*by, "y", "x", *keep), size or stored_size(px, by), by)
     across = _pass(sized, by, "x", "w", {f"_{k}": (value, wx) for k, (_, wx) in kernels.items()}, border, keep)
     down = _pass(across, by, "y", "h", {k: (f"_{k}", wy) for k, (wy, _) in kernels.items()}, border, keep)
     return down.drop("h", "w")

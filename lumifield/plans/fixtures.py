@@ -69,7 +69,7 @@ def beads(spark: SparkSession, sf: str) -> DataFrame:
     """beads(bead_id, x, y): lattice centres."""
     return (
         sites(spark, sf).select("gy", "gx", "h").distinct().where("h < 6")
-        .selectExpr("gy*1000+gx AS bead_id", "gx*8+3+(h*5)%3 AS x", "gy*8+3+h%3 AS y")
+        .selectExpr("gy*1000000+gx AS bead_id", "gx*8+3+(h*5)%3 AS x", "gy*8+3+h%3 AS y")
     )
 
 
@@ -85,7 +85,7 @@ def protein_pixels(spark: SparkSession, sf: str) -> DataFrame:
 def cell_pixels(spark: SparkSession, sf: str) -> DataFrame:
     """Cell label image: label 0 is background, labels have gaps."""
     return sites(spark, sf).selectExpr(
-        "CASE WHEN y % 24 >= 2 AND x % 24 >= 2 THEN (y div 24)*100 + x div 24 + 1 ELSE 0 END AS label", "y", "x")
+        "CASE WHEN y % 24 >= 2 AND x % 24 >= 2 THEN (y div 24)*1000000 + x div 24 + 1 ELSE 0 END AS label", "y", "x")
 
 
 def color_code(spark: SparkSession, sf: str) -> DataFrame:
@@ -179,6 +179,6 @@ def descriptors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def point_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Point pairs per 40-pixel tile under a known affine map, one in nine far off."""
     return beads(spark, sf).selectExpr(
-        "(y div 40)*1000 + x div 40 AS tile_id", "bead_id", "x", "y",
+        "(y div 40)*1000000 + x div 40 AS tile_id", "bead_id", "x", "y",
         "1.01*x - 0.02*y + 3 + (bead_id % 7)/100D + CASE WHEN bead_id % 9 = 4 THEN 25 ELSE 0 END AS u",
         "0.03*x + 0.98*y - 2 + (bead_id % 5)/100D AS v")

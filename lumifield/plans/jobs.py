@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumifield.functions.constants import CELL_MAX_SIZE, NUM_TILES, OVERLAP
+from lumifield.functions.constants import CELL_MAX_SIZE, NUM_TILES, OVERLAP, STATUS_BEADS_GENERATED
 from lumifield.functions.lookup import attach
 from lumifield.functions.stats import plane_size
 from lumifield.functions.storage import store
 from lumifield.operators import catalog, cells, clahe, decode, registration, tiles
 from lumifield.operators.intensity import contrast_8bit
+from lumifield.sources import stacks
 
 SLIDE = ("slide",)
 FILE = ("slide", "cycle")
@@ -34,32 +35,71 @@ def correct_shading(px: DataFrame, files: DataFrame) -> DataFrame:
     return clahe.correct_shading(reference_planes(px, files), PLANE)
 
 
+def prepare(px: DataFrame, files: DataFrame, working: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(samples, good files, bad files) for alignment and bead finding: files whose reference channel is out of range
+    are left out and reported, working images take the place of their planes, and each file is cut to its max_size."""
+    good, bad = catalog.split_valid(files)
+    wanted = attach(px, good.select(*FILE), FILE, how="left_semi")
+    if working is not None:
+        wanted = catalog.with_working_image(wanted, attach(working, good.select(*FILE), FILE, how="left_semi"), good, FILE)
+    if "max_size" in files.columns:
+        wanted = stacks.crop(attach(wanted, good.select(*FILE, "max_size"), FILE), F.col("max_size")).drop("max_size")
+    return wanted, good, bad
+
+
 def align_to_reference(
-    px: DataFrame, files: DataFrame, n: int = NUM_TILES, overlap: int = OVERLAP, radius: int = 2, levels: int = 3
+    px: DataFrame, files: DataFrame, n: int = NUM_TILES, overlap: int = OVERLAP, reach: int | None = None,
+    working: DataFrame | None = None, levels: int | None = None,
 ) -> DataFrame:
     """Every later cycle moved onto cycle 0 of its slide, tile by tile, all channels alike.
 
-    Reference channels are stretched (percentiles 50 and 99), each tile's shift is searched coarse
-    to fine, weak tiles take the transform before them, and the stacks are warped and stitched.
+    Bad files are left out (see :func:`prepare`). Reference channels are stretched (percentiles 50 and 99), each tile's
+    shift is searched coarse to fine up to ``reach`` pixels (2 ** (levels + 1) - 2 if ``levels`` is given, else the overlap of tiles), weak tiles take the transform
+    before them, and the stacks are warped and stitched. :func:`find_shifts` gives the shifts by themselves.
     """
+    if reach is None and levels is not None:
+        reach = 2 ** (levels + 1) - 2
+    px, files, _ = prepare(px, files, working)
+    size, _ = store(plane_size(px, FILE), "size")
+    found = find_shifts(px, files, n, overlap, reach)
+    transforms = registration.carry_forward(registration.shift_matrix(found.drop("on_rim")), FILE)
+    windows = tiles.tile_windows(tiles.tile_grid(size.where("cycle > 0"), n, FILE), overlap)
+    moved = registration.align_stack(px.where("cycle > 0"), windows, transforms, PLANE, FILE, n)
+    still = px.where("cycle = 0").select(*PLANE, "y", "x", "v")
+    return still.unionByName(moved)
+
+
+def find_shifts(px: DataFrame, files: DataFrame, n: int = NUM_TILES, overlap: int = OVERLAP, reach: int | None = None) -> DataFrame:
+    """Shift of each tile of every later cycle: slide, cycle, tile_id, dy, dx, ncc, on_rim (the true shift may be out of reach)."""
     gray = contrast_8bit(reference_planes(px, files), PLANE, 50, 99).na.fill(0, ["v"])
     gray, _ = store(gray.select(*FILE, "y", "x", "v"), "gray")
     fixed = gray.where("cycle = 0").drop("cycle")
     moving = gray.where("cycle > 0")
-    size, n_size = store(plane_size(px, FILE), "size")
+    size = plane_size(px, FILE)
     tiled = tiles.pixels_by_tile(moving, size.where("cycle > 0"), n, overlap, (*FILE,), FILE)
     by = [*FILE, "tile_id"]
-    found = registration.shift_pyramid(fixed, tiled, by, levels, radius, SLIDE)
-    transforms = registration.carry_forward(registration.shift_matrix(found), FILE)
-    windows = tiles.tile_windows(tiles.tile_grid(size.where("cycle > 0"), n, FILE), overlap)
-    moved = registration.align_stack(px.where("cycle > 0"), windows, transforms, PLANE, FILE, n)
-    still = px.where("cycle = 0").select(*PLANE, "y", "x", "v")
-    return still.unionByName(moved)
+    return registration.shift_pyramid(fixed, tiled, by, overlap if reach is None else reach, plane=SLIDE)
 
 
-def generate_beads(px: DataFrame, n_cycles: int, reference_channel: int = 0, **rules) -> DataFrame:
-    """Bead table of every slide: slide, label, x, y, cy0.., bbox."""
-    return decode.decode_regions(px, n_cycles, reference_channel, SLIDE, **rules)
+def generate_beads(
+    px: DataFrame, n_cycles: int, reference_channel: int = 0, files: DataFrame | None = None, working: DataFrame | None = None, **rules,
+) -> DataFrame:
+    """Bead table of every slide: slide, label, x, y, cy0.., bbox.
+
+    With ``files`` each file's own reference channel, working image and size count, and bad files are left out.
+    """
+    if files is None:
+        return decode.decode_regions(px, n_cycles, reference_channel, SLIDE, **rules)
+    px, good, _ = prepare(px, files, working)
+    return decode.decode_regions(px, n_cycles, good.select(*FILE, "reference_channel"), SLIDE, **rules)
+
+
+def mark_generated(files: DataFrame, beads: DataFrame) -> DataFrame:
+    """Catalogue with the status of the files of slides that have beads set to bead data generated."""
+    done = beads.select("slide").distinct().withColumn("_done", F.lit(True))
+    new = F.when(F.col("_done"), F.lit(STATUS_BEADS_GENERATED))
+    status = F.coalesce(new, F.col("status")) if "status" in files.columns else new
+    return files.join(done, "slide", "left").withColumn("status", status).drop("_done")
 
 
 def cell_proteins(

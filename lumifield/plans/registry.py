@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumifield.functions import constants as K
@@ -50,6 +50,12 @@ def called_beads(spark: SparkSession, sf: str) -> DataFrame:
     return fx.beads(spark, sf).join(wide, "bead_id")
 
 
+def share_of_side(spark: SparkSession, sf: str, part: int, whole: int) -> Column:
+    """A share of the image side, as a single value of the plan."""
+    side = fx.brightfield(spark, sf).agg((F.max("y") + 1).alias("w"))
+    return side.select(F.floor(F.col("w") * part / whole).alias("s")).scalar()
+
+
 def grid4(spark: SparkSession, sf: str) -> DataFrame:
     """4 x 4 tiles of every cycle's image."""
     size = plane_size(fx.pixels(spark, sf, channels=[0]), ["cycle"])
@@ -65,7 +71,7 @@ def shifts(spark: SparkSession, sf: str, radius: int = 2) -> DataFrame:
         fx.brightfield(spark, sf).drop(*PLANE), tile4(fx.moving_pixels(spark, sf)), ["tile_id"], radius)
 
 
-def key_points(px: DataFrame, k: int = 6) -> DataFrame:
+def key_points(px: DataFrame, k: int = 500) -> DataFrame:
     """Key points per 4 x 4 tile from thresholded samples (columns y, x, tile_id)."""
     return regions.top_blobs(regions.components(px, ["tile_id"]), ["tile_id"], k)
 
@@ -96,7 +102,7 @@ def s03_load_stack(spark, sf):
 
 @query
 def s04_crop(spark, sf):
-    return stacks.crop(fx.pixels(spark, sf, [0]), 90)
+    return stacks.crop(fx.pixels(spark, sf, [0]), share_of_side(spark, sf, 9, 10))
 
 
 def _export(spark, sf):
@@ -282,7 +288,7 @@ def p17_ncc(spark, sf):
 @query
 def p18_fit_to_shape(spark, sf):
     bf = fx.brightfield(spark, sf)
-    return intensity.fit_to_shape(stacks.crop(bf, 61), bf, PLANE).select("y", "x", "v")
+    return intensity.fit_to_shape(stacks.crop(bf, share_of_side(spark, sf, 3, 5)), bf, PLANE).select("y", "x", "v")
 
 
 @query
@@ -372,9 +378,10 @@ def g10_edge_filter(spark, sf):
 @query
 def g11_range_filter(spark, sf):
     beads = fx.beads(spark, sf)
+    low, high = share_of_side(spark, sf, 1, 10), share_of_side(spark, sf, 4, 5)
     tag = lambda df, form: df.select("bead_id", "x", "y", F.lit(form).alias("form"))
-    return tag(regions.range_filter(beads, 10, 80), "meant").unionByName(
-        tag(regions.range_filter(beads, 10, 80, literal=True), "literal"))
+    return tag(regions.range_filter(beads, low, high), "meant").unionByName(
+        tag(regions.range_filter(beads, low, high, literal=True), "literal"))
 
 
 # ---- tiles and registration -----------------------------------------------------------------
@@ -435,7 +442,7 @@ def t08_shift_search(spark, sf):
 @query
 def t08_shift_pyramid(spark, sf):
     found = registration.shift_pyramid(
-        fx.brightfield(spark, sf).drop(*PLANE), tile4(fx.moving_pixels(spark, sf)), ["tile_id"], levels=2)
+        fx.brightfield(spark, sf).drop(*PLANE), tile4(fx.moving_pixels(spark, sf)), ["tile_id"], reach=6)
     return found.select("tile_id", "dy", "dx", r6("ncc"))
 
 

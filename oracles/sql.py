@@ -50,14 +50,14 @@ FROM site, (VALUES (0),(1),(2)) AS kk(cycle), (VALUES (0),(1),(2),(3)) AS cc(cha
 piece("bf", "SELECT y, x, v FROM pixels WHERE cycle = 0 AND channel = 0")
 piece("side_w", "SELECT max(x)+1 AS w FROM bf")
 piece("beads", """
-SELECT DISTINCT gy*1000+gx AS bead_id, gx*8+3+(h*5)%3 AS x, gy*8+3+h%3 AS y FROM site WHERE h < 6""")
+SELECT DISTINCT gy*1000000+gx AS bead_id, gx*8+3+(h*5)%3 AS x, gy*8+3+h%3 AS y FROM site WHERE h < 6""")
 piece("protein_pixels", """
 SELECT y, x, CASE WHEN h < 6 AND abs(y-(gy*8+3+h%3)) <= 2 AND abs(x-(gx*8+3+(h*5)%3)) <= 2
   THEN 5300 + 100*h ELSE CASE WHEN (y // 24 + x // 24) % 2 = 0 THEN 14000 ELSE 1500 END END + v % 200 AS v
 FROM (SELECT y, x, v, y // 8 AS gy, x // 8 AS gx, ((y // 8)*31 + (x // 8)*17) % 7 AS h
       FROM pixels WHERE cycle = 0 AND channel = 1)""")
 piece("cell_pixels", """
-SELECT CASE WHEN y % 24 >= 2 AND x % 24 >= 2 THEN (y // 24)*100 + x // 24 + 1 ELSE 0 END AS label, y, x FROM site""")
+SELECT CASE WHEN y % 24 >= 2 AND x % 24 >= 2 THEN (y // 24)*1000000 + x // 24 + 1 ELSE 0 END AS label, y, x FROM site""")
 piece("color_code", """
 SELECT DISTINCT concat('P', cy0, cy1, cy2) AS protein, cy0, cy1, cy2 FROM (
   SELECT CAST(p_partkey % 3 AS INTEGER) AS cy0, CAST(p_size % 3 AS INTEGER) AS cy1, CAST(length(p_name) % 3 AS INTEGER) AS cy2
@@ -300,22 +300,31 @@ imputed("filled_full", "23000")
 # ---- registration ---------------------------------------------------------------------------
 NCC = """CASE WHEN (k*saa - sa*sa) = 0 OR (k*sbb - sb*sb) = 0 THEN 0
   ELSE CAST(k*sab - sa*sb AS DOUBLE) / sqrt(CAST(k*saa - sa*sa AS DOUBLE) * CAST(k*sbb - sb*sb AS DOUBLE)) END"""
-piece("shift_scores", f"""
+
+
+def shift_scores(name: str, reach: int) -> None:
+    """NCC of every shift up to ``reach`` pixels."""
+    piece(name, f"""
 SELECT tile_id, dy, dx, {NCC} AS ncc FROM (
   SELECT m.tile_id, dy, dx, count(*)::HUGEINT AS k, sum(f.v) AS sa, sum(m.v) AS sb, sum(f.v*m.v) AS sab, sum(f.v*f.v) AS saa, sum(m.v*m.v) AS sbb
-  FROM (SELECT m.*, dy, dx FROM moving_pixels m, (SELECT unnest(range(-2, 3)) AS dy), (SELECT unnest(range(-2, 3)) AS dx)) m
+  FROM (SELECT m.*, dy, dx FROM moving_pixels m, (SELECT unnest(range(-{reach}, {reach + 1})) AS dy), (SELECT unnest(range(-{reach}, {reach + 1})) AS dx)) m
   JOIN bf f ON f.y = m.y - m.dy AND f.x = m.x - m.dx GROUP BY ALL)""")
 
 
-def best(name: str, where: str) -> None:
+shift_scores("shift_scores", 2)
+shift_scores("wide_scores", 6)
+
+
+def best(name: str, where: str, scores: str = "shift_scores") -> None:
     piece(name, f"""
-SELECT tile_id, CAST(dy AS INTEGER) AS dy, CAST(dx AS INTEGER) AS dx, ncc FROM shift_scores WHERE {where}
+SELECT tile_id, CAST(dy AS INTEGER) AS dy, CAST(dx AS INTEGER) AS dx, ncc FROM {scores} WHERE {where}
 QUALIFY row_number() OVER (PARTITION BY tile_id ORDER BY round(ncc, 9) DESC, dy, dx) = 1""")
 
 
 best("best0", "dy = 0 AND dx = 0")
 best("best1", "abs(dy) <= 1 AND abs(dx) <= 1")
 best("best2", "true")
+best("best6", "true", "wide_scores")
 piece("tile4", """
 SELECT k.cycle, CAST(i*4 + j AS INTEGER) AS tile_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, (2*i+1)/8*h AS cx, (2*j+1)/8*h AS cy, 0.125::DOUBLE*h AS half, h
 FROM (SELECT cycle, max(y)+1 AS h FROM pixels GROUP BY cycle) k, (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j)""")
@@ -331,7 +340,7 @@ SELECT tile_id, CAST(trunc(cy - trunc(half)) AS BIGINT) + r AS ty, CAST(trunc(cx
 FROM windows4, (SELECT unnest(range(2*CAST(trunc((SELECT max(half) FROM tile4)) AS BIGINT))) AS r), (SELECT unnest(range(2*CAST(trunc((SELECT max(half) FROM tile4)) AS BIGINT))) AS c)
 WHERE cycle = 0""")
 piece("pairs", """
-SELECT (y // 40)*1000 + x // 40 AS tile_id, bead_id, x, y,
+SELECT (y // 40)*1000000 + x // 40 AS tile_id, bead_id, x, y,
   1.01::DOUBLE*x - 0.02::DOUBLE*y + 3 + (bead_id % 7)/100.0::DOUBLE + CASE WHEN bead_id % 9 = 4 THEN 25 ELSE 0 END AS u,
   0.03::DOUBLE*x + 0.98::DOUBLE*y - 2 + (bead_id % 5)/100.0::DOUBLE AS v FROM beads""")
 piece("fit", """
@@ -356,7 +365,7 @@ def points(name: str, source: str) -> None:
     piece(name, f"""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY area DESC, x DESC, y DESC) AS rank FROM (
   SELECT tile_id, CAST(trunc(round(m10/m00, 9)) AS BIGINT) AS x, CAST(trunc(round(m01/m00, 9)) AS BIGINT) AS y, m00 AS area, 4*pi()*m00/(length*length) AS circularity
-  FROM {name}_outline WHERE m00 > 0 AND length > 0) WHERE circularity >= 0.5) WHERE rank <= 6""")
+  FROM {name}_outline WHERE m00 > 0 AND length > 0) WHERE circularity >= 0.5) WHERE rank <= 500""")
 
 
 points("fixed_points", "tiled_bf")
@@ -370,7 +379,7 @@ oracle("s02_stack_info", """
 SELECT cycle, count(DISTINCT channel) AS n_channels, max(y)+1 AS height, max(x)+1 AS width, min(v) AS min_v, max(v) AS max_v,
 CASE WHEN max(v) <= 255 THEN 'uint8' WHEN max(v) <= 65535 THEN 'uint16' ELSE 'int32' END AS dtype FROM pixels GROUP BY cycle""")
 oracle("s03_load_stack", "SELECT y, x, cycle, channel, v FROM pixels WHERE cycle = 1")
-oracle("s04_crop", "SELECT y, x, cycle, channel, v FROM pixels WHERE cycle = 0 AND y < 90 AND x < 90")
+oracle("s04_crop", "SELECT y, x, cycle, channel, v FROM pixels WHERE cycle = 0 AND y < (SELECT w*9//10 FROM side_w) AND x < (SELECT w*9//10 FROM side_w)")
 oracle("s05_export_stacks", """
 SELECT CASE WHEN prefix = '' THEN '' ELSE prefix || '_' END || 'c' || cycle || '.ome.tif' AS out_name, channel, y, x, v, 'CYX' AS axes, 'um' AS unit,
 0.325::DOUBLE AS "PhysicalSizeX", 0.325::DOUBLE AS "PhysicalSizeY" FROM shown_pixels JOIN stack_files USING (cycle) WHERE y < max_size AND x < max_size""")
@@ -510,7 +519,7 @@ SELECT tile_id, round({NCC}, 6) AS ncc FROM (
   FROM moving_pixels m JOIN bf f ON f.y = m.y AND f.x = m.x GROUP BY ALL)""")
 oracle("p18_fit_to_shape", """
 SELECT b.y, b.x, s.v FROM bf b LEFT JOIN (
-  SELECT y + shift AS y, x + shift AS x, v FROM bf, (SELECT greatest(w - least(w, 61), 0) // 2 AS shift FROM side_w) WHERE y < 61 AND x < 61) s
+  SELECT y + shift AS y, x + shift AS x, v FROM bf, (SELECT w*3//5 AS part, (w - w*3//5) // 2 AS shift FROM side_w) WHERE y < part AND x < part) s
 ON s.y = b.y AND s.x = b.x""")
 piece("discs", """
 SELECT DISTINCT y + dy AS y, x + dx AS x FROM beads, (SELECT unnest(range(-3, 4)) AS dy), (SELECT unnest(range(-3, 4)) AS dx) WHERE dy*dy + dx*dx <= 9""")
@@ -571,8 +580,8 @@ oracle("g10_edge_filter", """
 SELECT bead_id, form FROM beads, side_w, (VALUES ('strict'), ('mask')) AS f(form)
 WHERE x + 4 < w AND y + 4 < w AND CASE form WHEN 'strict' THEN x > 4 AND y > 4 ELSE x >= 4 AND y >= 4 END""")
 oracle("g11_range_filter", """
-SELECT bead_id, x, y, 'meant' AS form FROM beads WHERE x > 10 AND x < 80 AND y > 10 AND y < 80 UNION ALL
-SELECT bead_id, CASE WHEN ok THEN x ELSE 0 END, CASE WHEN ok THEN y ELSE 0 END, 'literal' FROM (SELECT *, (x > 10 AND x < 80 AND y > 10) OR x < 80 AS ok FROM beads)""")
+SELECT bead_id, x, y, 'meant' AS form FROM beads, side_w WHERE x > w//10 AND x < w*4//5 AND y > w//10 AND y < w*4//5 UNION ALL
+SELECT bead_id, CASE WHEN ok THEN x ELSE 0 END, CASE WHEN ok THEN y ELSE 0 END, 'literal' FROM (SELECT beads.*, (x > w//10 AND x < w*4//5 AND y > w//10) OR x < w*4//5 AS ok FROM beads, side_w)""")
 
 oracle("t01_tile_grid", "SELECT cycle, tile_id, i, j, cx, cy, half FROM tile4")
 oracle("t02_pixels_by_tile", """
@@ -620,7 +629,7 @@ affine("robust", "inliers", "tile_id")
 oracle("t07_affine_robust", """
 SELECT tile_id, round(a, 6) AS a, round(b, 6) AS b, round(tx, 6) AS tx, round(c, 6) AS c, round(d, 6) AS d, round(ty, 6) AS ty FROM robust""")
 oracle("t08_shift_search", "SELECT CAST(tile_id AS INTEGER) AS tile_id, dy, dx, round(ncc, 6) AS ncc FROM best2")
-oracle("t08_shift_pyramid", "SELECT CAST(tile_id AS INTEGER) AS tile_id, dy, dx, round(ncc, 6) AS ncc FROM best2")
+oracle("t08_shift_pyramid", "SELECT CAST(tile_id AS INTEGER) AS tile_id, dy, dx, round(ncc, 6) AS ncc FROM best6")
 oracle("t09_cascade", """
 SELECT CAST(tile_id AS INTEGER) AS tile_id, CASE WHEN use3 THEN 3 ELSE s2 END AS stage, CASE WHEN use3 THEN y3 ELSE y2 END AS dy, CASE WHEN use3 THEN x3 ELSE x2 END AS dx,
   round(CASE WHEN use3 THEN n3 ELSE b2 END, 6) AS ncc FROM (
