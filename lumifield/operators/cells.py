@@ -204,8 +204,8 @@ def cell_protein_values(
     own, _ = store(in_cell.select(*by, "label", "protein_idx", "x", "y"), "in_cell")
     used = own
     if impute:
-        # every cell x protein as an array of the (few) proteins per cell, minus those with a bead
-        proteins = names.agg(F.collect_set("protein_idx")).scalar()
+        # every cell x protein that has a bead somewhere, as an array of these proteins per cell, minus those with a bead in it
+        proteins = coded.agg(F.collect_set("protein_idx")).scalar()
         wanted = cells.select(*by, "label", "gx", "gy", F.explode(proteins).alias("protein_idx"))
         gaps = wanted.join(own, [*by, "label", "protein_idx"], "left_anti")
         near = nearest_site(gaps, coded, ["label"], [*by, "protein_idx"])

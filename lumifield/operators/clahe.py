@@ -36,11 +36,6 @@ def from_lightness(lightness: Column) -> Column:
     return F.rint(F.round(F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)) * 255, 9)).cast("int")
 
 
-def _mirror(c: Column, n: str) -> Column:
-    """Padded positions n, n+1, ... repeat the image mirrored at its last pixel."""
-    return F.when(c < F.col(n), c).otherwise(2 * (F.col(n) - 1) - c)
-
-
 def equalise_tiles(
     px: DataFrame, by: Sequence[str] = PLANE, value: str = "v", pixel: int = 7, clip: float = 2.0
 ) -> DataFrame:

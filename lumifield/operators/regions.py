@@ -226,7 +226,7 @@ def distinct_beads(beads: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return beads.dropDuplicates([*by, "x", "y"])
 
 
-def inside_edges(beads: DataFrame, radius: int, max_size: int, closed_low: bool = False) -> DataFrame:
+def inside_edges(beads: DataFrame, radius: int, max_size: int | Column, closed_low: bool = False) -> DataFrame:
     """Beads at least two radii from every edge; ``closed_low`` also admits exactly two on the low side."""
     def ok(c: str) -> Column:
         low = F.col(c) - 2 * radius

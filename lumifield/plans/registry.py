@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumifield.functions import constants as K
 from lumifield.functions.stats import grouped_median, plane_size
+from lumifield.functions.storage import shared_folder
 from lumifield.operators import catalog, cells, clahe, decode, inspect, intensity, regions, registration, stencil, tiles
 from lumifield.plans import fixtures as fx
 from lumifield.sources import stacks, tables
@@ -97,7 +99,10 @@ def s02_stack_info(spark, sf):
 
 @query
 def s03_load_stack(spark, sf):
-    return fx.pixels(spark, sf, [1])
+    """Cycle 1, read back from the stored stacks of all cycles."""
+    path = f"{shared_folder(spark)}/stacks-{uuid.uuid4().hex}"
+    stacks.write_stack(fx.pixels(spark, sf).withColumn("file", F.lit("f")), path)
+    return stacks.read_stack(spark, path, cycles=[1]).select("y", "x", "cycle", "channel", "v")
 
 
 @query
@@ -369,7 +374,7 @@ def g09_second_pass(spark, sf):
 
 @query
 def g10_edge_filter(spark, sf):
-    w = fx.brightfield(spark, sf).agg(F.max("x") + 1).first()[0]
+    w = share_of_side(spark, sf, 1, 1)
     beads = fx.beads(spark, sf)
     strict = regions.inside_edges(beads, 2, w).select("bead_id", F.lit("strict").alias("form"))
     return strict.unionByName(regions.inside_edges(beads, 2, w, True).select("bead_id", F.lit("mask").alias("form")))

@@ -1,4 +1,4 @@
-"""Table layouts. Samples are INT (Spark has no unsigned types), sums BIGINT, missing values NULL."""
+"""Table layouts. Samples and sums are BIGINT (Spark has no unsigned types), missing values NULL."""
 
 from __future__ import annotations
 

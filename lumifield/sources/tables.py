@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,10 +17,11 @@ def bead_schema(n_cycles: int) -> T.StructType:
     return T.StructType([*[T.StructField(c, T.IntegerType()) for c in ints], T.StructField("bbox", T.StringType())])
 
 
-def bead_rows(beads: DataFrame, n_cycles: int) -> DataFrame:
-    """Bead table in its file layout: no key, missing calls as the sentinel, box as text."""
+def bead_rows(beads: DataFrame, n_cycles: int, by: Sequence[str] = ()) -> DataFrame:
+    """Bead table in its file layout: no key but ``by`` (the slide, where a table has several), missing calls as the
+    sentinel, box as text."""
     calls = [F.coalesce(F.col(f"cy{k}"), F.lit(NO_CALL)).cast("int").alias(f"cy{k}") for k in range(n_cycles)]
-    return beads.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), *calls, "bbox")
+    return beads.select(*by, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), *calls, "bbox")
 
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
@@ -35,14 +38,15 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     return path
 
 
-def read_beads(spark: SparkSession, path: str, n_cycles: int) -> tuple[DataFrame, DataFrame]:
-    """(beads without the box, box column with the same key x, y)."""
-    df = spark.read.schema(bead_schema(n_cycles)).option("header", True).csv(path)
-    return split_bbox(df)
+def read_beads(spark: SparkSession, path: str, n_cycles: int, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(beads without the box, box column with the same key: by, x, y); ``by`` are text columns before x."""
+    keys = T.StructType([T.StructField(c, T.StringType()) for c in by])
+    df = spark.read.schema(T.StructType([*keys.fields, *bead_schema(n_cycles).fields])).option("header", True).csv(path)
+    return split_bbox(df, by)
 
 
-def split_bbox(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return df.drop("bbox"), df.select("x", "y", "bbox")
+def split_bbox(df: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    return df.drop("bbox"), df.select(*by, "x", "y", "bbox")
 
 
 def bead_lines(beads: DataFrame, n_cycles: int) -> DataFrame:

@@ -86,3 +86,45 @@ def test_cells_of_two_slides(spark):
     beads = spark.createDataFrame([("a", 10, 10, 0), ("a", 30, 30, 1), ("b", 10, 10, 1)], "slide string, x bigint, y bigint, cy0 int")
     got = {(r.slide, r.label, r.protein): r.value for r in jobs.cell_proteins(beads, labels, protein, code, 40).collect()}
     assert got == {("a", 1, "A"): 400, ("a", 2, "B"): 800, ("a", 1, "B"): 800, ("a", 2, "A"): 400, ("b", 1, "B"): 800, ("b", 2, "B"): 800}
+
+
+def test_each_file_has_its_own_reference_working_image_and_size(spark, slides):
+    """Slide b keeps its brightfield in channel 2 in cycle 1; slide c lists a channel that it doesn't have."""
+    swap = [slides["b"][0], [slides["b"][1][c] for c in (2, 1, 0, 3)], slides["b"][2]]
+    px = pixels(spark, {"a": slides["a"], "b": swap, "c": slides["b"]})
+    files = spark.createDataFrame(
+        [(s, k, 2 if (s, k) == ("b", 1) else 9 if s == "c" else 0, 4, 40 if s == "a" else 10_000, 2 if (s, k) == ("a", 0) else 0)
+         for s in "abc" for k in range(3)], "slide string, cycle int, reference_channel int, n_channels int, max_size int, working_ndim int")
+    work = px.where("slide = 'a' AND cycle = 0 AND channel = 0").withColumn("v", px.v + 100)
+    got = jobs.generate_beads(px, 3, files=files, working=work, cutoff=-100)
+    rows = {tuple(r) for r in got.select("slide", "x", "y", "cy0", "cy2").collect()}
+    plain = jobs.generate_beads(pixels(spark, {"b": slides["b"]}), 3, cutoff=-100)
+    assert {r[1:] for r in rows if r[0] == "b"} == {tuple(r) for r in plain.select("x", "y", "cy0", "cy2").collect()}
+    assert {r[0] for r in rows} == {"a", "b"} and all(r[1] < 40 and r[2] < 40 for r in rows if r[0] == "a")
+    done = {(r.slide, r.status is not None) for r in jobs.mark_generated(files, got).collect()}
+    assert done == {("a", True), ("b", True), ("c", False)}
+
+
+def test_pixels_of_unlisted_images_stop_the_job(spark, slides):
+    from lumifield.operators import catalog
+
+    px = pixels(spark, {"a": [[np.zeros((4, 4), int)]]})
+    files = spark.createDataFrame([("b", 0, 0, 5)], "slide string, cycle int, reference_channel int, working_ndim int")
+    with pytest.raises(Exception, match="no such image"):
+        catalog.with_working_image(px, px.where("false"), files, jobs.FILE).collect()
+
+
+def test_stored_tables_can_be_removed(spark, slides):
+    import os
+
+    from lumifield.functions.storage import scratch, shared_folder
+
+    def tables():
+        return set(os.listdir(shared_folder(spark).removeprefix("file:")))
+
+    spark.range(1).count()
+    before = tables() if os.path.isdir(shared_folder(spark).removeprefix("file:")) else set()
+    with scratch(spark):
+        assert jobs.generate_beads(pixels(spark, {"b": slides["b"]}), 3).count() >= 0
+        assert tables() - before
+    assert tables() <= before

@@ -130,3 +130,38 @@ def test_pairing_needs_enough_points(spark):
     pts = lambda n: spark.createDataFrame([(t, r, r, r) for t, k in ((0, n), (1, 3)) for r in range(1, k + 1)], "tile_id int, rank int, x int, y int")
     out = reg.pair_by_rank(pts(6), pts(5))
     assert out.count() == 5 and out.where("tile_id = 1").count() == 0
+
+
+def test_robust_affine_finds_one_clean_pair_in_five(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for tile in range(3):
+        for r in range(1, 61):
+            x, y = map(float, rng.uniform(0, 400, 2))
+            u, v = (1.02 * x - 0.03 * y + 4, 0.01 * x + 0.97 * y - 2) if rng.random() < 0.2 or r <= 6 else rng.uniform(0, 400, 2)
+            rows.append((tile, r, x, y, float(u), float(v)))
+    pairs = spark.createDataFrame(rows, "tile_id int, rank int, x double, y double, u double, v double")
+    got = reg.fit_affine_robust(pairs).collect()
+    assert len(got) == 3
+    for m in got:
+        assert np.allclose([m.a, m.b, m.tx, m.c, m.d, m.ty], [1.02, -0.03, 4, 0.01, 0.97, -2], atol=1e-6)
+
+
+def test_pyramid_reaches_sixty_pixels_and_reports_the_rim(spark):
+    arr = np.random.default_rng(6).integers(1, 5000, (160, 160))
+    smooth = sum(np.roll(arr, (i, j), axis=(0, 1)) for i in range(6) for j in range(6)) // 36
+    fixed = image(spark, smooth)
+    moved = image(spark, np.roll(smooth, (60, -37), axis=(0, 1))).where("y >= 60 AND x < 123").withColumn("tile_id", F.lit(0))
+    got = reg.shift_pyramid(fixed, moved, reach=64).first()
+    assert (got.dy, got.dx, got.on_rim) == (60, -37, False)
+
+
+def test_planes_with_gaps_are_refused(spark):
+    from lumifield.operators import stencil
+
+    px = image(spark, np.ones((6, 6), int), file="a").where("x <> 2")
+    for width in (3, 27):
+        with pytest.raises(Exception, match="gaps"):
+            stencil.blur(px, stencil.box(width), ["file"]).collect()
+    with pytest.raises(Exception, match="gaps"):
+        reg.shift_search(px.drop("file"), px.withColumn("tile_id", F.lit(0)), radius=1).collect()

@@ -112,3 +112,11 @@ def test_catalogue_rules(spark):
     assert ranks == [(0, 0), (1, 2), (2, 3)]
     same = lambda df: [r.all_same for r in catalog.same_metadata(df, ["n_channels", "reference_channel"]).collect()]
     assert same(f) == [False] and same(f.where("path IN ('/d/c1.tif', '/d/c2.tif')")) == [True] and same(f.where("false")) == [False]
+
+
+def test_bead_tables_of_two_slides_keep_them_apart(spark, tmp_path):
+    beads = spark.createDataFrame([("a", 3, 4, 0, "(1, 2, 5, 6)"), ("b", 3, 4, 1, "(0, 0, 5, 6)")], "slide string, x bigint, y bigint, cy0 int, bbox string")
+    path = tables.write_table(tables.bead_rows(beads, 1, ["slide"]), str(tmp_path / "two.csv"))
+    back, boxes = tables.read_beads(spark, path, 1, ["slide"])
+    joined = back.join(boxes, ["slide", "x", "y"])
+    assert {tuple(r) for r in joined.collect()} == {("a", 3, 4, 0, "(1, 2, 5, 6)"), ("b", 3, 4, 1, "(0, 0, 5, 6)")}
