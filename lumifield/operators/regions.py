@@ -69,9 +69,9 @@ def _join_pieces(edges: DataFrame, by: list[str]) -> DataFrame:
         seen = labels.select(*by, F.col("node").alias("b"), F.col("label").alias("_l"))
         near = both.join(seen, [*by, "b"]).groupBy(*by, F.col("a").alias("node")).agg(F.min("_l").alias("_near"))
         low = labels.join(near, [*by, "node"]).select(*by, "node", F.least("label", "_near").alias("_low"), "label")
-        low, _ = store(low, "low")
+        low, n = store(low, "low")
         jump = low.select(*by, F.col("node").alias("_low"), F.col("_low").alias("_next"))
-        nxt = attach(low, jump, [*by, "_low"], spread_by=("node",)).select(
+        nxt = attach(low, (jump, n), [*by, "_low"], spread_by=("node",)).select(
             *by, "node", F.least("_low", "_next").alias("label"), (F.least("_low", "_next") < F.col("label")).alias("_new"))
         labels, seen_counts = store_observed(nxt, "labels", changed=F.count_if("_new"))
         labels = labels.drop("_new")
