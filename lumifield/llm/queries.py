@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumifield.llm import langid, linededup, minhash, packing, pieces, quality, secrets, topk, weaklabel
+from lumifield.llm.oracles import ORACLES  # noqa: F401
 from lumifield.llm.substring import dedup_substrings
 
 
@@ -89,5 +90,3 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
 }
-
-ORACLES: dict[str, str] = {}
