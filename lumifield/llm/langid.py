@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumifield.functions.storage import store
-from lumifield.llm.words import CHUNK, batch, column, mix
+from lumifield.llm.words import CHUNK, batch, column, mix, small_batches
 
 GRAM = 4  # bytes of an n-gram, within words and one space
 PROBES = 3
@@ -60,6 +60,7 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + CHUNK, "right")) - 1))
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
+    pa.default_memory_pool().release_unused()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +149,7 @@ def learn(labelled: DataFrame, slots: int = SLOTS, share: float = SHARE, least:
     and foreign lines don't fill every filter. The filter of fixed size is put together on the executors;
     only its occupied slots reach the driver, at most ``slots`` for each 63 languages.
     """
-    spark = labelled.sparkSession
+    spark = small_batches(labelled).sparkSession
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string"), F.col("text").alias("_text"))
     counted = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted, _ = store(counted, "grams")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumifield.functions.storage import store
 from lumifield.llm.graph import components
-from lumifield.llm.words import Words, batch, mix, running, signed, stretch, words
+from lumifield.llm.words import Words, batch, mix, running, signed, small_batches, stretch, words
 
 BLOCK = 1 << 15  # shingles of a block of items that are compared at once
 
@@ -150,7 +150,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
     are one item. A null doc_id is linked by its text but never the name of a group with other ids; alone
     its component_id is null. No rows give no rows. Other columns are ignored.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = small_batches(docs).schema["doc_id"].dataType.simpleString()
     d = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_h"), F.col("text").alias("_text"))
     table, _ = store(d.mapInArrow(
         lambda it: _sketch(it, size, bands, rows), f"_id {kind}, _h long, n_shingles long, item long, keys array<long>"), "sketch")

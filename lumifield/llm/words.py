@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CHUNK = 1 << 20  # bytes that are hashed at a time; a longer text makes a longer chunk
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -144,6 +145,7 @@ def words(texts: pa.Array, lower: bool = False, chunk: int = CHUNK) -> Iterator[
         s, e = _runs(b, ends, SPACE)
         yield Words(i, j, b, ends, s, e, hash_runs(b, s, e, lower), np.searchsorted(s, ends))
         i = j
+    pa.default_memory_pool().release_unused()  # workers are used again, by other operators too
 
 
 def repeated(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,6 +177,14 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``; its session sends texts to Python 1,024 at a time, unless another size was set."""
+    conf = docs.sparkSession.conf
+    if conf.get(ROWS, "10000") == "10000":
+        conf.set(ROWS, "1024")
+    return docs
+
+
 def carried(docs: DataFrame, keep: Sequence[str]) -> tuple[list[Column], str]:
     """Columns of ``docs`` under names c0, c1, ... that clash with nothing, and their types as a schema text."""
     cols = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
