@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumifield.functions.storage import store
-from lumifield.llm.words import _LINE, Words, _runs, batch, carried, restored, running, signed, stretch, words
+from lumifield.llm.words import _LINE, Words, _runs, batch, carried, restored, running, signed, small_batches, stretch, words
 
 RARE = 50  # documents that may share a line for it to point to overlap by itself
 BLOCK_WORDS = 12  # words of a common block that is deleted
@@ -147,7 +147,7 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, block_words: int = BLOCK_WORD
     Null or empty texts have no lines and stay; equal rows count as one document; a null doc_id comes first
     in order; very long lines are hashed whole. No rows give no rows. Other columns are ignored.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = small_batches(docs).schema["doc_id"].dataType.simpleString()
     more, types = carried(docs, keep)
     d = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_h"), F.col("text").alias("_text"), *more)
     lines, _ = store(d.select("_id", "_h", "_text").mapInArrow(_describe, f"_id {kind}, _h long, lines array<long>, sizes array<int>"), "lines")
@@ -167,6 +167,7 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, block_words: int = BLOCK_WORD
     gone = both.mapInArrow(lambda it: _align(it, block_words), f"_id {kind}, _h long, gone array<int>")
     gone = gone.where(F.size("gone") > 0).select("_id", "_h", F.explode("gone").alias("g")).groupBy("_id", "_h").agg(F.collect_set("g").alias("_gone"))
     gone, _ = store(gone.select(F.col("_id").alias("i"), F.col("_h").alias("j"), "_gone"), "gone")
-    rows = d.join(gone, d["_id"].eqNullSafe(F.col("i")) & (d["_h"] == F.col("j")), "left").select("_id", "_h", *(f"c{i}" for i in range(len(keep))), "_gone", "_text")
+    # a merge join whatever the size: the plan is the same on small and large tables
+    rows = d.join(gone.hint("merge"), d["_id"].eqNullSafe(F.col("i")) & (d["_h"] == F.col("j")), "left").select("_id", "_h", *(f"c{i}" for i in range(len(keep))), "_gone", "_text")
     out = rows.mapInArrow(_delete, f"_id {kind}, _h long{types}, n_lines long, n_deleted long, kept_text string")
     return restored(out, keep).withColumnRenamed("_id", "doc_id").withColumnRenamed("_h", "text_hash")
