@@ -14,7 +14,7 @@ from lumifield.llm.words import batch
 
 BLOCK = 32_768  # vectors of one index
 ASKED = 128  # queries sent together
-LEVELS = 24  # posting segments of a dimension
+LEVELS = 12  # posting segments of a dimension
 STEPS = 48  # classes of quantised impact
 
 
@@ -24,7 +24,7 @@ class ImpactIndex:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS) -> None:
         self.ids, self.vectors = ids, vectors
         rows, self.dims = vectors.shape
-        self.order = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32)  # (dims, rows)
+        self.order = np.argsort(vectors, axis=0, kind="stable").T.copy()  # (dims, rows)
         ranked = np.take_along_axis(vectors.T, self.order, axis=1)
         # segments of equal value range; empty ones are left out
         dim, start, end = [], [], []
@@ -38,6 +38,8 @@ class ImpactIndex:
         self.dim, self.start, self.end = (np.array(v, np.int64) for v in (dim, start, end))
         self.low, self.high = ranked[self.dim, self.start], ranked[self.dim, self.end - 1]
         self.least, self.most = ranked[:, 0], ranked[:, -1]
+        for d, a, z in zip(self.dim, self.start, self.end):  # rows of a segment in order, which adds faster
+            self.order[d, a:z].sort()
 
     def search(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and scores of the k best rows but those with the id ``own``; ties to the smaller id.
@@ -69,12 +71,12 @@ class ImpactIndex:
         done, last = 0, len(segments)
         checks = set(range(STEPS // 2, 0, -3))
         rows = np.arange(len(self.ids))
-        order, begin, end, add = self.order, self.start, self.end, impact + one
+        order, dim, begin, end, add = self.order, self.dim, self.start, self.end, impact + one
         members = rows
         while done < last:
             now = step[done]
             for s in segments[done : done + int(np.searchsorted(-step[done:], -now, "right"))]:
-                acc[order[self.dim[s], begin[s] : end[s]]] += add[s]
+                np.add.at(acc, order[dim[s], begin[s] : end[s]], add[s])
                 done += 1
             if done < last and int(now) not in checks:
                 continue
