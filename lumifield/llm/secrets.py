@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumifield.functions.storage import shared_folder, store
-from lumifield.llm.words import _runs, batch, carried, column, mix, restored
+from lumifield.llm.words import _runs, batch, carried, column, mix, restored, small_batches
 
 # Words next to a credential, and words next to other long values
 CREDENTIAL = "access account api apikey auth authorization bearer client credential credentials key passwd password private pwd secret signature token".split()
@@ -48,6 +48,7 @@ def _chunks(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np
         j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1))
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
+    pa.default_memory_pool().release_unused()
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +242,7 @@ def scan(docs: DataFrame, labels: DataFrame | None = None, threshold: float = TH
     Null and empty texts have no findings; equal rows have their findings each; a null path is an empty one; no
     rows give no rows. Other columns are ignored.
     """
-    found, _ = store(candidates(docs), "candidates")
+    found, _ = store(candidates(small_batches(docs)), "candidates")
     language = learn_language(docs)
     found, _ = store(describe(found, language), "described")
     if labels is None:
@@ -280,7 +281,8 @@ def redact(docs: DataFrame, findings: DataFrame, mark: str = "[secret]", keep: S
     more, types = carried(docs, keep)
     d = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_h"), F.col("text").alias("_text"), *more)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = d.join(spans, d["_id"].eqNullSafe(F.col("i")) & (d["_h"] == F.col("j")), "left").select(
+    # a merge join whatever the size: the plan is the same on small and large tables
+    rows = d.join(spans.hint("merge"), d["_id"].eqNullSafe(F.col("i")) & (d["_h"] == F.col("j")), "left").select(
         "_id", "_h", *(f"c{i}" for i in range(len(keep))), F.greatest(F.size("_spans"), F.lit(0)).cast("long").alias("n_secrets"), "_text", "_spans")
     out = rows.mapInArrow(lambda it: _blank(it, mark), f"_id {kind}, _h long{types}, n_secrets long, clean_text string")
     return restored(out, keep).withColumnRenamed("_id", "doc_id").withColumnRenamed("_h", "text_hash")
