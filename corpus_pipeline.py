@@ -44,7 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of least doc_id of each group of near duplicates: five words a shingle, similarity 0.8."""
     groups = minhash.near_duplicates(docs, size=5, percent=80, bands=44, rows=5)
     gone, _ = store(groups.where("NOT kept").select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_j")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64("doc_id", "text") == F.col("_j")), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64("doc_id", "text") == F.col("_j")), "left_anti")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
