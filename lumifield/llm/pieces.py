@@ -5,12 +5,15 @@ from __future__ import annotations
 import codecs
 import re
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumifield.llm.words import small_batches
+
 SPACE = "▁"
 REMEMBER = 300_000  # segments, and pairs of pieces, whose result is kept
 
@@ -35,7 +38,13 @@ class Vocabulary:
         inner = {c for p in self.ids if len(p) > 1 for c in p}
         self.breaks = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self.lone_newline = "\n" not in inner
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[tuple[str, str], bool] = {}
+        # lengths of the pieces of three characters and more by their last three, longest first
+        ends: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 2:
+                ends.setdefault(p[-3:], set()).add(len(p))
+        self.ends = {k: (*sorted(v, reverse=True), 2, 1) for k, v in ends.items()}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -187,28 +196,55 @@ class Encoder:
     """Ids of texts. A text is fed in segments that every path has to break between, and segments seen lately are remembered."""
 
     def __init__(self, vocabulary: Vocabulary, remember: int = REMEMBER) -> None:
-        self.v, self.remember, self.known = vocabulary, remember, {}
+        self.v, self.remember, self.known, self.packed = vocabulary, remember, {}, {}
         parts = [f"{SPACE}*[^{SPACE}\n]+|{SPACE}+" if vocabulary.lone_newline else f"{SPACE}*[^{SPACE}]+|{SPACE}+"]
         if vocabulary.lone_newline:
             parts.append("\n")
         self.cut = re.compile("|".join(parts)).findall if vocabulary.breaks else lambda t: [t]
 
-    def _ids(self, pieces: Iterable[str]) -> list[int]:
-        out, v = [], self.v
-        for p in pieces:
-            k = v.ids.get(p)
-            if k is not None:
-                out.append(k)
-            elif v.byte_ids:
-                out += [v.byte_ids[b] for b in p.encode()]
-            else:
-                out.append(v.unknown)
-        return out
+    def _ids(self, piece: str) -> bytes:
+        """Ids of a piece, which is a character of its own where it is not in the vocabulary."""
+        v, k = self.v, self.v.ids.get(piece)
+        ids = [k] if k is not None else [v.byte_ids[b] for b in piece.encode()] if v.byte_ids else [v.unknown]
+        got = self.packed[piece] = np.array(ids, "<u4").tobytes()
+        return got
+
+    def _window(self, text: str) -> list[str]:
+        """The path of :class:`Viterbi` for a merge model and a text that fits its window, where nothing is committed before the end."""
+        v, n, pair, ids, ends, short = self.v, len(text), self.v._pairs, self.v.ids, self.v.ends, (2, 1)
+        last: list[str | None] = [""] + [None] * n
+        for j in range(1, n + 1):
+            for size in ends.get(text[j - 3 : j], short) if j > 2 else short:
+                i = j - size
+                if i < 0 or (before := last[i]) is None:
+                    continue
+                piece = text[i:j]
+                if size > 1:
+                    if piece not in ids:
+                        continue
+                    ok = pair.get(("", piece))
+                    if not (v.follows("", piece) if ok is None else ok):
+                        continue
+                if before:
+                    ok = pair.get((before, piece))
+                    if not (v.follows(before, piece) if ok is None else ok):
+                        continue
+                last[j] = piece
+                break
+        out = []
+        while n:
+            out.append(last[n])
+            n -= len(last[n])
+        return out[::-1]
 
     def segment(self, text: str) -> bytes:
-        search = Viterbi(self.v)
-        ids = self._ids(search.feed(text)) + self._ids(search.end())
-        got = np.array(ids, "<u4").tobytes()
+        if self.v.merges and len(text) <= 2 * self.v.longest:
+            pieces = self._window(text)
+        else:
+            search = Viterbi(self.v)
+            pieces = [*search.feed(text), *search.end()]
+        packed, ids = self.packed.get, self._ids
+        got = b"".join([packed(p) or ids(p) for p in pieces])
         if len(text) <= 64:
             if len(self.known) >= self.remember:
                 self.known.clear()
@@ -228,13 +264,10 @@ class Encoder:
 
 def decode(vocabulary: Vocabulary, ids: Iterable[int], chunk: int = 1 << 16) -> str:
     """Text of ids, decoded ``chunk`` pieces at a time; a character cut between two chunks is carried over."""
-    table, utf8, out, part = vocabulary.bytes, codecs.getincrementaldecoder("utf-8")("replace"), [], []
-    for i in ids:
-        part.append(table[i])
-        if len(part) == chunk:
-            out.append(utf8.decode(b"".join(part)))
-            part = []
-    out.append(utf8.decode(b"".join(part), True))
+    table, utf8, out, ids = vocabulary.bytes, codecs.getincrementaldecoder("utf-8")("replace"), [], iter(ids)
+    while part := [table[i] for i in islice(ids, chunk)]:
+        out.append(utf8.decode(b"".join(part)))
+    out.append(utf8.decode(b"", True))
     text = "".join(out)
     return text[1:] if vocabulary.prefix and text.startswith(" ") else text
 
@@ -277,4 +310,4 @@ def decode_ids(rows: DataFrame, model: str, keep: list[str]) -> DataFrame:
 
 def _run(rows: DataFrame, keep: list[str], step, model: str, more: str) -> DataFrame:
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep]
-    return rows.mapInArrow(lambda it: step(it, model), ", ".join([*kinds, more]))
+    return small_batches(rows).mapInArrow(lambda it: step(it, model), ", ".join([*kinds, more]))
