@@ -2,49 +2,91 @@
 
 from __future__ import annotations
 
+import os
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumifield.llm.words import small_batches
+
 LONGEST = 2048
 SHORTEST = 64  # least context-size tier; shorter documents fill gaps
 POOL = 4096  # documents that are packed together
 STEP_TOKENS = 1 << 16  # tokens of a step group
-END = 1
+END = np.array(1, "<u4")
+MARKS = ".,;:!?#$%&*|"
 
 
 class WordTokens(dict):
-    """Ids of a text by a tokenizer of the ``tokenizers`` library, as little-endian 32-bit numbers.
+    """Ids of texts by a tokenizer of the ``tokenizers`` library, as little-endian 32-bit numbers.
 
-    For tokenizers that drop white space and never join across it. Texts are cut at spaces and line
-    ends, and the ids of the words seen lately are remembered.
+    For tokenizers that drop white space, never join across it or from letters to marks, and fold case. Texts are cut at
+    spaces and line ends; the different words of some texts are looked up once, and those seen lately are remembered.
     """
 
-    def __init__(self, path: str, remember: int = 400_000) -> None:
+    def __init__(self, path: str, remember: int = 300_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is the only one that it may use
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
+        super().__init__()
         self.tokenizer, self.remember = Tokenizer.from_file(path), remember
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out, cut = [], [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in cut for w in words}.difference(self))
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        words = self.tokenizer.get_vocab()
+        self.ending = np.zeros(max(words.values()) + 1, bool) if suffix else None
+        if suffix:
+            self.ending[[i for w, i in words.items() if w.endswith(suffix)]] = True
+
+    @staticmethod
+    def parts(word: str) -> list[str]:
+        """A word of letters, and the marks after it, where the tokenizer splits it anyway."""
+        core = word.rstrip(MARKS)
+        return [core, word[len(core) :]] if core != word and core.isalpha() else [word]
+
+    def learn(self, words: list[str]) -> None:
+        new = set(words).difference(self)
         if len(self) + len(new) > self.remember:
             self.clear()
-            self[""] = b""
-            new = list({w for words in cut for w in words}.difference(self))
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-        for words in cut:
-            out.append(b"".join(map(self.__getitem__, words)))
-        return out
+            new = set(words)
+        parts = {w: self.parts(w) for w in new}
+        fresh = list(set().union(*parts.values()).difference(self))
+        plain = [w for w in fresh if w.isalpha() and max(w) < "\u0250" and "İ" not in w]
+        if self.ending is not None and plain:
+            # words of letters are one run of tokens each, ended by the first that ends a word: encoded as one text
+            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
+            upto = np.flatnonzero(self.ending[ids]) + 1
+            if len(upto) == len(plain):
+                raw = ids.tobytes()
+                self.update(zip(plain, (raw[4 * i : 4 * j] for i, j in zip([0, *upto[:-1].tolist()], upto.tolist()))))
+                fresh = [w for w in fresh if w not in self]
+        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+            self[w] = array("I", e.ids).tobytes()
+        for w, each in parts.items():
+            if len(each) > 1:
+                self[w] = b"".join([self[p] for p in each])
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = pc.replace_substring(texts.fill_null(""), "\n", " ")
+        # a special token's bracket, or letters whose lower case depends on their place or is not one letter: left to the tokenizer
+        odd = pc.match_substring_regex(texts, "<\\||[İΣ]")
+        lists = pc.split_pattern(pc.if_else(odd, texts, pc.utf8_lower(texts)), " ")
+        words = lists.flatten().dictionary_encode()
+        different = words.dictionary.to_pylist()
+        self.learn(different)
+        blobs = [self[w] for w in different]
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        start, of = np.cumsum(size) - size, np.asarray(words.indices)
+        n = size[of]
+        upto = np.r_[0, np.cumsum(n)]
+        ids = np.frombuffer(b"".join(blobs), "<u4")[np.repeat(start[of] - upto[:-1], n) + np.arange(upto[-1])]
+        off = upto[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+        return [ids[a:b] for a, b in zip(off[:-1], off[1:])]
 
 
 Piece = tuple[int, int, int]  # length, document, start
@@ -163,14 +205,14 @@ def _pack(batches: Iterator[pa.RecordBatch], encoder: Callable[[], WordTokens],
         held = {p[1] for p in waiting}
         for doc in [d for d in ids if d not in held]:
             del ids[doc]
+        pa.default_memory_pool().release_unused()
 
     number = 0
     for part in batches:
-        texts = part.column("_text").to_pylist()
-        rest = part.drop_columns(["_text"])
-        for lo in range(0, len(texts), 256):
-            for i, data in enumerate(encode(texts[lo : lo + 256]), lo):
-                data += np.uint32(END).tobytes()
+        rest, texts = part.drop_columns(["_text"]), part.column("_text")
+        for lo in range(0, len(texts), 1024):
+            for i, found in enumerate(encode(texts.slice(lo, 1024)), lo):
+                data = found.tobytes() + END.tobytes()
                 ids[number] = (data, rest, i)
                 waiting.append((len(data) // 4, number, 0))
                 number += 1
@@ -196,7 +238,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, keep: list[str], longest: in
     A null or empty text is the closing id alone. Equal rows are packed each. A text of any length is cut freely.
     No rows give no rows. Columns not in ``keep`` are ignored.
     """
-    got = docs.select(*[F.col(c) for c in keep], F.col("text").alias("_text"))
+    got = small_batches(docs).select(*[F.col(c) for c in keep], F.col("text").alias("_text"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in got.schema.fields[:-1]]
     out = ", ".join([*kinds, "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier long, step_group long"])
     from pyspark.sql.pandas.types import to_arrow_schema
