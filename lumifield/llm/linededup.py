@@ -27,14 +27,37 @@ def _line_table(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return s, e, np.searchsorted(w.ends, s, "right") - 1, stretch(running(w.hash), a, b), b - a
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def least_runs(upto: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the runs of lines that just reach ``least`` words: the one starting with each line and the one ending with it.
+
+    ``upto`` are words before each line, with the total at the end; ``ends`` of texts in lines, with a leading zero. No run crosses
+    texts. Any block of ``least`` words is covered by such runs that lie in it: a line before the run that ends the block
+    starts one.
+    """
+    at = np.arange(len(upto) - 1)
+    text = np.searchsorted(ends, at, "right") - 1
+    to = np.searchsorted(upto, upto[:-1] + least)  # lines before this one reach it
+    since = np.searchsorted(upto, upto[1:] - least, "right") - 1
+    fit, back = to <= ends[text + 1], (upto[1:] - least >= 0) & (since >= ends[text])
+    return np.r_[at[fit], since[back]], np.r_[to[fit], at[back] + 1]
+
+
+def _describe(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for part in batches:
         for w in words(part.column("_text")):
             _, _, text, h, n = _line_table(w)
-            off = pa.array(np.searchsorted(text, np.arange(w.last - w.first + 1)).astype(np.int32))
+            ends = np.searchsorted(text, np.arange(w.last - w.first + 1))
+            s, e = least_runs(np.r_[0, np.cumsum(n)], ends, least)
+            of, runs = np.searchsorted(ends, s, "right") - 1, stretch(running(h), s, e)
+            order = np.lexsort((runs, of))
+            of, runs = of[order], runs[order]
+            new = np.r_[True, (of[1:] != of[:-1]) | (runs[1:] != runs[:-1])][: len(of)]  # each once in a text
+            of, runs = of[new], runs[new]
+            off = pa.array(ends.astype(np.int32))
             own = part.slice(w.first, w.last - w.first)
             yield batch(_id=own.column("_id"), _h=own.column("_h"), lines=pa.ListArray.from_arrays(off, pa.array(signed(h))),
-                        sizes=pa.ListArray.from_arrays(off, pa.array(n.astype(np.int32))))
+                        sizes=pa.ListArray.from_arrays(off, pa.array(n.astype(np.int32))),
+                        runs=pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(w.last - w.first + 1)).astype(np.int32)), pa.array(signed(runs))))
 
 
 def _anchors(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
@@ -139,6 +162,8 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, block_words: int = BLOCK_WORD
        compared with the owner of a line if that line is rare (up to ``rare`` documents have it), or if the lines
        that it shares with this owner, rare or not, have at least ``block_words`` words together, as any block that could
        be deleted has. Lines lead to their owner only, so a passage in very many documents gives one pair for each, not all pairs.
+       The runs of lines that just reach ``block_words`` words have owners too: these hold the whole of a block whose lines
+       came first elsewhere.
     2. Each pair is aligned by patience diff on line hashes; runs of lines that follow each other on both sides
        and have ``block_words`` words together are deleted from the later document.
     3. Deletions of all pairs are united and applied to the text. Blocks are judged on the input; the first
@@ -150,7 +175,8 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, block_words: int = BLOCK_WORD
     kind = small_batches(docs).schema["doc_id"].dataType.simpleString()
     more, types = carried(docs, keep)
     d = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_h"), F.col("text").alias("_text"), *more)
-    lines, _ = store(d.select("_id", "_h", "_text").mapInArrow(_describe, f"_id {kind}, _h long, lines array<long>, sizes array<int>"), "lines")
+    lines, _ = store(d.select("_id", "_h", "_text").mapInArrow(lambda it: _describe(it, block_words),
+                                                                f"_id {kind}, _h long, lines array<long>, sizes array<int>, runs array<long>"), "lines")
     each = F.explode(F.array_distinct(F.arrays_zip("lines", "sizes"))).alias("l")
     long = lines.select("_id", "_h", each).select("_id", "_h", F.col("l.lines").alias("line"), F.col("l.sizes").alias("size")).distinct()
     first = long.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_h")).alias("o")).where("n > 1")
@@ -158,7 +184,11 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, block_words: int = BLOCK_WORD
     other = ~(F.col("_id").eqNullSafe(F.col("o_id")) & (F.col("_h") == F.col("o_h")))
     pairs = long.join(first, "line").where(other).groupBy("_id", "_h", "o_id", "o_h").agg(
         F.sum("size").alias("shared"), F.min("n").alias("n")).where((F.col("n") <= rare) | (F.col("shared") >= block_words))
-    pairs, _ = store(pairs.select("_id", "_h", "o_id", "o_h"), "pairs")
+    run = lines.select("_id", "_h", F.explode("runs").alias("run"))
+    start = run.groupBy("run").agg(F.min(F.struct("_id", "_h")).alias("o"), F.max(F.struct("_id", "_h")).alias("z")).where("o <> z")
+    start, _ = store(start.select("run", F.col("o._id").alias("o_id"), F.col("o._h").alias("o_h")), "starts")
+    blocks = run.join(start, "run").where(other).select("_id", "_h", "o_id", "o_h")
+    pairs, _ = store(pairs.select("_id", "_h", "o_id", "o_h").unionByName(blocks).distinct(), "pairs")
     sides, _ = store(lines.dropDuplicates(["_id", "_h"]), "sides")
     o = sides.select(F.col("_id").alias("i"), F.col("_h").alias("j"), F.col("lines").alias("earlier"))
     both = pairs.join(o, F.col("o_id").eqNullSafe(F.col("i")) & (F.col("o_h") == F.col("j"))).select("_id", "_h", "earlier")

@@ -176,6 +176,21 @@ def test_first_copy_of_each_deleted_line_stays(spark):
     assert lines(r.kept_text for r in out) >= lines(t for _, t in pairs(docs)) - {()}
 
 
+def phrase(name, n):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def deduped(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: (r.n_deleted, r.kept_text) for r in linededup.dedup_lines(docs).collect()}
+
+
+def test_block_whose_lines_came_first_elsewhere_goes(spark):
+    a, b = phrase("a", 6), phrase("b", 6)
+    got = deduped(spark, [f"{a}\nx", f"{b}\ny", f"{a}\n{b}\nz", f"v\n{a}\n{b}\nw"])
+    assert got[2] == (0, f"{a}\n{b}\nz") and got[3] == (2, "v\nw")
+
+
 def test_patience():
     assert linededup.patience([1, 2, 3], [1, 2, 3]) == [(0, 0), (1, 1), (2, 2)]
     assert linededup.patience([], [1]) == [] and linededup.patience([7, 7], [8, 8]) == []
