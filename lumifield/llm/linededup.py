@@ -84,7 +84,7 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     """Pairs of places of equal lines, rising on both sides, by patience diff.
 
     Equal ends are taken off, the lines unique on both sides are chained, and the stretches between
-    them are treated alike; a stretch without such lines has no further pairs.
+    them are treated alike; a stretch without such lines has no further pairs (see :func:`common_blocks`).
     """
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
@@ -105,8 +105,39 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _least_slices(lines: Sequence[int], size: dict[int, int], least: int) -> dict[tuple[int, int], tuple[int, ...]]:
+    """The runs of :func:`least_runs` in lines that have a size, by start and end: (start, end) to its lines."""
+    out, upto, start, i, k = {}, [0], [], 0, 0
+    for j, v in enumerate(lines):  # start: of the stretch of lines with a size
+        n = size.get(v)
+        start.append(j + 1 if n is None else start[-1] if start and start[-1] <= j else j)
+        upto.append(upto[-1] + (n or 0))
+    for j in range(len(lines)):
+        if start[j] > j:
+            continue
+        while upto[i + 1] <= upto[j + 1] - least:  # the latest start of a run that ends with j
+            i += 1
+        if upto[j + 1] - upto[i] >= least and i >= start[j]:
+            out[i, j + 1] = tuple(lines[i : j + 1])
+        k = max(k, j)
+        while k < len(lines) and start[k] <= j and upto[k + 1] - upto[j] < least:
+            k += 1
+        if k < len(lines) and start[k] <= j and (j, k + 1) not in out:
+            out[j, k + 1] = tuple(lines[j : k + 1])
+    return out
+
+
+def left_over(earlier: Sequence[int], later: Sequence[int], sizes: Sequence[int], least: int) -> set[int]:
+    """Places in ``later`` that lie in a block of at least ``least`` words that ``earlier`` has anywhere."""
+    have = set(earlier)
+    size = {v: n for v, n in zip(later, sizes) if v in have}
+    known = set(_least_slices(earlier, size, least).values())
+    return {k for (i, j), v in _least_slices(later, size, least).items() if v in known for k in range(i, j)} if known else set()
+
+
 def common_blocks(earlier: Sequence[int], later: Sequence[int], sizes: Sequence[int], least: int) -> list[int]:
-    """Places in ``later`` that lie in an aligned block of at least ``least`` words."""
+    """Places in ``later`` that lie in a block of at least ``least`` words that ``earlier`` has: in an aligned one, or, where
+    the alignment has none (repeated lines, or blocks in another order), in one found by its runs of lines."""
     out, block, last = [], [], None
     for i, j in [*patience(earlier, later), (-9, -9)]:
         if last is None or (i, j) != (last[0] + 1, last[1] + 1):
@@ -115,7 +146,10 @@ def common_blocks(earlier: Sequence[int], later: Sequence[int], sizes: Sequence[
             block = []
         block.append(j)
         last = (i, j)
-    return out
+    done, have = set(out), set(earlier)
+    if any(v in have for j, v in enumerate(later) if j not in done):
+        done |= left_over(earlier, later, sizes, least)
+    return sorted(done)
 
 
 def _align(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -165,7 +199,8 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, block_words: int = BLOCK_WORD
        The runs of lines that just reach ``block_words`` words have owners too: these hold the whole of a block whose lines
        came first elsewhere.
     2. Each pair is aligned by patience diff on line hashes; runs of lines that follow each other on both sides
-       and have ``block_words`` words together are deleted from the later document.
+       and have ``block_words`` words together are deleted from the later document. So are such runs that the alignment
+       leaves over: where no line is unique on both sides, and those in another order.
     3. Deletions of all pairs are united and applied to the text. Blocks are judged on the input; the first
        document with a line never loses it, so of every deleted line one copy stays.
 

@@ -191,6 +191,42 @@ def test_block_whose_lines_came_first_elsewhere_goes(spark):
     assert got[2] == (0, f"{a}\n{b}\nz") and got[3] == (2, "v\nw")
 
 
+def blocks(earlier, later, sizes, least):
+    """Places in common runs of ``least`` words, by trying every pair of starts."""
+    out = set()
+    for i in range(len(earlier)):
+        for j in range(len(later)):
+            n = 0
+            while i + n < len(earlier) and j + n < len(later) and earlier[i + n] == later[j + n]:
+                n += 1
+            if sum(sizes[j : j + n]) >= least:
+                out |= set(range(j, j + n))
+    return sorted(out)
+
+
+def test_repeated_and_crossed_blocks_are_found():
+    assert linededup.common_blocks([1, 9, 1], [5, 1, 6], [3, 12, 3], 12) == [1]
+    assert linededup.common_blocks([1, 2], [7, 2, 8, 1, 7], [1, 12, 1, 12, 1], 12) == [1, 3]
+    rng = np.random.default_rng(8)
+    for _ in range(3000):
+        top = int(rng.integers(2, 9))
+        width = rng.integers(1, int(rng.integers(2, 14)), top)
+        a, b = (rng.integers(0, top, rng.integers(0, 14)).tolist() for _ in range(2))
+        assert linededup.common_blocks(a, b, [int(width[x]) for x in b], 12) == blocks(a, b, [int(width[x]) for x in b], 12)
+
+
+def test_deletions_equal_those_against_every_earlier_document(spark):
+    rng, texts = np.random.default_rng(9), []
+    pool = [phrase(f"p{k}w", int(rng.integers(1, 15))) for k in range(60)]
+    for i in range(150):
+        at = rng.integers(0, 60, 3)
+        texts.append("\n".join([*(pool[(x + k) % 60] for x in at for k in range(int(rng.integers(1, 4)))), phrase(f"own{i}w", 3)]))
+    lines, got = [t.split("\n") for t in texts], deduped(spark, texts)
+    for i, mine in enumerate(lines):
+        gone = {k for e in lines[:i] for k in blocks(e, mine, [len(x.split()) for x in mine], linededup.BLOCK_WORDS)}
+        assert got[i] == (len(gone), "\n".join(x for k, x in enumerate(mine) if k not in gone))
+
+
 def test_patience():
     assert linededup.patience([1, 2, 3], [1, 2, 3]) == [(0, 0), (1, 1), (2, 2)]
     assert linededup.patience([], [1]) == [] and linededup.patience([7, 7], [8, 8]) == []
