@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lumifield.functions.storage import store
 from lumifield.llm.words import _LINE, Words, _runs, batch, carried, restored, running, signed, small_batches, stretch, words
 
-RARE = 50  # documents that may share a line for it to point to overlap by itself
+RARE = 50  # documents up to which a line is called rare; decides nothing here, the tests' plain rule by lines reads it
 BLOCK_WORDS = 12  # words of a common block that is deleted
 
 
@@ -187,17 +187,15 @@ def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [*own.schema.names, "n_lines", "n_deleted", "kept_text"])
 
 
-def dedup_lines(docs: DataFrame, rare: int = RARE, block_words: int = BLOCK_WORDS, keep: Sequence[str] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, keep: Sequence[str] = ()) -> DataFrame:
     """Delete from each document the blocks of lines that an earlier document (of smaller doc_id) has.
 
     ``docs`` has doc_id and text. Returns one row per row: doc_id, text_hash (xxhash64 of doc_id and text, which names equal rows), n_lines (lines with a word), n_deleted, kept_text, and the columns ``keep``.
 
-    1. Each line is known by the hash of its words; its first document is its owner. A document is
-       compared with the owner of a line if that line is rare (up to ``rare`` documents have it), or if the lines
-       that it shares with this owner, rare or not, have at least ``block_words`` words together, as any block that could
-       be deleted has. Lines lead to their owner only, so a passage in very many documents gives one pair for each, not all pairs.
-       The runs of lines that just reach ``block_words`` words have owners too: these hold the whole of a block whose lines
-       came first elsewhere.
+    1. Each line is known by the hash of its words. The runs of lines that just reach ``block_words`` words (see :func:`least_runs`)
+       lead to the first document that has them, their owner, however many documents have them. These are all the pairs
+       that count: any block that could be deleted is covered by such runs. A passage in very many documents gives
+       one pair for each, not all pairs.
     2. Each pair is aligned by patience diff on line hashes; runs of lines that follow each other on both sides
        and have ``block_words`` words together are deleted from the later document. So are such runs that the alignment
        leaves over: where no line is unique on both sides, and those in another order.
@@ -212,18 +210,11 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, block_words: int = BLOCK_WORD
     d = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_h"), F.col("text").alias("_text"), *more)
     lines, _ = store(d.select("_id", "_h", "_text").mapInArrow(lambda it: _describe(it, block_words),
                                                                 f"_id {kind}, _h long, lines array<long>, sizes array<int>, runs array<long>"), "lines")
-    each = F.explode(F.array_distinct(F.arrays_zip("lines", "sizes"))).alias("l")
-    long = lines.select("_id", "_h", each).select("_id", "_h", F.col("l.lines").alias("line"), F.col("l.sizes").alias("size")).distinct()
-    first = long.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_h")).alias("o")).where("n > 1")
-    first, _ = store(first.select("line", "n", F.col("o._id").alias("o_id"), F.col("o._h").alias("o_h")), "owners")
-    other = ~(F.col("_id").eqNullSafe(F.col("o_id")) & (F.col("_h") == F.col("o_h")))
-    pairs = long.join(first, "line").where(other).groupBy("_id", "_h", "o_id", "o_h").agg(
-        F.sum("size").alias("shared"), F.min("n").alias("n")).where((F.col("n") <= rare) | (F.col("shared") >= block_words))
     run = lines.select("_id", "_h", F.explode("runs").alias("run"))
     start = run.groupBy("run").agg(F.min(F.struct("_id", "_h")).alias("o"), F.max(F.struct("_id", "_h")).alias("z")).where("o <> z")
     start, _ = store(start.select("run", F.col("o._id").alias("o_id"), F.col("o._h").alias("o_h")), "starts")
-    blocks = run.join(start, "run").where(other).select("_id", "_h", "o_id", "o_h")
-    pairs, _ = store(pairs.select("_id", "_h", "o_id", "o_h").unionByName(blocks).distinct(), "pairs")
+    other = ~(F.col("_id").eqNullSafe(F.col("o_id")) & (F.col("_h") == F.col("o_h")))
+    pairs, _ = store(run.join(start, "run").where(other).select("_id", "_h", "o_id", "o_h").distinct(), "pairs")
     sides, _ = store(lines.dropDuplicates(["_id", "_h"]), "sides")
     o = sides.select(F.col("_id").alias("i"), F.col("_h").alias("j"), F.col("lines").alias("earlier"))
     both = pairs.join(o, F.col("o_id").eqNullSafe(F.col("i")) & (F.col("o_h") == F.col("j"))).select("_id", "_h", "earlier")

@@ -204,6 +204,12 @@ def blocks(earlier, later, sizes, least):
     return sorted(out)
 
 
+def test_block_in_more_documents_than_are_rare(spark):
+    a, b = phrase("a", 6), phrase("b", 6)
+    got = deduped(spark, [f"{a}\nx", f"{b}\ny", *(f"own{i}\n{a}\n{b}" for i in range(70)), *(f"me{i}\n{a}\n{a}" for i in range(70))])
+    assert [got[i][0] for i in range(142)] == [0, 0, 0, *[2] * 69, 0, *[2] * 69]
+
+
 def test_repeated_and_crossed_blocks_are_found():
     assert linededup.common_blocks([1, 9, 1], [5, 1, 6], [3, 12, 3], 12) == [1]
     assert linededup.common_blocks([1, 2], [7, 2, 8, 1, 7], [1, 12, 1, 12, 1], 12) == [1, 3]
