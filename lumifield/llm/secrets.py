@@ -39,6 +39,11 @@ _ALPHA = np.ones(256, bool)
 _ALPHA[[*range(65, 91), *range(97, 123)]] = False
 _ALPHA[128:] = False
 _WORD = re.compile(r"[^\W_]+")
+_NAMED = re.compile(rb"(?i:%s)\w{0,16}[\"'`]?\]?[ \t]*:?$" % "|".join(CREDENTIAL).encode())  # up to = or :
+_VALUE = re.compile(rb"""[=>]?[ \t]*(?:(?i:bearer|basic)[ \t]+)?(?:"((?:\\.|[^"\\\n])+)"|'((?:\\.|[^'\\\n])+)'|`([^`\n]+)`|([^\s"'`]\S*|["'`]\S+))""")
+_CLOSED = re.compile(rb"[\"'`]+[,;.)\]}>]*$")
+_PLAIN = re.compile(rb"([A-Za-z0-9+/_-]+)[,;.)\]}>]*$")
+_NEXT = re.compile(rb"[&;,?][\w.-]*(?i:%s)\w{0,16}[=:]" % "|".join(CREDENTIAL).encode())
 
 
 def _chunks(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -51,6 +56,31 @@ def _chunks(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np
     pa.default_memory_pool().release_unused()
 
 
+def assigned_values(raw: bytes, signs: Sequence[int], bounds: Sequence[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(which sign, start, end) of the values given to the name of a credential: all between quotes, else all up to a space.
+
+    ``signs`` are places of = and :, ``bounds`` their texts. A value without quotes ends before a quote that only
+    closes something, and before a delimiter and the name of a further credential; punctuation after plain characters is not of it.
+    """
+    upto = -1
+    for n, (k, (lo, hi)) in enumerate(zip(signs, bounds)):
+        if k < upto or not _NAMED.search(raw[max(lo, k - AROUND) : k]):
+            continue
+        m = _VALUE.match(raw, k + 1, hi)
+        if m is None:
+            continue
+        a, z = m.span(m.lastindex)
+        if m.lastindex == 4:
+            further = _NEXT.search(raw, a, z)
+            z = further.start() if further else z
+            upto = z
+            if (closed := _CLOSED.search(raw[a:z])) and closed.start():
+                z = a + closed.start()
+            elif plain := _PLAIN.match(raw[a:z]):
+                z = a + plain.end(1)
+        yield n, a, z
+
+
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in batches:
         for i, j, b, off in _chunks(part.column("_text")):
@@ -62,13 +92,20 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 near |= (before[s + k] == 61) | (before[s + k] == 58)
             long = e - s
             hit = np.flatnonzero(((long >= BARE) & (digits[e] > digits[s])) | ((long >= ASSIGNED) & near))
-            text = np.searchsorted(off, s[hit], "right") - 1
+            signs = np.flatnonzero((b == 61) | (b == 58))
+            some = len(hit) or len(signs)
             # continuation bytes don't count as characters
-            chars = np.r_[0, np.cumsum((b & 0xC0) != 0x80)] if len(hit) else None
-            raw = b.tobytes() if len(hit) else b""
+            chars = np.r_[0, np.cumsum((b & 0xC0) != 0x80)] if some else None
+            raw = b.tobytes() if some else b""
+            at = np.searchsorted(off, signs, "right") - 1
+            spans = set(zip(s[hit].tolist(), e[hit].tolist()))
+            spans |= {(a, z) for _, a, z in assigned_values(raw, signs.tolist(), list(zip(off[at].tolist(), off[at + 1].tolist())))
+                      if chars[z] - chars[a] >= ASSIGNED}
+            spans = sorted(spans)
+            text = np.searchsorted(off, np.array([a for a, _ in spans], np.int64), "right") - 1
             values, left, right, start = [], [], [], []
-            for k, t in zip(hit, text):
-                a, z, lo, hi = int(s[k]), int(e[k]), int(off[t]), int(off[t + 1])
+            for (a, z), t in zip(spans, text):
+                lo, hi = int(off[t]), int(off[t + 1])
                 values.append(raw[a:z].decode())
                 left.append(raw[max(lo, a - AROUND) : a].decode("utf-8", "ignore"))
                 right.append(raw[z : min(hi, z + AROUND)].decode("utf-8", "ignore"))
@@ -81,7 +118,8 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, path, start, value, left, right): every run of letters, digits and +/_- that has 16 characters
-    and a digit, or 8 characters right after = or : (a quote or a space between), in all of each text."""
+    and a digit, or 8 characters right after = or : (a quote or a space between), in all of each text. Beside these, every
+    value of 8 characters, whatever they are, that = or : gives to the name of a credential (:func:`assigned_values`)."""
     d = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_h"),
                     F.col("source").cast("string").alias("path"), F.col("text").alias("_text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -127,7 +165,7 @@ class Language:
 
     def transition(self, value: str) -> float:
         """Mean bits of a character given the one before it."""
-        b = np.frombuffer(value.encode(), np.uint8)
+        b = np.frombuffer(value.encode(), np.uint8) & np.uint8(127)  # as counted
         return float(self.bits[b[:-1], b[1:]].mean()) if len(b) > 1 else 0.0
 
     def coverage(self, value: str) -> float:
@@ -267,7 +305,7 @@ def _blank(batches: Iterator[pa.RecordBatch], mark: str) -> Iterator[pa.RecordBa
                 for x in sorted(spans, key=lambda x: x["start"]):
                     if x["start"] >= at:
                         keep += [text[at : x["start"]], mark]
-                        at = x["start"] + x["length"]
+                    at = max(at, x["start"] + x["length"])  # one mark for findings that overlap
                 text = "".join([*keep, text[at:]])
             out.append(text)
         own = part.drop_columns(["_text", "_spans"])

@@ -324,6 +324,18 @@ def test_secrets_of_given_documents(spark):
     assert want and got == want
 
 
+def test_secrets_of_any_characters_are_whole(spark):
+    given = [
+        ('password = "p@ss!w0rd#24" end', 'password = "[secret]" end'), ('password = "abcdefgh1!xyz" end', 'password = "[secret]" end'),
+        ("export DB_PASSWORD=p@ss!w0rd#24\nnext", "export DB_PASSWORD=[secret]\nnext"), ("secret: 'two words, 3 more!' end", "secret: '[secret]' end"),
+        ('{"password": "pä$$wörter 1"}', '{"password": "[secret]"}'), ("token: abcdefgh12345678, end", "token: [secret], end"),
+        ("u?token=ab$cd%ef!&password=p@ss!w0rd end", "u?token=[secret]&password=[secret] end"), ('cmd "--password=p@ss!w0rd#24", end', 'cmd "--password=[secret]", end'),
+        ("password = short! end", "password = short! end"), ("no name = p@ss!w0rd#24", "no name = p@ss!w0rd#24")]
+    docs = spark.createDataFrame([(i, t, "x") for i, (t, _) in enumerate(given)], "doc_id long, text string, source string")
+    clean = {r.doc_id: r.clean_text for r in secrets.redact(docs, secrets.scan(docs)).collect()}
+    assert [clean[i] for i in range(len(given))] == [c for _, c in given]
+
+
 def test_labelled_findings_teach_the_forest(spark):
     rng = np.random.default_rng(4)
     word, code = lambda: sentence(int(rng.integers(9**6)), 3).replace(" ", "") + "1", lambda: "".join(rng.choice(list("abcdef0123456789"), 32))
