@@ -41,10 +41,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least doc_id of each group of near duplicates: five words a shingle, similarity 0.8."""
-    groups = minhash.near_duplicates(docs, size=5, percent=80, bands=44, rows=5)
-    gone, _ = store(groups.where("NOT kept").select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_j")).distinct(), "gone")
-    return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64("doc_id", "text") == F.col("_j")), "left_anti")
+    """Keep one row of each group of near duplicates, that of least doc_id (null last), then of least text hash: five words a
+    shingle, similarity 0.8. Of rows that are equal in doc_id and text one stays, whichever; texts without words are in no group."""
+    groups = minhash.near_duplicates(docs, size=5, percent=80, bands=44, rows=5, one=True)
+    gone, _ = store(groups.where("NOT stays").select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_j")).distinct(), "gone")
+    left = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64("doc_id", "text") == F.col("_j")), "left_anti")
+    return left.withColumn("_j", F.xxhash64("doc_id", "text")).dropDuplicates(["doc_id", "_j"]).drop("_j")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

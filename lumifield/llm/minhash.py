@@ -133,7 +133,7 @@ def _confirm_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator
             yield batch(a=found[:, 0], b=found[:, 1])
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = 36, rows: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = 36, rows: int = 6, one: bool = False) -> DataFrame:
     """Groups of documents linked by shingle sets with 100 * intersection >= ``percent`` * union.
 
     ``docs`` has doc_id and text. Returns one row per row: doc_id, text_hash (xxhash64 of doc_id and text), n_shingles, component_id (least doc_id
@@ -149,6 +149,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
     Null or empty texts and those without words have n_shingles 0 and are linked with nothing. Equal rows
     are one item. A null doc_id is linked by its text but never the name of a group with other ids; alone
     its component_id is null. No rows give no rows. Other columns are ignored.
+
+    ``one`` adds the column stays: true for a row in no group, and in a group for the rows of one doc_id and text only, the
+    least doc_id (null after all others), then the least text_hash.
     """
     kind = small_batches(docs).schema["doc_id"].dataType.simpleString()
     d = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_h"), F.col("text").alias("_text"))
@@ -203,7 +206,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
     else:
         group = table.join(comps, table["item"] == comps["node"], "left").withColumn("_g", F.coalesce("comp", "item"))
     group = group.select("_id", "_h", "n_shingles", "_g")
-    least, _ = store(group.where("n_shingles > 0").groupBy("_g").agg(F.min("_id").alias("_low"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "least")
+    name = F.struct(F.col("_id").isNull().alias("o"), F.col("_id").alias("i"), F.col("_h").alias("j"))
+    least, _ = store(group.where("n_shingles > 0").groupBy("_g").agg(F.min("_id").alias("_low"), F.min(name).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "least")
     out = group.join(least.withColumnRenamed("_g", "_k"), (F.col("_g") == F.col("_k")) & (F.col("n_shingles") > 0), "left")
     comp = F.when(F.col("_n") > 1, F.col("_low")).otherwise(F.col("_id"))
-    return out.select(F.col("_id").alias("doc_id"), F.col("_h").alias("text_hash"), "n_shingles", comp.alias("component_id"), F.col("_id").eqNullSafe(comp).alias("kept"))
+    stays = [F.coalesce(F.col("_first").eqNullSafe(name) | F.col("_first").isNull(), F.lit(True)).alias("stays")] if one else []
+    return out.select(F.col("_id").alias("doc_id"), F.col("_h").alias("text_hash"), "n_shingles", comp.alias("component_id"), F.col("_id").eqNullSafe(comp).alias("kept"), *stays)

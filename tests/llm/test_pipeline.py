@@ -1,11 +1,12 @@
 """The corpus pipeline: each stage on awkward rows, and the whole on the smallest tables."""
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from lumifield.llm import queries
 from tests.llm import brute
-from tests.llm.test_documents import SCHEMA, SF, awkward, copies
+from tests.llm.test_documents import SCHEMA, SF, awkward, copies, sentence
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -27,6 +28,20 @@ def test_near_copies_leave_one_document_of_each_group(spark):
     assert kept >= {d for d, _, c in brute.near_groups(rows, 5, 80) if d == c}
 
 
+def test_one_row_of_each_group_stays(spark):
+    rows, rng = [(r[0], r[1]) for r in copies()], np.random.default_rng(3)
+    nulls = [[sentence(500 + k, 90), sentence(500 + k, 90) + " tail"] for k in range(3)]  # groups without an id
+    rows += [(None, t) for two in nulls for t in two] + [(7, rows[7][1])] * 2 + [(900, sentence(600, 50))] * 3
+    rows += [(901, sentence(601, 90)), (901, sentence(601, 90) + " tail"), (902, None), (903, "")]
+    rng.shuffle(order := list(range(len(rows))))
+    docs = spark.createDataFrame([rows[i] for i in order], "doc_id long, text string")
+    named = {d: c for d, _, c in brute.near_groups([r for r in rows if r[0] is not None], 5, 80)}
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
+    assert sorted(d for d, _ in got if d is not None) == sorted({d for d, c in named.items() if d == c})
+    left = [t for d, t in got if d is None]
+    assert len(left) == 3 and all(len(set(left) & set(two)) == 1 for two in nulls)
+
+
 def test_pipeline_packs_what_the_stages_kept(spark):
     docs, stages = spark.read.parquet(f"{SF}/documents.parquet"), corpus_pipeline.STAGES
     for _, stage in stages[:-1]:
