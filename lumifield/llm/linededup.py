@@ -226,4 +226,4 @@ def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, keep: Sequence[
     # a merge join whatever the size: the plan is the same on small and large tables
     rows = d.join(gone.hint("merge"), d["_id"].eqNullSafe(F.col("i")) & (d["_h"] == F.col("j")), "left").select("_id", "_h", *(f"c{i}" for i in range(len(keep))), "_gone", "_text")
     out = rows.mapInArrow(_delete, f"_id {kind}, _h long{types}, n_lines long, n_deleted long, kept_text string")
-    return restored(out, keep).withColumnRenamed("_id", "doc_id").withColumnRenamed("_h", "text_hash")
+    return restored(out.withColumnRenamed("_id", "doc_id").withColumnRenamed("_h", "text_hash"), keep)

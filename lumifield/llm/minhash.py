@@ -194,9 +194,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
         dealt = rest.join(mixed, "key").select("key", block.alias("block"), "item", "comp")
         dealt = dealt.join(sets, "item").groupBy("key", "block").agg(F.collect_list(F.struct("item", "comp", "members")).alias("r"))
         dealt, _ = store(dealt.select("key", "block", F.col("r.comp").alias("c"), F.col("r.members").alias("m")), "blocks")
-        one = dealt.select("key", F.col("block").alias("p"), F.col("c").alias("ca"), F.col("m").alias("ma"))
-        two = dealt.select("key", F.col("block").alias("q"), F.col("c").alias("cb"), F.col("m").alias("mb"))
-        met = one.join(two, "key").where("p <= q AND (p % 2 = 1 OR q % 2 = 1)").select("ca", "ma", "cb", "mb")
+        near = dealt.select("key", F.col("block").alias("p"), F.col("c").alias("ca"), F.col("m").alias("ma"))
+        far = dealt.select("key", F.col("block").alias("q"), F.col("c").alias("cb"), F.col("m").alias("mb"))
+        met = near.join(far, "key").where("p <= q AND (p % 2 = 1 OR q % 2 = 1)").select("ca", "ma", "cb", "mb")
         more, n = store(met.mapInArrow(lambda it: _confirm_blocks(it, percent), "a long, b long").distinct(), "links")
         if n:
             comps = components(links.unionByName(more))

@@ -323,4 +323,4 @@ def redact(docs: DataFrame, findings: DataFrame, mark: str = "[secret]", keep: S
     rows = d.join(spans.hint("merge"), d["_id"].eqNullSafe(F.col("i")) & (d["_h"] == F.col("j")), "left").select(
         "_id", "_h", *(f"c{i}" for i in range(len(keep))), F.greatest(F.size("_spans"), F.lit(0)).cast("long").alias("n_secrets"), "_text", "_spans")
     out = rows.mapInArrow(lambda it: _blank(it, mark), f"_id {kind}, _h long{types}, n_secrets long, clean_text string")
-    return restored(out, keep).withColumnRenamed("_id", "doc_id").withColumnRenamed("_h", "text_hash")
+    return restored(out.withColumnRenamed("_id", "doc_id").withColumnRenamed("_h", "text_hash"), keep)

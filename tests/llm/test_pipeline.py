@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lumifield.llm import queries
@@ -21,6 +22,21 @@ def test_stages(spark, data):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
 
 
+OWN = "_id _h _i _j kept_text clean_text text_hash n_lines stays kept component_id gone_id row_hash x0 x1 c0 lang_pred n_secrets"
+
+
+def test_columns_named_as_the_stages_own_are_carried(spark):
+    docs = spark.createDataFrame(awkward(), SCHEMA).select("doc_id", "text", "lang", "source", "n_chars", *[
+        F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in OWN.split()])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == before.columns
+        got = docs.collect()
+        assert got and all(r[c] == f"{c} {'-' if r.doc_id is None else r.doc_id}" for r in got for c in OWN.split())
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= len(got)
+
+
 def test_near_copies_leave_one_document_of_each_group(spark):
     docs = spark.createDataFrame(awkward() + copies(), SCHEMA).where("doc_id IS NOT NULL")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
@@ -70,4 +86,4 @@ def test_query_matches_sql(spark, name):
 
 
 def test_every_number_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
