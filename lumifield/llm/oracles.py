@@ -3,6 +3,13 @@
 WORDS = "regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')"
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_FIELD = "coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c=c) for c in ("doc_id", "source", "lang", "{n_chars}", "text")) + ")"
+# the checksum bit by bit: each byte is added at the first of its eight steps
+_CRC32 = """xor(list_reduce(
+    flatten(list_transform(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)), lambda b: [b, 0, 0, 0, 0, 0, 0, 0])),
+    lambda s, b: xor(xor(s, b) >> 1, CASE WHEN xor(s, b) & 1 = 1 THEN 3988292384 ELSE 0 END), 4294967295), 4294967295)"""
+
 ORACLES = {
     "op6_minhash_dedup": f"""
 WITH RECURSIVE
@@ -29,6 +36,35 @@ scores AS (
   FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM scores QUALIFY rank <= 5""",
+    "op13_merkle_manifest": f"""
+WITH RECURSIVE
+leaves AS (SELECT doc_id, lang, {_LEAF.format(n_chars="n_chars")} AS leaf,
+  CASE WHEN {_CRC32} % 7 = 0 THEN {_LEAF.format(n_chars="n_chars + 1")} END AS changed FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n,
+  dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM leaves),
+nodes(lvl, tree, idx, n, h) AS (
+  SELECT 0, tree, idx, n, leaf FROM placed UNION ALL
+  SELECT lvl + 1, tree, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY lvl, tree, idx // 2, n),
+subroots AS (SELECT tree, lvl AS height, h AS subroot FROM nodes WHERE n = 1),
+heads(lvl, idx, n, h) AS (
+  SELECT 0, tree, (SELECT count(*) FROM subroots), subroot FROM subroots UNION ALL
+  SELECT lvl + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM heads WHERE n > 1 GROUP BY lvl, idx // 2, n),
+steps AS (  -- the sibling of each leaf on each level, null where the run is the node alone
+  SELECT p.tree, p.idx, l.lvl, (p.idx >> l.lvl) & 1 AS slot, s.h FROM placed p JOIN subroots t ON t.tree = p.tree
+  JOIN (SELECT DISTINCT lvl FROM nodes) l ON l.lvl < t.height
+  LEFT JOIN nodes s ON s.tree = p.tree AND s.lvl = l.lvl AND s.idx = xor(p.idx >> l.lvl, 1)
+  UNION ALL
+  SELECT p.tree, p.idx, t.height + l.lvl, (p.tree >> l.lvl) & 1, s.h FROM placed p JOIN subroots t ON t.tree = p.tree
+  JOIN (SELECT DISTINCT lvl FROM heads WHERE n > 1) l ON true
+  LEFT JOIN heads s ON s.lvl = l.lvl AND s.idx = xor(p.tree >> l.lvl, 1)),
+proofs AS (SELECT tree, idx, sha256(coalesce(string_agg(h, '' ORDER BY lvl), '')) AS proof_sha256, count(*) AS height FROM steps GROUP BY tree, idx),
+folded(tree, idx, lvl, h) AS (
+  SELECT tree, idx, 0, coalesce(changed, leaf) FROM placed UNION ALL
+  SELECT f.tree, f.idx, f.lvl + 1, sha256(CASE WHEN s.slot = 1 THEN coalesce(s.h, '') ELSE '' END || f.h || CASE WHEN s.slot = 0 THEN coalesce(s.h, '') ELSE '' END)
+  FROM folded f JOIN steps s ON s.tree = f.tree AND s.idx = f.idx AND s.lvl = f.lvl)
+SELECT p.doc_id, p.leaf, t.subroot, r.h AS root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM placed p JOIN subroots t ON t.tree = p.tree JOIN heads r ON r.n = 1 LEFT JOIN proofs q ON q.tree = p.tree AND q.idx = p.idx
+JOIN folded f ON f.tree = p.tree AND f.idx = p.idx AND f.lvl = coalesce(q.height, 0)""",
     "op10_substring_dedup": f"""
 WITH texts AS (SELECT doc_id, coalesce({WORDS.format(text="text")}, []) AS w FROM documents),
 words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i, len(w) AS n FROM texts),

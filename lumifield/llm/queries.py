@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumifield.llm import langid, linededup, minhash, packing, pieces, quality, secrets, topk, weaklabel
+from lumifield.llm import langid, linededup, merkle, minhash, packing, pieces, quality, secrets, topk, weaklabel
 from lumifield.llm.oracles import ORACLES  # noqa: F401
 from lumifield.llm.substring import dedup_substrings
 
@@ -78,6 +78,17 @@ def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents; rows whose id's checksum 7 divides are verified with one more n_chars than they have."""
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0,
+                     merkle.leaf([more if c == "n_chars" else F.col(c) for c in merkle.FIELDS]))
+    out = merkle.manifest(_table(spark, sf, "documents"), tampered=changed)
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof"))
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_hash(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
@@ -89,4 +100,5 @@ QUERIES = {
     "op8_topk_search": op8_topk_search,
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
