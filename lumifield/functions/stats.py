@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumifield.functions.lookup import attach
 from lumifield.functions.storage import store
 
 
@@ -55,6 +56,6 @@ def running_index(
     )
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    joined = stored.join(offsets, [*by, "_part"])
-    index = (F.col("_offset") + F.col("_row") - F.col("_first")).cast("int")
+    joined = attach(stored, offsets, [*by, "_part"], spread_by=("_row",))
+    index = F.col("_offset") + F.col("_row") - F.col("_first")
     return joined.withColumn(name, index).drop("_row", "_part", "_first", "_offset")
