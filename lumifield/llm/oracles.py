@@ -2,6 +2,7 @@
 
 WORDS = "regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')"
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+TERMS = f"regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
 
 _FIELD = "coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
 _LEAF = "sha256(" + " || ".join(_FIELD.format(c=c) for c in ("doc_id", "source", "lang", "{n_chars}", "text")) + ")"
@@ -36,6 +37,20 @@ scores AS (
   FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM scores QUALIFY rank <= 5""",
+    "op12_lexical_search": rf"""
+WITH words AS (SELECT doc_id, row_number() OVER () AS r, coalesce({TERMS}, []) AS w FROM documents),
+asked AS (SELECT item_id, term, count(*) AS often FROM (SELECT item_id, unnest({TERMS}) AS term FROM benchmark) GROUP BY ALL),
+whole AS (SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS length FROM words),
+counts AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM words)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM counts, whole GROUP BY term),
+scores AS (
+  SELECT a.item_id, c.r, c.doc_id, CAST(sum(a.often * g.w * ((1000000000 * c.tf) // (1000 * c.tf + 8 * (25 + (75 * c.n * h.docs) // h.length)))) AS BIGINT) AS score
+  FROM counts c JOIN asked a ON a.term = c.term JOIN weights g ON g.term = c.term, whole h GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10""",
     "op13_merkle_manifest": f"""
 WITH RECURSIVE
 leaves AS (SELECT doc_id, lang, {_LEAF.format(n_chars="n_chars")} AS leaf,

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumifield.llm import langid, linededup, merkle, minhash, packing, pieces, quality, secrets, topk, weaklabel
+from lumifield.llm import langid, lexical, linededup, merkle, minhash, packing, pieces, quality, secrets, topk, weaklabel
 from lumifield.llm.oracles import ORACLES  # noqa: F401
 from lumifield.llm.substring import dedup_substrings
 
@@ -78,6 +78,10 @@ def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """Leaves, roots and proofs of all documents; rows whose id's checksum 7 divides are verified with one more n_chars than they have."""
     more = F.col("n_chars").cast("decimal(20,0)") + 1
@@ -100,5 +104,6 @@ QUERIES = {
     "op8_topk_search": op8_topk_search,
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_lexical_search": op12_lexical_search,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
