@@ -12,6 +12,7 @@ from lumifield.functions.stats import running_index
 from lumifield.functions.storage import store, store_observed
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+FILE_ROWS = 1 << 16  # nodes of a file of a level (some 10 MB)
 HEADS = 20_000  # trees up to which their roots are broadcast: rows of about two kilobytes
 PROOF = "array<struct<before: string, after: string>>"
 
@@ -44,15 +45,16 @@ def _level(nodes: DataFrame, fanout: int, keep: Sequence[str] = ()) -> DataFrame
     return out.select("tree", "idx", "n", "h", before.alias("before"), after.alias("after"), *keep)
 
 
-def ascend(nodes: DataFrame, most: int, fanout: int, keep: Sequence[str] = ()) -> tuple[list[DataFrame], DataFrame]:
+def ascend(nodes: DataFrame, rows: int, most: int, fanout: int, keep: Sequence[str] = ()) -> tuple[list[DataFrame], DataFrame]:
     """All levels of the trees with ``nodes`` as leaves, and their roots (tree, idx 0, n 1, h).
 
     ``n`` is the number of nodes of the tree at the level, ``most`` the largest n. A level is written once; the nodes in slot zero of each run
-    emit the parent. A tree that has come down to one node carries it along until the largest tree is done.
+    emit the parent. A tree that has come down to one node carries it along until the largest tree is done. ``rows`` is the number of
+    all nodes; levels are written to fewer files as they get smaller, so that small ones are joined without a shuffle.
     """
     levels = []
     while most > 1:
-        level, _ = store(_level(nodes, fanout, () if levels else keep), "level")
+        level, rows = store(_level(nodes, fanout, () if levels else keep).coalesce(-(-rows // FILE_ROWS)), "level")
         levels.append(level)
         parent = F.when(F.col("n") > 1, digest(F.col("h"), F.col("after"))).otherwise(F.col("h"))
         nodes = level.where(F.col("idx") % fanout == 0).select(
@@ -111,11 +113,11 @@ def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, group: str = "lang
     groups, seen = store_observed(leaves.groupBy("sort").agg(F.count(F.lit(1)).alias("n")), "groups", most=F.max("n"))
     trees, _ = store(running_index(groups, [], [F.col("sort")], "tree"), "trees")
     placed = attach(running_index(leaves, ["sort"], [F.col("key"), F.col("h")], "idx"), (trees, seen["n"]), ["sort"], spread_by=("h",), max_rows=HEADS)
-    nodes, _ = store(placed.select("tree", "idx", "n", "h", *keep), "nodes")
-    levels, roots = ascend(nodes, seen["most"] or 0, fanout, keep)
+    nodes, n = store(placed.select("tree", "idx", "n", "h", *keep), "nodes")
+    levels, roots = ascend(nodes, n, seen["most"] or 0, fanout, keep)
     rows = descend(levels, nodes, fanout, keep)
-    roots, _ = store(roots.select("tree", "h"), "roots")
-    above, top = ascend(roots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("idx"), F.lit(seen["n"]).alias("n"), "h"), seen["n"], fanout)
+    roots, _ = store(roots.select("tree", "h").coalesce(-(-seen["n"] // FILE_ROWS) or 1), "roots")
+    above, top = ascend(roots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("idx"), F.lit(seen["n"]).alias("n"), "h"), seen["n"], seen["n"], fanout)
     heads = descend(above, top if above else roots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("idx"), "h"), fanout)
     root = top.select("tree", F.col("h").alias("root"))
     heads = attach(heads.select("tree", "idx", F.col("h").alias("subroot"), F.col("proof").alias("rest")), root, ["tree"], spread_by=("idx",)).drop("tree")
