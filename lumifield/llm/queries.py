@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumifield.llm import langid, lexical, linededup, merkle, minhash, packing, pieces, quality, secrets, topk, weaklabel
+from lumifield.llm import langid, lexical, linededup, merkle, minhash, packing, pieces, pii, quality, secrets, topk, weaklabel
 from lumifield.llm.oracles import ORACLES  # noqa: F401
 from lumifield.llm.substring import dedup_substrings
 
@@ -78,6 +78,16 @@ def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_pii(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts and hash of the spans of known forms; all spans, those found by their contexts too."""
+    found = pii.find(_table(spark, sf, "documents"))
+    known = F.filter("spans", lambda s: s["known"])
+    of = lambda k: F.filter("spans", lambda s: s["known"] & (s["kind"] == k))
+    n = [F.size(of(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *n, F.sha2(pii.written(known).cast("binary"), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"),
+                        F.size(F.filter("spans", lambda s: ~s["known"])).cast("long").alias("n_found"))
+
+
 def op12_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.search(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
@@ -104,6 +114,7 @@ QUERIES = {
     "op8_topk_search": op8_topk_search,
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_pii": op11_pii,
     "op12_lexical_search": op12_lexical_search,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
