@@ -10,12 +10,11 @@ a third of the image.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,46 +169,6 @@ def bbox_text(y1: Column, x1: Column, y2: Column, x2: Column) -> Column:
     return F.format_string(BBOX_FORMAT, y1, x1, y2, x2)
 
 
-def contour_moments(regions: DataFrame, by: Sequence[str] = PLANE) -> DataFrame:
-    """Area, first moments and length of each region's outline through its pixel centres.
-
-    The outline is read off 2 x 2 pixel groups: four set pixels add a unit square, three add half of
-    one and a diagonal step, two add one step of the outline per side. Every pixel belongs to four
-    groups, and all set pixels of a group are of the same region. Holes count as outline and are
-    left out of the area.
-    """
-    by = list(by)
-    corner = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(bit).alias("bit"))
-                       for dy, dx, bit in ((0, 0, 1), (0, -1, 2), (-1, 0, 4), (-1, -1, 8))])
-    groups = (
-        regions.withColumn("_c", F.explode(corner))
-        .groupBy(*by, (F.col("y") + F.col("_c.dy")).alias("qy"), (F.col("x") + F.col("_c.dx")).alias("qx"))
-        .agg(F.min("label").alias("label"), F.sum("_c.bit").cast("int").alias("bits"))
-    )
-    n = F.bit_count("bits")
-    diagonal = F.col("bits").isin(6, 9)
-    area = F.when(n == 4, 1.0).when(n == 3, 0.5).otherwise(0.0)
-    # mean position of the set corners, from the group's top left pixel
-    third = 1.0 / 3.0
-    my = F.when(n == 4, 0.5).when(F.col("bits").isin(14, 13), 2 * third).otherwise(third)
-    mx = F.when(n == 4, 0.5).when(F.col("bits").isin(14, 11), 2 * third).otherwise(third)
-    root2 = 2.0 ** 0.5
-    length = (
-        F.when(n == 3, root2).when((n == 2) & diagonal, 2 * root2).when(n == 2, 1.0).otherwise(0.0))
-    return groups.groupBy(*by, "label").agg(
-        F.sum(area).alias("m00"),
-        F.sum(area * (F.col("qx") + mx)).alias("m10"),
-        F.sum(area * (F.col("qy") + my)).alias("m01"),
-        F.sum(length).alias("length"))
-
-
-def contour_centres(regions: DataFrame, by: Sequence[str] = PLANE) -> DataFrame:
-    """Rounded outline centroid of each region; (0, 0) when the outline has no area."""
-    m = contour_moments(regions, by)
-    at = lambda c: F.coalesce(F.rint(F.round(F.try_divide(F.col(c), F.col("m00")), 9)), F.lit(0)).cast("long")
-    return m.select(*by, "label", at("m10").alias("x"), at("m01").alias("y"))
-
-
 def bead_table(regions: DataFrame, by: Sequence[str] = PLANE, value: str = "v") -> DataFrame:
     """One bead per distinct rounded weighted centre; equal centres keep the lowest label."""
     m = measure(regions, by, value)
@@ -246,50 +205,7 @@ def range_filter(beads: DataFrame, low: int | Column, high: int | Column, litera
     return beads.withColumns({"x": F.when(ok, x).otherwise(0), "y": F.when(ok, y).otherwise(0)})
 
 
-def top_blobs(regions: DataFrame, by: Sequence[str] = ("tile_id",), k: int = 500, min_circularity: float = 0.5) -> DataFrame:
-    """Key points: the ``k`` largest round regions of each group, by area, ties by centre, all descending."""
-    m = contour_moments(regions, by)
-    circ = F.lit(4 * math.pi) * F.col("m00") / F.when(F.col("length") > 0, F.col("length") * F.col("length"))
-    at = lambda c: F.round(F.try_divide(F.col(c), F.col("m00")), 9).cast("long")
-    good = m.withColumn("circularity", circ).where(
-        (F.col("circularity") >= min_circularity) & (F.col("m00") > 0)
-    ).select(*by, at("m10").alias("x"), at("m01").alias("y"), F.col("m00").alias("area"), "circularity")
-    order = Window.partitionBy(*by).orderBy(F.desc("area"), F.desc("x"), F.desc("y"))
-    return good.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def find_points(
-    px: DataFrame, by: Sequence[str] = PLANE, k: int = 500, min_circularity: float = 0.5, value: str = "v"
-) -> DataFrame:
-    """Key points of raw samples: 8 bits, 3 x 3 smoothing, local Gaussian threshold (11 x 11, offset 2),
-    then :func:`top_blobs`."""
-    from lumifield.operators.intensity import minmax_8bit
-    from lumifield.operators.stencil import adaptive_threshold, blur, gaussian, stored_size, whole
-
-    size = stored_size(px, by)
-    soft = blur(minmax_8bit(px, by, value), gaussian(3), by, value, size=size)
-    smooth = soft.select(*by, "y", "x", whole(F.col("blurred")).alias(value))
-    bright = adaptive_threshold(smooth, gaussian(11), 2, by, value, size=size).where(F.col(value) == 255)
-    return top_blobs(components(bright.select(*by, "y", "x"), by), by, k, min_circularity)
-
-
-def second_pass(
-    px: DataFrame, beads: DataFrame, by: Sequence[str] = PLANE, level: float = 120, radius: int = 3
-) -> DataFrame:
-    """Beads missed so far: black out the known ones, 3 x 3 mean, threshold, outline centres; united
-    with the known beads, each position once."""
-    from lumifield.operators.intensity import binary_threshold, black_out
-    from lumifield.operators.stencil import blur, box, whole
-
-    rest = black_out(px, beads.select(*by, "y", "x"), radius, by)
-    soft = blur(rest, box(3), by).select(*by, "y", "x", whole(F.col("blurred")).alias("v"))
-    regions = components(binary_threshold(soft, level).where("v = 255"), by)
-    missed = contour_centres(regions, by).select(*by, "x", "y")
-    return missed.unionByName(beads.select(*by, "x", "y")).distinct()
-
-
 __all__ = [
-    "area_at_least", "bbox_text", "bead_table", "binary_close", "clear_border", "components", "contour_centres",
-    "contour_moments", "distinct_beads", "find_points", "inside_edges", "keep_labels", "measure", "plane_size", "range_filter",
-    "second_pass", "top_blobs",
+    "area_at_least", "bbox_text", "bead_table", "binary_close", "clear_border", "components", "distinct_beads", "inside_edges",
+    "keep_labels", "measure", "plane_size", "range_filter",
 ]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumifield.functions import constants as K
 from lumifield.functions.stats import grouped_median, plane_size
 from lumifield.functions.storage import shared_folder
-from lumifield.operators import catalog, cells, clahe, decode, inspect, intensity, regions, registration, stencil, tiles
+from lumifield.operators import catalog, cells, clahe, decode, inspect, intensity, outlines, regions, registration, stencil, tiles
 from lumifield.plans import fixtures as fx
 from lumifield.sources import stacks, tables
 
@@ -75,7 +75,7 @@ def shifts(spark: SparkSession, sf: str, radius: int = 2) -> DataFrame:
 
 def key_points(px: DataFrame, k: int = 500) -> DataFrame:
     """Key points per 4 x 4 tile from thresholded samples (columns y, x, tile_id)."""
-    return regions.top_blobs(regions.components(px, ["tile_id"]), ["tile_id"], k)
+    return outlines.top_blobs(regions.components(px, ["tile_id"]), ["tile_id"], k)
 
 
 def tiled_brightfield(spark: SparkSession, sf: str) -> DataFrame:
@@ -344,9 +344,9 @@ def g05_area_opening(spark, sf):
 
 @query
 def g06_contour_centres(spark, sf):
-    found = bright_regions(spark, sf)
-    m, c = regions.contour_moments(found, PLANE), regions.contour_centres(found, PLANE)
-    return m.join(c, [*PLANE, "label"]).select("label", "m00", r6("m10"), r6("m01"), r6("length"), "x", "y")
+    found = outlines.outlines(bright_regions(spark, sf), PLANE)
+    return found.join(outlines.centres(found, PLANE), [*PLANE, "label", "hole"]).select(
+        "label", "hole", "parent", "m00", r6("m10"), r6("m01"), r6("length"), "x", "y")
 
 
 @query
@@ -357,7 +357,7 @@ def g07_key_points(spark, sf):
 
 @query
 def g07_find_points(spark, sf):
-    return regions.find_points(fx.brightfield(spark, sf), PLANE).select("rank", "x", "y", "area", r6("circularity"))
+    return outlines.find_points(fx.brightfield(spark, sf), PLANE).select("rank", "x", "y", "area", r6("circularity"))
 
 
 @query
@@ -369,7 +369,7 @@ def g08_distinct_beads(spark, sf):
 @query
 def g09_second_pass(spark, sf):
     beads, _ = decode.find_beads(fx.brightfield(spark, sf), PLANE)
-    return regions.second_pass(gray8(spark, sf), beads, PLANE).select("x", "y")
+    return outlines.second_pass(gray8(spark, sf), beads, PLANE).select("x", "y")
 
 
 @query

@@ -147,18 +147,44 @@ SELECT label, count(*) AS area, min(y) AS y1, min(x) AS x1, max(y) AS y2, max(x)
 
 
 def outline(name: str, regions: str, extra: str = "") -> None:
-    key = f"{extra}, " if extra else ""
+    """Outlines of the regions and holes of a piece (label, y, x): piece (label, hole, parent, m00, m10, m01, length).
+
+    For each region by itself, what is not of it in the rectangle around it is flooded from every position to its four neighbours; what
+    the flood from the corner doesn't reach is inside.
+    """
+    key, same = (f"{extra}, ", f"AND t.{extra} = c.{extra}") if extra else ("", "")
+    piece(f"{name}_box", f"SELECT {key}label, min(y)-1 AS y0, max(y)+1 AS y1, min(x)-1 AS x0, max(x)+1 AS x1 FROM {regions} GROUP BY {key}label")
+    piece(f"{name}_free", f"""
+SELECT {key}label, y, x FROM (SELECT *, unnest(range(x0, x1+1)) AS x FROM (SELECT *, unnest(range(y0, y1+1)) AS y FROM {name}_box))
+EXCEPT SELECT {key}label, y, x FROM {regions}""")
+    piece(f"{name}_flood", f"""
+  SELECT {key}label, y, x, y*{STRIDE}+x AS comp FROM {name}_free
+  UNION
+  SELECT {f"t.{extra}, " if extra else ""}t.label, t.y, t.x, min(c.comp) AS comp
+  FROM {name}_flood c, (VALUES (-1,0),(1,0),(0,-1),(0,1)) AS o(dy, dx), recurring.{name}_flood t
+  WHERE t.label = c.label {same} AND t.y = c.y + o.dy AND t.x = c.x + o.dx AND c.comp < t.comp GROUP BY {f"t.{extra}, " if extra else ""}t.label, t.y, t.x""",
+          head=f"{name}_flood({key}label, y, x, comp) USING KEY ({key}label, y, x)")
+    piece(f"{name}_in", f"SELECT f.* FROM {name}_flood f JOIN {name}_box b USING ({key}label) WHERE comp <> y0*{STRIDE}+x0")
+    corners = "(VALUES (0,0,1),(0,-1,2),(-1,0,4),(-1,-1,8)) AS o(dy, dx, bit)"
     piece(f"{name}_quads", f"""
-SELECT {key}qy, qx, min(label) AS label, sum(bit) AS bits, count(*) AS k
-FROM (SELECT {key}label, y + dy AS qy, x + dx AS qx, bit FROM {regions}, (VALUES (0,0,1),(0,-1,2),(-1,0,4),(-1,-1,8)) AS o(dy, dx, bit))
-GROUP BY {key}qy, qx""")
-    piece(name, f"""
-SELECT {key}label, sum(a) AS m00, sum(a*(qx+mx)) AS m10, sum(a*(qy+my)) AS m01, sum(len) AS length FROM (
+SELECT {key}label, 0 AS comp, y + dy AS qy, x + dx AS qx, sum(bit) AS bits, count(*) AS k
+FROM (SELECT {key}label, y, x FROM {regions} UNION ALL SELECT {key}label, y, x FROM {name}_in), {corners} GROUP BY ALL
+UNION ALL
+SELECT {key}label, comp, y + dy, x + dx, 15 - sum(bit), 4 - count(*) FROM {name}_in, {corners} GROUP BY {key}label, comp, y + dy, x + dx""")
+    piece(f"{name}_sums", f"""
+SELECT {key}label, comp, comp > 0 AS hole, sum(CASE WHEN comp > 0 THEN 1 - a ELSE a END) AS m00,
+  sum(CASE WHEN comp > 0 THEN qx + 0.5::DOUBLE - a*(qx+mx) ELSE a*(qx+mx) END) AS m10,
+  sum(CASE WHEN comp > 0 THEN qy + 0.5::DOUBLE - a*(qy+my) ELSE a*(qy+my) END) AS m01, sum(len) AS length FROM (
   SELECT *, CASE k WHEN 4 THEN 1.0::DOUBLE WHEN 3 THEN 0.5::DOUBLE ELSE 0 END AS a,
     CASE WHEN k = 4 THEN 0.5::DOUBLE WHEN bits IN (14, 13) THEN 2/3 ELSE 1/3 END AS my,
     CASE WHEN k = 4 THEN 0.5::DOUBLE WHEN bits IN (14, 11) THEN 2/3 ELSE 1/3 END AS mx,
     CASE WHEN k = 3 THEN sqrt(2) WHEN k = 2 AND bits IN (6, 9) THEN 2*sqrt(2) WHEN k = 2 THEN 1 ELSE 0 END AS len
-  FROM {name}_quads) GROUP BY {key}label""")
+  FROM {name}_quads) GROUP BY {key}label, comp""")
+    piece(f"{name}_held", f"""
+SELECT {f"t.{extra}, " if extra else ""}t.label, max(c.comp) AS parent FROM {name}_box t JOIN {name}_in c ON c.y*{STRIDE}+c.x = t.label {same} GROUP BY ALL""")
+    piece(name, f"""
+SELECT {key}CASE WHEN hole THEN comp ELSE label END AS label, hole, CASE WHEN hole THEN label ELSE parent END AS parent, m00, m10, m01, length
+FROM {name}_sums LEFT JOIN {name}_held USING ({key}label)""")
 
 
 outline("contour", "region")
@@ -365,7 +391,7 @@ def points(name: str, source: str) -> None:
     piece(name, f"""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY area DESC, x DESC, y DESC) AS rank FROM (
   SELECT tile_id, CAST(trunc(round(m10/m00, 9)) AS BIGINT) AS x, CAST(trunc(round(m01/m00, 9)) AS BIGINT) AS y, m00 AS area, 4*pi()*m00/(length*length) AS circularity
-  FROM {name}_outline WHERE m00 > 0 AND length > 0) WHERE circularity >= 0.5) WHERE rank <= 500""")
+  FROM {name}_outline WHERE m00 > 0 AND length > 0 AND NOT hole AND parent IS NULL) WHERE circularity >= 0.5) WHERE rank <= 500""")
 
 
 points("fixed_points", "tiled_bf")
@@ -546,7 +572,7 @@ oracle("g04_measures", """
 SELECT label, area, y1, x1, y2, x2, round(cy, 6) AS cy, round(cx, 6) AS cx, round(wy, 6) AS wy, round(wx, 6) AS wx FROM region_table""")
 oracle("g05_area_opening", "SELECT label, y, x FROM region WHERE label IN (SELECT label FROM region_table WHERE area >= 10)")
 oracle("g06_contour_centres", """
-SELECT label, m00, round(m10, 6) AS m10, round(m01, 6) AS m01, round(length, 6) AS length,
+SELECT label, hole, parent, m00, round(m10, 6) AS m10, round(m01, 6) AS m01, round(length, 6) AS length,
 coalesce(CAST(round_even(round(m10/nullif(m00, 0), 9), 0) AS BIGINT), 0) AS x, coalesce(CAST(round_even(round(m01/nullif(m00, 0), 9), 0) AS BIGINT), 0) AS y FROM contour""")
 oracle("g07_key_points", """
 SELECT CAST(tile_id AS INTEGER) AS tile_id, CAST(rank AS INTEGER) AS rank, x, y, area, round(circularity, 6) AS circularity FROM fixed_points""")
@@ -560,7 +586,7 @@ oracle("g07_find_points", """
 SELECT CAST(rank AS INTEGER) AS rank, x, y, area, round(circularity, 6) AS circularity FROM (
   SELECT *, row_number() OVER (ORDER BY area DESC, x DESC, y DESC) AS rank FROM (
     SELECT CAST(trunc(round(m10/m00, 9)) AS BIGINT) AS x, CAST(trunc(round(m01/m00, 9)) AS BIGINT) AS y, m00 AS area, 4*pi()*m00/(length*length) AS circularity
-    FROM local_outline WHERE m00 > 0 AND length > 0) WHERE circularity >= 0.5) WHERE rank <= 500""")
+    FROM local_outline WHERE m00 > 0 AND length > 0 AND NOT hole AND parent IS NULL) WHERE circularity >= 0.5) WHERE rank <= 500""")
 oracle("g08_distinct_beads", """
 SELECT CAST(round_even(wx, 0) AS BIGINT) AS x, CAST(round_even(wy, 0) AS BIGINT) AS y FROM region_table UNION SELECT x, y FROM beads""")
 piece("found_beads", """

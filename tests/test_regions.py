@@ -70,21 +70,6 @@ def test_border_and_area_filters(spark):
     assert len(big) == 18 and (10, 10) not in big
 
 
-def test_outline_of_known_shapes(spark):
-    m = np.zeros((30, 30), bool)
-    m[2:7, 2:7] = True                       # 5 x 5 square: outline 4 x 4
-    for dy, dx in [(a, b) for a in range(-2, 3) for b in range(-2, 3) if a * a + b * b <= 4]:
-        m[15 + dy, 15 + dx] = True           # disc: diamond with diagonal 4
-    m[25, 3:9] = True                        # line: no area, length there and back
-    m[25, 20] = True                         # point
-    out = {r.label: r for r in R.contour_moments(R.components(table(spark, m), BY), BY).collect()}
-    sq, disc = out[2 * R.ROW_STRIDE + 2], out[13 * R.ROW_STRIDE + 15]
-    assert (sq.m00, sq.length) == (16.0, 16.0) and abs(sq.m10 / sq.m00 - 4) < 1e-9
-    assert disc.m00 == 8.0 and abs(disc.length - 8 * 2 ** 0.5) < 1e-9 and abs(disc.m01 / disc.m00 - 15) < 1e-9
-    line, point = out[25 * R.ROW_STRIDE + 3], out[25 * R.ROW_STRIDE + 20]
-    assert (line.m00, line.length, point.m00, point.length) == (0.0, 10.0, 0.0, 0.0)
-
-
 @pytest.mark.parametrize("size", [1, 3])
 def test_closing(spark, size):
     m = np.random.default_rng(5).random((16, 16)) < 0.35
@@ -114,16 +99,3 @@ def test_edge_and_range_forms(spark):
     assert xs(R.inside_edges(b, 2, 100, closed_low=True)) == [4, 5, 95]
     assert xs(R.range_filter(b, 4, 96)) == [5, 95]
     assert xs(R.range_filter(b, 4, 96, literal=True)) == [0, 4, 5, 95]
-
-
-def test_second_pass_finds_what_was_left(spark):
-    n = 40
-    img = np.zeros((n, n), int)
-    for cy, cx in ((10, 10), (25, 30)):
-        img[cy - 2:cy + 3, cx - 2:cx + 3] = 250
-    px = spark.createDataFrame([("f0", y, x, int(img[y, x])) for y in range(n) for x in range(n)],
-                               "file string, y bigint, x bigint, v bigint")
-    known = spark.createDataFrame([("f0", 10, 10)], "file string, y bigint, x bigint")
-    got = {(r.x, r.y) for r in R.second_pass(px, known, BY).collect()}
-    assert got == {(10, 10), (30, 25)}
-    assert px.agg(F.count("*")).first()[0] == n * n
