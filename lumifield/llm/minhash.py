@@ -14,6 +14,7 @@ from lumifield.llm.graph import components
 from lumifield.llm.words import Words, batch, mix, running, signed, small_batches, stretch, words
 
 BLOCK = 1 << 15  # shingles of a block of items that are compared at once
+TILE = 1 << 12  # shingles of the part of a block that is compared in one product: some 100 MB of grids at most
 
 
 def _sets(w: Words, size: int) -> list[np.ndarray]:
@@ -106,31 +107,45 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _tiles(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of items with up to ``TILE`` shingles together; a larger item is a stretch of its own."""
+    upto, out, lo = np.r_[0, np.cumsum(sizes)], [], 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + TILE, "right")) - 1)
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
+def _similar(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in ``a``, in ``b``) of the sets that are similar; counted on a grid of the shingles that both sides have."""
+    na, nb = (np.array([len(x) for x in s]) for s in (a, b))
+    ha, hb = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(ha, hb)
+    grids = []
+    for n, h in ((na, ha), (nb, hb)):
+        at = np.minimum(np.searchsorted(both, h), max(len(both) - 1, 0))
+        has = both[at] == h if len(both) else np.zeros(len(h), bool)
+        g = np.zeros((len(n), len(both)), np.float32)
+        g[np.repeat(np.arange(len(n)), n)[has], at[has]] = 1
+        grids.append(g)
+    common = np.rint(grids[0] @ grids[1].T).astype(np.int64)
+    return np.nonzero(100 * common >= percent * (na[:, None] + nb[None, :] - common))
+
+
 def _confirm_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links between components found by comparing all sets of one block with all of another, one row for each two components."""
+    """Links between components found by comparing all sets of one block with all of another, a tile with a tile, one row for each two components."""
     for part in batches:
         for ca, ma, cb, mb in zip(*(part.column(c) for c in ("ca", "ma", "cb", "mb"))):
-            comps, sizes, hashes = [], [], []
-            for c, m in ((ca, ma), (cb, mb)):
-                comps.append(np.asarray(c.values))
-                flat = m.values
-                sizes.append(np.diff(np.asarray(flat.buffers()[1]).view(np.int32)[flat.offset : flat.offset + len(flat) + 1]) // 8)
-                hashes.append(np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in flat]))
-            voc, place = np.unique(np.concatenate(hashes), return_inverse=True)
-            many = np.bincount(place) > 1
-            column = np.cumsum(many) - 1
-            grid = []
-            for n, part_of in zip(sizes, (place[: len(hashes[0])], place[len(hashes[0]) :])):
-                row = np.repeat(np.arange(len(n)), n)
-                g = np.zeros((len(n), int(many.sum())), np.float32)
-                keep = many[part_of]
-                g[row[keep], column[part_of[keep]]] = 1
-                grid.append(g)
-            common = np.rint(grid[0] @ grid[1].T).astype(np.int64)
-            union = sizes[0][:, None] + sizes[1][None, :] - common
-            i, j = np.nonzero((100 * common >= percent * union) & (comps[0][:, None] != comps[1][None, :]))
-            found = np.unique(np.c_[comps[0][i], comps[1][j]], axis=0)
-            yield batch(a=found[:, 0], b=found[:, 1])
+            (xa, sa), (xb, sb) = ((np.asarray(c.values), [np.frombuffer(v.as_buffer(), np.uint64) for v in m.values]) for c, m in ((ca, ma), (cb, mb)))
+            found = [np.zeros((0, 2), np.int64)]
+            for a, z in _tiles(np.array([len(s) for s in sa])):
+                for c, y in _tiles(np.array([len(s) for s in sb])):
+                    i, j = _similar(sa[a:z], sb[c:y], percent)
+                    pairs = np.c_[xa[a:z][i], xb[c:y][j]]
+                    found.append(np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0))
+            links = np.unique(np.concatenate(found), axis=0)
+            yield batch(a=links[:, 0], b=links[:, 1])
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = 36, rows: int = 6, one: bool = False) -> DataFrame:

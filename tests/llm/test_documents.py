@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,25 @@ def test_blocks_of_any_size_give_the_same_groups(spark, monkeypatch):
     same(minhash.near_duplicates(docs).drop("text_hash"), want)
 
 
+def test_many_short_sets_of_one_block_are_compared_in_little_memory():
+    rng, kinds = np.random.default_rng(4), np.arange(1, 9001, dtype=np.uint64)
+    sets = [np.unique(rng.choice(kinds, 2)) for _ in range(8000)]
+    assert max(z - a for a, z in minhash._tiles(np.array([len(s) for s in sets]))) <= minhash.TILE
+    part = pa.RecordBatch.from_pydict({k: [v] for k, v in (("ca", list(range(8000))), ("cb", list(range(8000))))} | {
+        k: pa.array([[s.tobytes() for s in sets]], pa.list_(pa.binary())) for k in ("ma", "mb")})
+    import tracemalloc
+
+    tracemalloc.start()
+    links = next(minhash._confirm_blocks(iter([part]), 85))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    by = defaultdict(list)
+    for i, x in enumerate(sets):
+        by[x.tobytes()].append(i)
+    want = {(i, j) for same in by.values() for i in same for j in same if i != j}
+    assert {tuple(r.values()) for r in links.to_pylist()} == want and peak < 400e6
+
+
 def test_substrings(docs):
     got = substring.dedup_substrings(docs)
     same(got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)), brute.substrings(pairs(docs)))
