@@ -28,10 +28,12 @@ def attach(
 
     The side table is stored and counted, unless it comes as the pair that ``store`` returns. Small: broadcast, so ``rows`` is not shuffled. Large: a
     shuffle join of two plain tables, whose hot keys adaptive execution splits; where it is switched off, each side row is
-    copied ``spread`` times and ``rows`` choose a copy by a hash of ``spread_by``.
+    copied ``spread`` times and ``rows`` choose a copy by a hash of ``spread_by``. Without key columns the side is one row, whose values all rows get.
     """
     on = list(on)
     side, n = table if isinstance(table, tuple) else store(table, "side")
+    if not on:
+        return rows.withColumns({c: side.select(c).scalar() for c in side.columns})
     if n <= max_rows:
         return rows.join(F.broadcast(side), on, how)
     conf = rows.sparkSession.conf

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
+from lumifield.functions.blocks import BLOCK, routed
 from lumifield.functions.constants import (
     INLIER_PX, MATCH_RATIO, MATRIX_FORMAT, MIN_POINTS, NCC_REUSE, NCC_STAGE_2, NCC_STAGE_3, RANSAC_ROUNDS,
 )
@@ -352,55 +353,6 @@ def carry_forward(
     return filled.withColumns({c: F.col(f"_t.{c}") for c in columns}).drop("_t")
 
 
-def _squares(px: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Each sample with its right, lower and lower right neighbour (columns sy, sx, p00 .. p11).
-
-    Neighbours come from windows along image lines, as planes are dense grids; a line of zeros goes
-    before the first row and column, and 0 stands for what lies beyond the last.
-    """
-    before = lambda c: F.explode(F.when(F.col(c) == 0, F.array(F.lit(-1).cast("long"), F.col(c))).otherwise(F.array(c)))
-    padded = (
-        px.select(*by, "y", "x", value).withColumn("sy", before("y")).withColumn("sx", before("x"))
-        .select(*by, "sy", "sx", F.when((F.col("sy") < 0) | (F.col("sx") < 0), F.lit(0.0)).otherwise(F.col(value)).alias("p00"))
-    )
-    across = Window.partitionBy(*by, "sy").orderBy("sx")
-    down = Window.partitionBy(*by, "sx").orderBy("sy")
-    zero = F.lit(0.0)
-    right = padded.withColumn("p01", F.coalesce(F.lead("p00").over(across), zero))
-    return right.withColumns({
-        "p10": F.coalesce(F.lead("p00").over(down), zero), "p11": F.coalesce(F.lead("p01").over(down), zero)})
-
-
-def _sampled(
-    targets: DataFrame, px: DataFrame, by: Sequence[str], value: str, on: Sequence[str] | None = None
-) -> DataFrame:
-    """Bilinear samples of ``px`` for every target; 0 where there is no source.
-
-    With ``on`` fewer than the plane columns ``by`` (an image without its channel), a target stands for
-    all channels, which it lists in the column ``channels``.
-
-    targets: on, y, x, the source position fy, fx (NULL for none) and the source window
-    [y0,y1) x [x0,x1), outside of which a corner counts as 0. A target is joined once, to the square
-    of four samples around its source.
-    """
-    settled = lambda c: F.round(c, 9)  # whole-pixel shifts are to hit pixels exactly
-    at = targets.withColumns({"fy": settled("fy"), "fx": settled("fx")})
-    at = at.withColumns({"sy": F.floor("fy"), "sx": F.floor("fx")})
-    joined = at.join(_squares(px, by, value), [*(on or by), "sy", "sx"], "left")
-    def weights(f: str, s: str, lo: str, hi: str) -> tuple[Column, Column]:
-        part = F.col(f) - F.col(s)
-        inside = lambda i: (i >= F.col(lo)) & (i < F.col(hi))
-        return (F.when(inside(F.col(s)), 1 - part).otherwise(0.0), F.when(inside(F.col(s) + 1), part).otherwise(0.0))
-    (ya, yb), (xa, xb) = weights("fy", "sy", "y0", "y1"), weights("fx", "sx", "x0", "x1")
-    mixed = ya * (xa * F.col("p00") + xb * F.col("p01")) + yb * (xa * F.col("p10") + xb * F.col("p11"))
-    sampled = F.coalesce(mixed, F.lit(0.0)).alias(value)
-    if on is None:
-        return joined.select(*by, "y", "x", sampled)
-    # a position without source is one row so far, and 0 in every channel
-    present = F.when(F.col("channel").isNull(), F.col("channels")).otherwise(F.array("channel"))
-    return joined.select(*on, "y", "x", sampled, F.explode(present).alias("channel")).select(*by, "y", "x", value)
-
-
 def _inverse_at(x: Column, y: Column) -> tuple[Column, Column]:
     """Source position (x, y) that the transform sends to the given target; no transform is identity."""
     a, b, tx, c, d, ty = (F.coalesce(F.col(m), F.lit(v)) for m, v in zip(MATRIX, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)))
@@ -409,55 +361,118 @@ def _inverse_at(x: Column, y: Column) -> tuple[Column, Column]:
     return (d * u - b * v) / det, (a * v - c * u) / det
 
 
+def _source_window(y0: Column, x0: Column, y1: Column, x1: Column) -> dict[str, Column]:
+    """The rows and columns of the source that the targets [y0, y1) x [x0, x1) take samples from: between those of the four corners."""
+    at = [_inverse_at(x, y) for y in (y0, y1 - 1) for x in (x0, x1 - 1)]
+    low = lambda i: F.floor(F.round(F.least(*[p[i] for p in at]), 6)) - 1
+    high = lambda i: F.floor(F.round(F.greatest(*[p[i] for p in at]), 6)) + 3
+    return {"sy0": low(1), "sy1": high(1), "sx0": low(0), "sx1": high(0)}
+
+
+def _warp_part(j: pd.Series, a: np.ndarray, off_y: int, off_x: int, bounds: tuple[int, int, int, int]) -> np.ndarray:
+    """Bilinear samples for the targets of a job; a corner outside ``bounds`` (rows, columns of the source) counts as 0.
+
+    Offsets are added to a target's place to get its place in the coordinates of the transform; the source is in those of the image.
+    """
+    m = [v if (v := j[c]) is not None and v == v else d for c, d in zip(MATRIX, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0))]
+    y, x = np.meshgrid(np.arange(int(j["ty0"]), int(j["ty1"]), dtype=float), np.arange(int(j["tx0"]), int(j["tx1"]), dtype=float), indexing="ij")
+    u, v = x + off_x - m[2], y + off_y - m[5]
+    det = m[0] * m[4] - m[1] * m[3]
+    # whole-pixel shifts are to hit pixels exactly
+    fy, fx = np.round((m[0] * v - m[3] * u) / det + bounds[0], 9), np.round((m[4] * u - m[1] * v) / det + bounds[2], 9)
+    iy, ix = np.floor(fy).astype(np.int64), np.floor(fx).astype(np.int64)
+    wy, wx = fy - iy, fx - ix
+    out = np.zeros(y.shape)
+    for dy, dx, weight in ((0, 0, (1 - wy) * (1 - wx)), (0, 1, (1 - wy) * wx), (1, 0, wy * (1 - wx)), (1, 1, wy * wx)):
+        r, c = iy + dy, ix + dx
+        ok = (r >= bounds[0]) & (r < bounds[1]) & (c >= bounds[2]) & (c < bounds[3]) & (weight > 0)
+        r, c = r - int(j["sy0"]), c - int(j["sx0"])
+        out[ok] += weight[ok] * a[r[ok], c[ok]]
+    return out
+
+
+def _grid_rows(j: pd.Series, values: np.ndarray) -> pd.DataFrame:
+    yy, xx = np.indices(values.shape)
+    return pd.DataFrame({"y": (yy + int(j["ty0"])).ravel(), "x": (xx + int(j["tx0"])).ravel(), "v": values.ravel()})
+
+
+def _cut(lo: Column, hi: Column, block: int) -> Column:
+    """[lo, hi) in stretches of at most ``block``: structs lo, hi."""
+    starts = F.when(hi > lo, F.sequence(lo, hi - 1, F.lit(block).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return F.transform(starts, lambda s: F.struct(s.alias("lo"), F.least(s + block, hi).alias("hi")))
+
+
 def warp(
     px: DataFrame, transforms: DataFrame, size: DataFrame, by: Sequence[str] = PLANE,
-    image: Sequence[str] = ("file",), value: str = "v",
+    image: Sequence[str] = ("file",), value: str = "v", block: int = BLOCK,
 ) -> DataFrame:
-    """Whole-image affine warp, bilinear, 0 outside; positions are those of ``px`` itself."""
-    t = attach(px.select(*by, "y", "x"), transforms.select(*image, *MATRIX).join(size.select(*image, "h", "w"), list(image)), image)
-    sx, sy = _inverse_at(F.col("x"), F.col("y"))
+    """Whole-image affine warp, bilinear, 0 outside. ``px`` is dense; planes with gaps are refused.
+
+    A plane is warped block by block: each block's window of the source follows from the transform and is sent to its task once.
+    """
+    by = list(by)
+    geo = size.select(*image, "h", "w").join(transforms.select(*image, *MATRIX), list(image), "left")
     zero = F.lit(0).cast("long")
-    targets = t.select(*by, "y", "x", sy.alias("fy"), sx.alias("fx"),
-                       zero.alias("y0"), F.col("h").alias("y1"), zero.alias("x0"), F.col("w").alias("x1"))
-    return _sampled(targets, px, by, value)
+    parts = geo.withColumn("_r", F.explode(_cut(zero, F.col("h").cast("long"), block))).withColumn("_c", F.explode(_cut(zero, F.col("w").cast("long"), block))).select(
+        *image, *MATRIX, "h", "w", F.col("_r.lo").alias("ty0"), F.col("_r.hi").alias("ty1"), F.col("_c.lo").alias("tx0"), F.col("_c.hi").alias("tx1"))
+    planes, _ = store(px.select(*by).distinct(), "planes")
+    parts = parts.withColumns(_source_window(F.col("ty0"), F.col("tx0"), F.col("ty1"), F.col("tx1")))
+    for lo, hi, side in (("sy0", "sy1", "h"), ("sx0", "sx1", "w")):
+        parts = parts.withColumns({lo: F.greatest(F.col(lo), zero), hi: F.least(F.col(hi), F.col(side).cast("long"))})
+    jobs = planes.join(parts, list(image)).withColumn("job", F.struct("ty0", "tx0"))
+    run = lambda j, a: _grid_rows(j, _warp_part(j, a, 0, 0, (0, int(j["h"]), 0, int(j["w"]))))
+    return routed(jobs, px, by, run, "y long, x long, v double", block, value=value).select(*by, "y", "x", F.col("v").alias(value))
 
 
 def align_stack(
     px: DataFrame, windows: DataFrame, transforms: DataFrame, by: Sequence[str] = PLANE,
-    image: Sequence[str] = ("file",), n: int = 10, value: str = "v",
+    image: Sequence[str] = ("file",), n: int = 10, value: str = "v", block: int = BLOCK,
 ) -> DataFrame:
     """Warp every channel of a file with its tile transforms and stitch the tile cores.
 
-    Only core positions are computed: the tile that owns a position follows from arithmetic, without
-    a join or shuffle, and its sample is looked up in that tile's own window.
+    Only core positions are computed. A tile owns the rows and columns of its core that no later tile's core covers; what no tile owns is 0. The owned
+    rectangles are cut into blocks, and each block's window of the source, inside its tile's own window, is sent to its task once.
+    Planes with gaps are refused.
     """
-    geo = windows.select(*image, "tile_id", "h", "cx", "cy", "half", "y0", "y1", "x0", "x1", "ymin", "xmin").join(
+    by, image = list(by), list(image)
+    geo = windows.select(*image, "tile_id", "cx", "cy", "half", "y0", "y1", "x0", "x1", "ymin", "xmin").join(
         transforms.select(*image, "tile_id", *MATRIX), [*image, "tile_id"], "left")
-    geo, n_geo = store(geo, "tiles")
-    # all channels of a file share one geometry: positions are taken from one channel only
-    stacks = px.groupBy(*image).agg(F.min("channel").alias("_first"), F.collect_set("channel").alias("channels"))
-    stacks = stacks.join(geo.select(*image, "h").distinct(), list(image))
-    grid = attach(px.select(*by, "y", "x"), stacks, image).where(F.col("channel") == F.col("_first"))
+    sides = windows.select(*image, F.col("h").cast("long").alias("h"), F.col("w").cast("long").alias("w")).distinct()
     half = half_side(n)
-    def owner(c: str) -> Column:
-        """Last tile along the axis whose core covers the position, else NULL."""
-        guess = F.floor(F.col(c) / (2 * half)).cast("int")
-        last = F.lit(None).cast("int")
-        for step in (-1, 0, 1):  # later tiles go over earlier ones
-            k = F.least(F.greatest(guess + step, F.lit(0)), F.lit(n - 1))
-            first = ((2 * k + 1) / F.lit(2 * n) * F.col("h") - half.cast("long")).cast("long")
-            covered = (F.col(c) >= first) & (F.col(c) < first + 2 * half.cast("long"))
-            last = F.when(covered, k).otherwise(last)
-        return last
-
-    owned = grid.select(*image, "channels", "y", "x", (owner("x") * n + owner("y")).alias("tile_id"))
-    t = attach(owned, (geo, n_geo), [*image, "tile_id"], how="left")
-    ly = F.col("y") - core_offset("cy") + F.col("ymin")
-    lx = F.col("x") - core_offset("cx") + F.col("xmin")
-    sx, sy = _inverse_at(lx, ly)
-    targets = t.select(
-        *image, "channels", "y", "x", (sy + F.col("y0")).alias("fy"), (sx + F.col("x0")).alias("fx"), "y0", "y1", "x0", "x1")
-    return _sampled(targets, px, by, value, image).withColumn(value, F.rint(F.round(value, 9)).cast("long"))
+
+    def owned(side: str) -> Column:
+        """Stretches of an axis: structs k (number of the tile along it, null for none), lo, hi."""
+        twice = 2 * half.cast("long")
+        first = lambda k: ((2 * k + 1) / F.lit(2 * n) * F.col("h") - half.cast("long")).cast("long")
+        low = lambda k: F.least(F.greatest(first(k), F.lit(0).cast("long")), F.col(side))
+        high = lambda k: F.greatest(F.least(first(k) + twice, F.when(k < n - 1, first(k + 1)).otherwise(F.col(side)), F.col(side)), low(k))
+        piece = lambda k, lo, hi: F.struct(k.cast("int").alias("k"), lo.alias("lo"), hi.alias("hi"))
+        none = F.lit(None)
+        tile = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.array(
+            piece(k, low(k), high(k)), piece(none, high(k), F.when(k < n - 1, low(k + 1)).otherwise(F.col(side)))))
+        return F.concat(F.array(piece(none, F.lit(0).cast("long"), low(F.lit(0)))), F.flatten(tile))
+
+    def split(df: DataFrame, side: str, t: str) -> DataFrame:
+        cut = df.withColumn("_s", F.explode(owned(side))).withColumn("_p", F.explode(_cut(F.col("_s.lo"), F.col("_s.hi"), block)))
+        return cut.withColumns({f"k_{t}": F.col("_s.k"), f"{t}0": F.col("_p.lo"), f"{t}1": F.col("_p.hi")}).drop("_s", "_p")
+
+    cells = split(split(sides, "h", "ty"), "w", "tx").withColumn("tile_id", F.col("k_tx") * n + F.col("k_ty")).drop("k_tx", "k_ty")
+    parts = cells.join(geo.withColumn("tile_id", F.col("tile_id").cast("int")), [*image, "tile_id"], "left")
+    to_tile = lambda t, c, trim: F.col(t) - core_offset(c) + F.col(trim)
+    window = _source_window(to_tile("ty0", "cy", "ymin"), to_tile("tx0", "cx", "xmin"), to_tile("ty1", "cy", "ymin"), to_tile("tx1", "cx", "xmin"))
+    parts = parts.withColumns({"off_y": F.col("ymin") - core_offset("cy"), "off_x": F.col("xmin") - core_offset("cx"), **window})
+    inside = lambda c, o, lo, hi: F.coalesce(F.least(F.greatest(F.col(c) + F.col(o), F.col(lo)), F.col(hi)), F.lit(0).cast("long"))
+    parts = parts.withColumns({c: inside(c, o, o, hi) for c, o, hi in (("sy0", "y0", "y1"), ("sy1", "y0", "y1"), ("sx0", "x0", "x1"), ("sx1", "x0", "x1"))})
+    planes, _ = store(px.select(*by).distinct(), "planes")
+    jobs = planes.join(parts, image).withColumn("job", F.struct("ty0", "tx0"))
+
+    def run(j: pd.Series, a: np.ndarray) -> pd.DataFrame:
+        if j["tile_id"] is None or j["tile_id"] != j["tile_id"]:
+            return _grid_rows(j, np.zeros((int(j["ty1"] - j["ty0"]), int(j["tx1"] - j["tx0"])), np.int64))
+        got = _warp_part(j, a, int(j["off_y"]), int(j["off_x"]), tuple(int(j[c]) for c in ("y0", "y1", "x0", "x1")))
+        return _grid_rows(j, np.rint(np.round(got, 9)).astype(np.int64))
+
+    return routed(jobs, px, by, run, "y long, x long, v long", block, value=value).select(*by, "y", "x", F.col("v").alias(value))
 
 
 def describe_matrix(transforms: DataFrame) -> DataFrame:
