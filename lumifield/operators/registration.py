@@ -369,6 +369,23 @@ def _source_window(y0: Column, x0: Column, y1: Column, x1: Column) -> dict[str,
     return {"sy0": low(1), "sy1": high(1), "sx0": low(0), "sx1": high(0)}
 
 
+def spline_basis(at: np.ndarray, side: int, mesh: int) -> np.ndarray:
+    """Weights of the mesh + 3 cubic splines of an axis of ``side`` pixels at the given places (rows)."""
+    t = np.clip(at, 0, max(side - 1, 0)) * (mesh / max(side - 1, 1))
+    cell = np.minimum(np.floor(t).astype(np.int64), mesh - 1)
+    u = t - cell
+    out = np.zeros((len(t), mesh + 3))
+    for k, w in enumerate(((1 - u) ** 3, 3 * u**3 - 6 * u**2 + 4, -3 * u**3 + 3 * u**2 + 3 * u + 1, u**3)):
+        out[np.arange(len(t)), cell + k] = w / 6
+    return out
+
+
+def bend_at(weights: np.ndarray, y: np.ndarray, x: np.ndarray, ny: int, nx: int) -> np.ndarray:
+    """A bend's part along one axis, on the grid of the rows ``y`` and columns ``x`` of a tile of ny x nx pixels."""
+    n = round(len(weights) ** 0.5)
+    return spline_basis(y, ny, n - 3) @ np.asarray(weights, float).reshape(n, n) @ spline_basis(x, nx, n - 3).T
+
+
 def _warp_part(j: pd.Series, a: np.ndarray, off_y: int, off_x: int, bounds: tuple[int, int, int, int]) -> np.ndarray:
     """Bilinear samples for the targets of a job; a corner outside ``bounds`` (rows, columns of the source) counts as 0.
 
@@ -376,7 +393,12 @@ def _warp_part(j: pd.Series, a: np.ndarray, off_y: int, off_x: int, bounds: tupl
     """
     m = [v if (v := j[c]) is not None and v == v else d for c, d in zip(MATRIX, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0))]
     y, x = np.meshgrid(np.arange(int(j["ty0"]), int(j["ty1"]), dtype=float), np.arange(int(j["tx0"]), int(j["tx1"]), dtype=float), indexing="ij")
-    u, v = x + off_x - m[2], y + off_y - m[5]
+    y, x = y + off_y, x + off_x
+    if j.get("bend_y") is not None:  # where the target is after the bend
+        ny, nx = bounds[1] - bounds[0], bounds[3] - bounds[2]
+        by, bx = (bend_at(j[c], y[:, 0], x[0], ny, nx) for c in ("bend_y", "bend_x"))
+        y, x = y + by, x + bx
+    u, v = x - m[2], y - m[5]
     det = m[0] * m[4] - m[1] * m[3]
     # whole-pixel shifts are to hit pixels exactly
     fy, fx = np.round((m[0] * v - m[3] * u) / det + bounds[0], 9), np.round((m[4] * u - m[1] * v) / det + bounds[2], 9)
@@ -432,11 +454,13 @@ def align_stack(
 
     Only core positions are computed. A tile owns the rows and columns of its core that no later tile's core covers; what no tile owns is 0. The owned
     rectangles are cut into blocks, and each block's window of the source, inside its tile's own window, is sent to its task once.
-    Planes with gaps are refused.
+    Planes with gaps are refused. Transforms may have a bend each (bend_y, bend_x, of :func:`elastic.bend`): a target's place is bent and then taken back
+    by the matrix.
     """
     by, image = list(by), list(image)
+    bends = [c for c in ("bend_y", "bend_x") if c in transforms.columns]
     geo = windows.select(*image, "tile_id", "cx", "cy", "half", "y0", "y1", "x0", "x1", "ymin", "xmin").join(
-        transforms.select(*image, "tile_id", *MATRIX), [*image, "tile_id"], "left")
+        transforms.select(*image, "tile_id", *MATRIX, *bends), [*image, "tile_id"], "left")
     sides = windows.select(*image, F.col("h").cast("long").alias("h"), F.col("w").cast("long").alias("w")).distinct()
     half = half_side(n)
 
@@ -458,8 +482,10 @@ def align_stack(
 
     cells = split(split(sides, "h", "ty"), "w", "tx").withColumn("tile_id", F.col("k_tx") * n + F.col("k_ty")).drop("k_tx", "k_ty")
     parts = cells.join(geo.withColumn("tile_id", F.col("tile_id").cast("int")), [*image, "tile_id"], "left")
-    to_tile = lambda t, c, trim: F.col(t) - core_offset(c) + F.col(trim)
-    window = _source_window(to_tile("ty0", "cy", "ymin"), to_tile("tx0", "cx", "xmin"), to_tile("ty1", "cy", "ymin"), to_tile("tx1", "cx", "xmin"))
+    # a bend goes no farther than its largest weight
+    far = F.coalesce(F.ceil(F.greatest(*[F.array_max(F.transform(c, F.abs)) for c in bends])), F.lit(0)) if bends else F.lit(0)
+    to_tile = lambda t, c, trim, sign: F.col(t) - core_offset(c) + F.col(trim) + sign * far
+    window = _source_window(to_tile("ty0", "cy", "ymin", -1), to_tile("tx0", "cx", "xmin", -1), to_tile("ty1", "cy", "ymin", 1), to_tile("tx1", "cx", "xmin", 1))
     parts = parts.withColumns({"off_y": F.col("ymin") - core_offset("cy"), "off_x": F.col("xmin") - core_offset("cx"), **window})
     inside = lambda c, o, lo, hi: F.coalesce(F.least(F.greatest(F.col(c) + F.col(o), F.col(lo)), F.col(hi)), F.lit(0).cast("long"))
     parts = parts.withColumns({c: inside(c, o, o, hi) for c, o, hi in (("sy0", "y0", "y1"), ("sy1", "y0", "y1"), ("sx0", "x0", "x1"), ("sx1", "x0", "x1"))})
