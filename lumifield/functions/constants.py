@@ -36,6 +36,7 @@ RANSAC_ROUNDS = 100_000
 INLIER_PX = 3.0
 TRACK_SETS = [(15, 2, 10), (21, 3, 20), (31, 4, 30)]   # window side, levels above the image, steps
 TRACK_EPS = 0.03
+MAX_POINTS = 5000                  # key points of a tile
 TRACK_ERROR = 50                   # mean difference of windows from which a point is dropped
 TRACK_MIN_EIGEN = 0.1024           # least eigenvalue of the mean gradient product
 ELASTIC_MESH = 8                   # spline cells along a side

@@ -21,6 +21,7 @@ from lumifield.functions.constants import (
     INLIER_PX, MATCH_RATIO, MATRIX_FORMAT, MIN_POINTS, NCC_REUSE, NCC_STAGE_2, NCC_STAGE_3, RANSAC_ROUNDS,
 )
 from lumifield.functions.lookup import attach, bucket
+from lumifield.functions.stats import plane_size
 from lumifield.functions.storage import store
 from lumifield.operators.intensity import ncc_agg, ncc_columns
 from lumifield.operators.tiles import core_offset, half_side
@@ -437,13 +438,14 @@ def warp(
     zero = F.lit(0).cast("long")
     parts = geo.withColumn("_r", F.explode(_cut(zero, F.col("h").cast("long"), block))).withColumn("_c", F.explode(_cut(zero, F.col("w").cast("long"), block))).select(
         *image, *MATRIX, "h", "w", F.col("_r.lo").alias("ty0"), F.col("_r.hi").alias("ty1"), F.col("_c.lo").alias("tx0"), F.col("_c.hi").alias("tx1"))
-    planes, _ = store(px.select(*by).distinct(), "planes")
+    sides_of, _ = store(plane_size(px, by), "planes")
+    planes = sides_of.select(*by)
     parts = parts.withColumns(_source_window(F.col("ty0"), F.col("tx0"), F.col("ty1"), F.col("tx1")))
     for lo, hi, side in (("sy0", "sy1", "h"), ("sx0", "sx1", "w")):
         parts = parts.withColumns({lo: F.greatest(F.col(lo), zero), hi: F.least(F.col(hi), F.col(side).cast("long"))})
-    jobs = planes.join(parts, list(image)).withColumn("job", F.struct("ty0", "tx0"))
+    jobs, _ = store(planes.join(parts, list(image)).withColumn("job", F.struct("ty0", "tx0")), "jobs")
     run = lambda j, a: _grid_rows(j, _warp_part(j, a, 0, 0, (0, int(j["h"]), 0, int(j["w"]))))
-    return routed(jobs, px, by, run, "y long, x long, v double", block, value=value).select(*by, "y", "x", F.col("v").alias(value))
+    return routed(jobs, px, by, run, "y long, x long, v double", block, sides_of, value).select(*by, "y", "x", F.col("v").alias(value))
 
 
 def align_stack(
@@ -458,6 +460,7 @@ def align_stack(
     by the matrix.
     """
     by, image = list(by), list(image)
+    windows, _ = store(windows.select(*image, "tile_id", "h", "w", "cx", "cy", "half", "y0", "y1", "x0", "x1", "ymin", "xmin"), "windows")
     bends = [c for c in ("bend_y", "bend_x") if c in transforms.columns]
     geo = windows.select(*image, "tile_id", "cx", "cy", "half", "y0", "y1", "x0", "x1", "ymin", "xmin").join(
         transforms.select(*image, "tile_id", *MATRIX, *bends), [*image, "tile_id"], "left")
@@ -489,8 +492,9 @@ def align_stack(
     parts = parts.withColumns({"off_y": F.col("ymin") - core_offset("cy"), "off_x": F.col("xmin") - core_offset("cx"), **window})
     inside = lambda c, o, lo, hi: F.coalesce(F.least(F.greatest(F.col(c) + F.col(o), F.col(lo)), F.col(hi)), F.lit(0).cast("long"))
     parts = parts.withColumns({c: inside(c, o, o, hi) for c, o, hi in (("sy0", "y0", "y1"), ("sy1", "y0", "y1"), ("sx0", "x0", "x1"), ("sx1", "x0", "x1"))})
-    planes, _ = store(px.select(*by).distinct(), "planes")
-    jobs = planes.join(parts, image).withColumn("job", F.struct("ty0", "tx0"))
+    sides_of, _ = store(plane_size(px, by), "planes")
+    planes = sides_of.select(*by)
+    jobs, _ = store(planes.join(parts, image).withColumn("job", F.struct("ty0", "tx0")), "jobs")
 
     def run(j: pd.Series, a: np.ndarray) -> pd.DataFrame:
         if j["tile_id"] is None or j["tile_id"] != j["tile_id"]:
@@ -498,7 +502,7 @@ def align_stack(
         got = _warp_part(j, a, int(j["off_y"]), int(j["off_x"]), tuple(int(j[c]) for c in ("y0", "y1", "x0", "x1")))
         return _grid_rows(j, np.rint(np.round(got, 9)).astype(np.int64))
 
-    return routed(jobs, px, by, run, "y long, x long, v long", block, value=value).select(*by, "y", "x", F.col("v").alias(value))
+    return routed(jobs, px, by, run, "y long, x long, v long", block, sides_of, value).select(*by, "y", "x", F.col("v").alias(value))
 
 
 def describe_matrix(transforms: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumifield.functions import constants as K
 from lumifield.functions.stats import grouped_median, plane_size
 from lumifield.functions.storage import shared_folder
-from lumifield.operators import catalog, cells, clahe, decode, inspect, intensity, outlines, regions, registration, stencil, tiles
+from lumifield.operators import catalog, cells, clahe, decode, elastic, inspect, intensity, outlines, regions, registration, stencil, tiles, tracking
 from lumifield.plans import fixtures as fx
 from lumifield.sources import stacks, tables
 
@@ -451,6 +451,27 @@ def t08_shift_pyramid(spark, sf):
     return found.select("tile_id", "dy", "dx", r6("ncc"))
 
 
+@query
+def t08_track_points(spark, sf):
+    """Key points of the moved image followed into the fixed one; real positions, so there is no SQL for them."""
+    eight = lambda df: df.selectExpr("y", "x", "v div 100 AS v")
+    moving = tile4(fx.moving_pixels(spark, sf))
+    points = key_points(moving.where("v > 10000").select("tile_id", "y", "x"))
+    found = tracking.track(points, eight(moving), eight(fx.brightfield(spark, sf)), fill=0)
+    return found.select("tile_id", "set", "rank", "x", "y", *[F.round(c, 3).alias(c) for c in ("u", "v", "error")])
+
+
+@query
+def t09_bend(spark, sf):
+    """Bends of the moved image's tiles; fitted, so there is no SQL for them."""
+    stack = fx.moving_stack(spark, sf).where("channel = 0").drop("channel")
+    fixed = fx.brightfield(spark, sf).drop("channel")
+    windows = tiles.tile_windows(tiles.tile_grid(plane_size(stack, ["cycle"]), 4, ["cycle"]), 3)
+    target, moving = (elastic.tile_images(px, windows, None, ["cycle"], ["cycle"]) for px in (fixed, stack))
+    far = lambda c: F.round(F.array_max(F.transform(c, F.abs)), 2).alias(f"{c}_most")
+    return elastic.bend(target, moving, ["cycle", "tile_id"]).select("cycle", "tile_id", F.round("ncc", 3).alias("ncc"), far("bend_y"), far("bend_x"))
+
+
 @query
 def t09_cascade(spark, sf):
     all_tiles = tile4(fx.moving_pixels(spark, sf))

@@ -128,3 +128,23 @@ def test_stored_tables_can_be_removed(spark, slides):
         assert jobs.generate_beads(pixels(spark, {"b": slides["b"]}), 3).count() >= 0
         assert tables() - before
     assert tables() <= before
+
+
+def test_transforms_are_tracked_then_bent(spark):
+    """Cycle 1 is turned and moved by fractions of a pixel; cycle 2 has nothing in common with the fixed image."""
+    from tests.test_tracking import sample, smooth
+
+    n, m = 110, np.array([[1.004, 0.01, 1.6], [-0.008, 0.997, -2.3]])
+    fixed, turned = smooth(n, 21, 4), None
+    y, x = np.indices((n, n)).astype(float)
+    turned = np.round(sample(fixed, m[1, 0] * x + m[1, 1] * y + m[1, 2], m[0, 0] * x + m[0, 1] * y + m[0, 2]))  # moving(p) = fixed(m p)
+    noise = np.random.default_rng(5).integers(0, 255, (n, n))
+    stack = [[(img * 40).astype(int)] for img in (fixed, turned, noise)]
+    px, files = pixels(spark, {"s": stack}), spark.createDataFrame([("s", k, 0, 1) for k in range(3)], "slide string, cycle int, reference_channel int, n_channels int")
+    found = {(r.cycle, r.tile_id): r for r in jobs.find_transforms(px, files, n=2, overlap=10, reach=3).collect()}
+    assert len(found) == 8
+    for (cycle, _), r in found.items():
+        if cycle == 1:
+            assert r.stage == 1 and r.ncc > 0.8 and np.allclose([r.a, r.b, r.c, r.d], m[:, :2].ravel(), atol=0.01)
+        else:
+            assert r.ncc < 0.5 and r.stage in (None, 1, 2, 3)
