@@ -204,78 +204,110 @@ def shift_search(
         *by, "dy", "dx", ncc_columns(*(F.col(c) for c in ("n", "sa", "sb", "sab", "saa", "sbb"))).alias("ncc"))
 
 
-def search_plan(reach: int) -> tuple[int, int]:
-    """(levels, radius on the coarsest one) of a pyramid in which every shift up to ``reach`` pixels is searched."""
-    levels = 1
-    while reach > 4 * 2 ** (levels - 1):
-        levels += 1
-    return levels, -(-reach // 2 ** (levels - 1))
+def _smooth_size(n: int) -> int:
+    """Least number from ``n`` on without prime factors over 5, for which the transform is fast."""
+    while True:
+        m = n
+        for p in (2, 3, 5):
+            while m % p == 0:
+                m //= p
+        if m == 1:
+            return n
+        n += 1
 
 
-def shift_pyramid(
-    fixed: DataFrame, moving: DataFrame, by: Sequence[str] = ("tile_id",), reach: int = 6, radius: int = 2,
-    plane: Sequence[str] = (), value: str = "v", keep: int = 4,
-) -> DataFrame:
-    """Best shift per group, found coarse to fine: by, dy, dx, ncc at full size, and on_rim.
+def correlations(moving: np.ndarray, there: np.ndarray, fixed: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """NCC of ``moving`` with ``fixed`` at every place of it: [ky, kx] compares moving[i] with fixed[i + k]; NaN where nothing is compared.
 
-    Each level halves the image (block means), takes the best shifts of the level above, doubled, and searches ``radius``
-    pixels around them; the coarsest level searches all that is within ``reach``. As beads
-    repeat at regular distances, the right shift need not be among the best of a coarse level: the search is
-    made with ``keep`` shifts, then with twice as many for the groups whose result still moved, until none does.
-    on_rim: the shift lies at the rim of what was searched, so the true one may be farther off.
+    Both hold whole numbers from 0 on, with masks of the positions that count. The six sums of all places come from products of
+    Fourier transforms. Factors are cut into bytes, so that every product is a whole number far below 2^53, to which it
+    is rounded: the sums are exact.
     """
-    by = list(by)
-    levels, _ = search_plan(reach)
-    rim = (F.greatest(F.abs("dy"), F.abs("dx")) >= reach).alias("on_rim")
-    if levels == 1:
-        return best_shift(shift_search(fixed, moving, by, max(reach, 1), plane, value), by).select(*by, "dy", "dx", "ncc", rim)
-    found, _ = store(_pyramid(fixed, moving, by, reach, radius, plane, value, keep), "found")
-    settled, rest = None, moving
-    while True:
-        keep *= 2
-        again, _ = store(_pyramid(fixed, rest, by, reach, radius, plane, value, keep), "found")
-        old = found.select(*by, F.col("dy").alias("_y"), F.col("dx").alias("_x"))
-        same = again.join(old, by).withColumn("_same", (F.col("dy") == F.col("_y")) & (F.col("dx") == F.col("_x"))).drop("_y", "_x")
-        done = same.where("_same").drop("_same")
-        settled = done if settled is None else settled.unionByName(done)
-        found, left = store(same.where("NOT _same").drop("_same"), "moved")
-        if not left:
-            return settled.select(*by, "dy", "dx", "ncc", rim)
-        rest = attach(moving, found.select(*by), by, how="left_semi", spread_by=("y", "x"))
-
-
-def _pyramid(
-    fixed: DataFrame, moving: DataFrame, by: list[str], reach: int, radius: int, plane: Sequence[str], value: str, keep: int,
+    shape = tuple(_smooth_size(n) for n in fixed.shape)
+    out = tuple(f - m + 1 for f, m in zip(fixed.shape, moving.shape))
+
+    def spectra(a: np.ndarray, mirrored: bool) -> list[np.ndarray]:
+        parts = []
+        while True:
+            t = np.fft.rfft2((a & 255).astype(np.float64), shape)
+            parts.append(np.conj(t) if mirrored else t)
+            a = a >> 8
+            if not a.any():
+                return parts
+
+    def total(m: list[np.ndarray], f: list[np.ndarray]) -> np.ndarray:
+        got = np.zeros(out, np.int64)
+        for i, p in enumerate(m):
+            for j, q in enumerate(f):
+                got += np.rint(np.fft.irfft2(p * q, shape)[: out[0], : out[1]]).astype(np.int64) << (8 * (i + j))
+        return got
+
+    there, known, moving, fixed = there.astype(np.int64), known.astype(np.int64), moving * there, fixed * known
+    if float(moving.max(initial=0)) * float(fixed.max(initial=0)) * moving.size >= 2.0 ** 62 or max(moving.max(initial=0), fixed.max(initial=0)) ** 2.0 * moving.size >= 2.0 ** 62:
+        raise ValueError("samples are too large for exact sums")
+    at, seen = spectra(there, True), spectra(known, False)
+    m, f = spectra(moving, True), spectra(fixed, False)
+    n, sa, sb, sab = total(at, seen), total(at, f), total(m, seen), total(m, f)
+    saa, sbb = total(at, spectra(fixed * fixed, False)), total(spectra(moving * moving, True), seen)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        n, sa, sb, sab, saa, sbb = (v.astype(np.longdouble) for v in (n, sa, sb, sab, saa, sbb))
+        size = np.sqrt(np.maximum(n * saa - sa * sa, 0)) * np.sqrt(np.maximum(n * sbb - sb * sb, 0))
+        return np.where(n == 0, np.nan, np.where(size > 0, (n * sab - sa * sb) / size, 0)).astype(np.float64)
+
+
+def search_shifts(
+    fixed: DataFrame, moving: DataFrame, by: Sequence[str] = ("tile_id",), reach: int = 6, plane: Sequence[str] = (), value: str = "v",
 ) -> DataFrame:
-    plane = list(plane)
-    levels, widest = search_plan(reach)
-
-    def shrink(df: DataFrame, keys: list[str], factor: int) -> DataFrame:
-        if factor == 1:
-            return df.select(*keys, "y", "x", value)
-        return df.groupBy(*keys, bucket("y", factor).alias("y"), bucket("x", factor).alias("x")).agg(
-            F.rint(F.avg(value)).cast("long").alias(value))
-
-    keys = list(dict.fromkeys([*plane, *by]))
-    start = None
-    for level in reversed(range(levels)):
-        small = shrink(moving, keys, 2 ** level)
-        if start is None:
-            small = small.withColumns({"_sy": F.lit(0), "_sx": F.lit(0)})
-        else:
-            doubled = start.select(*by, (2 * F.col("dy")).alias("_sy"), (2 * F.col("dx")).alias("_sx"))
-            small = attach(small, doubled, by)
-        # compare each sample where the shift so far says it came from, and search around that
-        small = small.withColumns({"y": F.col("y") - F.col("_sy"), "x": F.col("x") - F.col("_sx")})
-        scores = shift_search(shrink(fixed, plane, 2 ** level), small, [*by, "_sy", "_sx"],
-                              widest if level == levels - 1 else radius, plane, value)
-        total = scores.groupBy(*by, (F.col("_sy") + F.col("dy")).alias("dy"), (F.col("_sx") + F.col("dx")).alias("dx")).agg(
-            F.max("ncc").alias("ncc"))
-        if level == 0:
-            return best_shift(total.where((F.abs("dy") <= reach) & (F.abs("dx") <= reach)), by)
-        order = Window.partitionBy(*by).orderBy(F.desc(F.round("ncc", 9)), "dy", "dx")
-        best = total.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= keep).drop("_rank")
-        start, _ = store(best, "shifts")
+    """Best of all whole-pixel shifts up to ``reach`` for each group: by, dy, dx, ncc, on_rim; ties as in :func:`best_shift`.
+
+    Every shift is scored exactly (see :func:`correlations`), by as many operations as a few transforms of a tile take, whatever the
+    reach. A tile and the window of the fixed plane around it are one task, bounded by the tile's side and the reach. on_rim: the shift lies at the rim of what
+    was searched, so the true one may be farther off. ``fixed`` is a dense plane of whole numbers, one with gaps is refused; ``moving`` may have gaps.
+    """
+    by, plane = list(by), list(plane)
+    sides, n = store(plane_size(fixed, plane), "sides")
+    box = moving.groupBy(*dict.fromkeys([*plane, *by])).agg(*[f(c).cast("long").alias(f"_{c}{k}") for c in "yx" for k, f in ((0, F.min), (1, F.max))])
+    box = attach(box, (sides, n), plane, spread_by=by)
+    zero = F.lit(0).cast("long")
+    jobs = box.withColumns({
+        "sy0": F.greatest(F.col("_y0") - reach, zero), "sy1": F.least(F.col("_y1") + 1 + reach, F.col("h").cast("long")),
+        "sx0": F.greatest(F.col("_x0") - reach, zero), "sx1": F.least(F.col("_x1") + 1 + reach, F.col("w").cast("long")), "job": F.struct(*by)})
+    jobs, _ = store(jobs, "jobs")
+    names = ("_y0", "_x0", "_y1", "_x1", "sy0", "sx0", "ny", "nx")
+
+    def pack(j: pd.Series, a: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({**{c: [j[c]] for c in names[:6]}, "ny": [a.shape[0]], "nx": [a.shape[1]], "data": [a.astype("<f8").tobytes()]})
+
+    windows = routed(jobs, fixed, plane, pack, "".join(f"{c} long, " for c in names) + "data binary", size=sides, value=value,
+                     carry=[c for c in by if c not in plane])
+    schema = T.StructType([*[moving.schema[c] for c in by], *[T.StructField(c, T.IntegerType()) for c in ("dy", "dx")],
+                           T.StructField("ncc", T.DoubleType()), T.StructField("on_rim", T.BooleanType())])
+
+    def search(px: pd.DataFrame, win: pd.DataFrame) -> pd.DataFrame:
+        if px.empty or win.empty:
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        w = win.iloc[0]
+        y0, x0, y1, x1, sy, sx, ny, nx = (int(w[c]) for c in names)
+        a = np.zeros((y1 - y0 + 1, x1 - x0 + 1), np.int64)
+        there = np.zeros(a.shape, bool)
+        at = px["y"].to_numpy(np.int64) - y0, px["x"].to_numpy(np.int64) - x0
+        a[at], there[at] = px["_v"].to_numpy(np.int64), True
+        b = np.zeros((a.shape[0] + 2 * reach, a.shape[1] + 2 * reach), np.int64)
+        known = np.zeros(b.shape, bool)
+        put = slice(sy - y0 + reach, sy - y0 + reach + max(ny, 0)), slice(sx - x0 + reach, sx - x0 + reach + max(nx, 0))
+        if ny > 0 and nx > 0:
+            b[put], known[put] = np.rint(np.frombuffer(w["data"], "<f8").reshape(ny, nx)).astype(np.int64), True
+        least = min(int(a[there].min()), int(b[known].min()) if known.any() else 0)  # a constant changes no correlation
+        ncc = correlations((a - least) * there, there, (b - least) * known, known)[::-1, ::-1]  # by dy and dx from -reach on
+        if np.isnan(ncc).all():
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        score = np.round(ncc, 9)
+        dy, dx = np.argwhere(score == np.nanmax(score))[0]
+        return px[by].head(1).assign(dy=int(dy) - reach, dx=int(dx) - reach, ncc=float(ncc[dy, dx]), on_rim=max(abs(int(dy) - reach), abs(int(dx) - reach)) >= reach)
+
+    own = moving.select(*by, "y", "x", F.col(value).alias("_v"))
+    held = windows.select(*[F.col(c).alias(f"{c}_w") for c in by], *names, "data")
+    return own.groupBy(*by).cogroup(held.groupBy(*[f"{c}_w" for c in by])).applyInPandas(search, schema)
 
 
 def best_shift(scores: DataFrame, by: Sequence[str] = ("tile_id",)) -> DataFrame:

@@ -56,7 +56,7 @@ def align_to_reference(
     """Every later cycle moved onto cycle 0 of its slide, tile by tile, all channels alike.
 
     Bad files are left out (see :func:`prepare`). Reference channels are stretched (percentiles 50 and 99), each tile's
-    shift is searched coarse to fine up to ``reach`` pixels (2 ** (levels + 1) - 2 if ``levels`` is given, else the overlap of tiles), weak tiles take the transform
+    best shift of all up to ``reach`` pixels is found (2 ** (levels + 1) - 2 if ``levels`` is given, else the overlap of tiles), weak tiles take the transform
     before them, and the stacks are warped and stitched. :func:`find_shifts` gives the shifts by themselves. With ``tracked`` the transforms are those
     of :func:`find_transforms`: affines with sub-pixel precision, then shifts, then bends.
     """
@@ -84,7 +84,7 @@ def find_shifts(px: DataFrame, files: DataFrame, n: int = NUM_TILES, overlap: in
     size = plane_size(px, FILE)
     tiled = tiles.pixels_by_tile(moving, size.where("cycle > 0"), n, overlap, (*FILE,), FILE)
     by = [*FILE, "tile_id"]
-    return registration.shift_pyramid(fixed, tiled, by, overlap if reach is None else reach, plane=SLIDE)
+    return registration.search_shifts(fixed, tiled, by, overlap if reach is None else reach, plane=SLIDE)
 
 
 def find_transforms(
@@ -143,7 +143,7 @@ def find_transforms(
     weak, left = store(best.where(F.col("ncc") < NCC_STAGE_2).select(*by), "weak")
     if left:
         tiled = attach(tiles.pixels_by_tile(moving, later, n, overlap, FILE, FILE), (weak, left), by, how="left_semi")
-        found = registration.shift_pyramid(fixed, tiled, by, overlap if reach is None else reach, plane=SLIDE)
+        found = registration.search_shifts(fixed, tiled, by, overlap if reach is None else reach, plane=SLIDE)
         best = better(best, scored(store(registration.shift_matrix(found).select(*by, *registration.MATRIX), "shifts")[0], 2))
     weak, left = store(best.where(F.col("ncc") < NCC_STAGE_3).drop("ncc", "stage", "bend_y", "bend_x"), "weak")
     if left:

@@ -446,7 +446,7 @@ def t08_shift_search(spark, sf):
 
 @query
 def t08_shift_pyramid(spark, sf):
-    found = registration.shift_pyramid(
+    found = registration.search_shifts(
         fx.brightfield(spark, sf).drop(*PLANE), tile4(fx.moving_pixels(spark, sf)), ["tile_id"], reach=6)
     return found.select("tile_id", "dy", "dx", r6("ncc"))
 

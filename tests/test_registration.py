@@ -147,12 +147,70 @@ def test_robust_affine_finds_one_clean_pair_in_five(spark):
         assert np.allclose([m.a, m.b, m.tx, m.c, m.d, m.ty], [1.02, -0.03, 4, 0.01, 0.97, -2], atol=1e-6)
 
 
-def test_pyramid_reaches_sixty_pixels_and_reports_the_rim(spark):
+def every_shift(fixed, known, moving, there, y0, x0, reach):
+    """(dy, dx, ncc) of the best shift, by trying each."""
+    best = None
+    for dy in range(-reach, reach + 1):
+        for dx in range(-reach, reach + 1):
+            a, b = [], []
+            for i, j in np.argwhere(there):
+                y, x = i + y0 - dy, j + x0 - dx
+                if 0 <= y < fixed.shape[0] and 0 <= x < fixed.shape[1] and known[y, x]:
+                    a.append(fixed[y, x])
+                    b.append(moving[i, j])
+            if a:
+                a, b = np.array(a, float), np.array(b, float)
+                va, vb = ((v - v.mean()) ** 2 for v in (a, b))
+                ncc = round(float(((a - a.mean()) * (b - b.mean())).sum() / np.sqrt(va.sum() * vb.sum())), 9) if va.sum() > 0 and vb.sum() > 0 else 0.0
+                if best is None or ncc > best[2]:
+                    best = dy, dx, ncc
+    return best
+
+
+@pytest.mark.parametrize("depth", [200, 65535])
+def test_best_of_all_shifts(spark, depth):
+    rng, rows = np.random.default_rng(depth), []
+    fixed = rng.integers(0, depth, (23, 31))
+    want = {}
+    for tile, (y0, x0, h, w) in enumerate([(0, 0, 9, 8), (14, 20, 9, 11), (5, 7, 6, 6), (10, 0, 5, 31)]):
+        moving, there = rng.integers(0, depth, (h, w)), rng.random((h, w)) < 0.8
+        if tile == 2:
+            moving[:] = 7  # no contrast: all shifts are alike
+        rows += [(tile, int(y0 + i), int(x0 + j), int(moving[i, j])) for i, j in np.argwhere(there)]
+        want[tile] = every_shift(fixed, np.ones(fixed.shape, bool), moving, there, y0, x0, 4)
+    moving = spark.createDataFrame([*rows, (9, 500, 500, 3)], "tile_id int, y long, x long, v long")  # tile 9 meets nothing
+    got = {r.tile_id: (r.dy, r.dx, r.ncc, r.on_rim) for r in reg.search_shifts(image(spark, fixed), moving, reach=4).collect()}
+    assert got.keys() == want.keys()
+    for t, (dy, dx, ncc) in want.items():
+        assert got[t][:2] == (dy, dx) and abs(got[t][2] - ncc) < 2e-9 and got[t][3] == (max(abs(dy), abs(dx)) == 4)
+
+
+def test_shift_of_a_tile_at_full_reach(spark):
+    """A tile of 100 pixels and a reach of 250: the sums equal those of the shifts compared one by one."""
+    rng = np.random.default_rng(12)
+    fixed = rng.integers(0, 65536, (640, 620))
+    dy, dx = -231, 198
+    y0, x0 = 270, 270  # nearer to the edge a few pixels that happen to agree would win
+    moved = np.clip(fixed[y0 - dy : y0 - dy + 100, x0 - dx : x0 - dx + 100] + rng.integers(-4000, 4000, (100, 100)), 0, 65535)
+    b, known = np.zeros((600, 600), np.int64), np.zeros((600, 600), bool)
+    ys, xs = np.arange(y0 - 250, y0 + 350), np.arange(x0 - 250, x0 + 350)
+    oky, okx = (ys >= 0) & (ys < 640), (xs >= 0) & (xs < 620)
+    b[np.ix_(oky, okx)], known[np.ix_(oky, okx)] = fixed[np.ix_(ys[oky], xs[okx])], True
+    ncc = reg.correlations(moved, np.ones((100, 100), bool), b, known)[::-1, ::-1]
+    assert np.unravel_index(np.nanargmax(ncc), ncc.shape) == (dy + 250, dx + 250)
+    for sy, sx in [(dy, dx), (0, 0), (250, -250), (-250, 250), (37, -12), (250, 250)]:
+        ok = known[250 - sy : 350 - sy, 250 - sx : 350 - sx]
+        f, m = b[250 - sy : 350 - sy, 250 - sx : 350 - sx][ok].astype(float), moved[ok].astype(float)
+        got = ncc[sy + 250, sx + 250]
+        assert np.isnan(got) if not ok.any() else abs(got - np.corrcoef(f, m)[0, 1]) < 1e-9
+
+
+def test_search_reaches_sixty_pixels_and_reports_the_rim(spark):
     arr = np.random.default_rng(6).integers(1, 5000, (160, 160))
     smooth = sum(np.roll(arr, (i, j), axis=(0, 1)) for i in range(6) for j in range(6)) // 36
     fixed = image(spark, smooth)
     moved = image(spark, np.roll(smooth, (60, -37), axis=(0, 1))).where("y >= 60 AND x < 123").withColumn("tile_id", F.lit(0))
-    got = reg.shift_pyramid(fixed, moved, reach=64).first()
+    got = reg.search_shifts(fixed, moved, reach=64).first()
     assert (got.dy, got.dx, got.on_rim) == (60, -37, False)
 
 
