@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from lumifield.functions.storage import store
 from lumifield.llm.words import _LINE, Words, _runs, batch, carried, restored, running, signed, small_batches, stretch, words
 
-RARE = 50  # documents up to which a line is called rare; decides nothing here, the tests' plain rule by lines reads it
 BLOCK_WORDS = 12  # words of a common block that is deleted
 
 

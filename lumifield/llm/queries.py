@@ -68,6 +68,7 @@ def held_out(key: str = "doc_id"):
 
 
 def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Languages of all documents. A null id has no checksum: it is not held out, and nothing is learned from it."""
     docs = _table(spark, sf, "documents")
     filters = langid.learn(docs.where(~held_out()))
     return langid.identify(docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text"), filters).drop("text")

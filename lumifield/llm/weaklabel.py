@@ -171,9 +171,10 @@ def classify(docs: DataFrame, rows: int = TRAIN_ROWS, threshold: float = 0.5) ->
 
     ``docs`` has doc_id, lang, source and text. Votes of all rows are counted by pattern; EM on the patterns estimates how far
     each labeller is right; the posterior of a document's pattern labels it; a linear scorer on hashed words and shapes is
-    fitted on the posteriors of a bounded sample, and scores all texts. A document is kept if its score is at least ``threshold``.
+    fitted on the posteriors of a bounded sample (``rows`` different documents of five words or more, those of least hash), and scores all texts. A document is kept if its score is at least ``threshold``.
 
-    Null or empty texts and those without a word get no votes, score 0 and are not kept. Equal rows get equal results. A null doc_id is kept as
+    Null or empty texts and those without a word get no votes, score 0 and are not kept; texts of any length are scored whole. Equal rows get equal results, ties
+    of hashes in the sample go by doc_id. A null doc_id is kept as
     it is. No rows give no rows. Other columns are ignored.
     """
     names = list(LABELLERS)
@@ -190,8 +191,8 @@ def classify(docs: DataFrame, rows: int = TRAIN_ROWS, threshold: float = 0.5) ->
         list(patterns[[*names, "posterior"]].itertuples(index=False, name=None)), ", ".join([*(f"{k} int" for k in names), "posterior double"]))
     voted = voted.join(F.broadcast(table), names, "left").withColumn("posterior", F.coalesce("posterior", F.lit(0.0)))
     keyed = d.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text")
-    some = voted.where("n_words >= 5").select(F.col("doc_id").alias("i"), F.col("h").alias("j"), F.col("posterior").alias("good")).orderBy(
-        F.xxhash64("h"), "i").limit(rows).distinct()
+    some = voted.where("n_words >= 5").select(F.col("doc_id").alias("i"), F.col("h").alias("j"), F.col("posterior").alias("good")).distinct().orderBy(
+        F.xxhash64("j"), "i").limit(rows)  # equal rows count once before the sample is cut
     some, _ = store(some, "sample")
     labelled = keyed.join(F.broadcast(some), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("j"))).select("text", "good")
     scorer = fit_scorer(labelled, rows)
