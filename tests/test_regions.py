@@ -70,18 +70,21 @@ def test_border_and_area_filters(spark):
     assert len(big) == 18 and (10, 10) not in big
 
 
-@pytest.mark.parametrize("size", [1, 3])
+@pytest.mark.parametrize("size", [1, 2, 3, 31])
 def test_closing(spark, size):
-    m = np.random.default_rng(5).random((16, 16)) < 0.35
-    m[:2] = m[-2:] = False
-    m[:, :2] = m[:, -2:] = False
-    r = size // 2
-    grow = np.zeros_like(m)
-    for y, x in np.argwhere(m):
-        grow[y - r:y + r + 1, x - r:x + r + 1] = True
-    want = {(y, x) for y in range(16) for x in range(16)
-            if grow[max(y - r, 0):y + r + 1, max(x - r, 0):x + r + 1].sum() == size * size}
-    assert {(q.y, q.x) for q in R.binary_close(table(spark, m), size, BY).collect()} == want
+    rng = np.random.default_rng(5)
+    m = np.zeros((300, 280), bool)
+    m[:40, :40] = rng.random((40, 40)) < 0.35  # up to the border
+    m[110:140, 120:150] = rng.random((30, 30)) < 0.2  # across blocks
+    m[299, 279] = m[280, 250] = True
+    lo, hi, pad = size // 2, size - size // 2 - 1, 2 * size
+    wide, grow = np.pad(m, pad), np.zeros(np.array(m.shape) + 2 * pad, bool)
+    for y, x in np.argwhere(wide):
+        grow[y - lo:y + hi + 1, x - lo:x + hi + 1] = True
+    seen = np.lib.stride_tricks.sliding_window_view(grow, (size, size)).all((2, 3))
+    want = {(int(y) + lo - pad, int(x) + lo - pad) for y, x in np.argwhere(seen)}
+    assert {(q.y, q.x) for q in R.binary_close(table(spark, m, np.zeros((3, 3), bool)), size, BY).collect()} == want
+    assert R.binary_close(table(spark, m).where("false"), size, BY).count() == 0
 
 
 def test_equal_centres_keep_the_lowest_label(spark):
