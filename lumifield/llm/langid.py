@@ -174,7 +174,7 @@ def learn(labelled: DataFrame, slots: int = SLOTS, share: float = SHARE, least:
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     """Add lang_pred and score to ``docs`` (replacing columns of these names); only the text is looked at.
 
-    score is the share of the text's n-grams that the language's filter holds, less false finds. Null texts and
+    score is the share of the text's n-grams that the language's filter holds, less false finds; texts of any length are read whole. Null texts and
     texts without a letter are ``und`` with score 0; a text with letters of which no filter holds an
     n-gram gets the most frequent language with score 0; without any labelled rows all is ``und``. Ties go to the first name.
     """

@@ -161,8 +161,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
     items with a block at a time, and only links between components come out. So no link is lost to the choice of a
     centre, a bucket of copies makes one pair per copy, and no pair of single items is ever a row but those of the stars.
 
-    Null or empty texts and those without words have n_shingles 0 and are linked with nothing. Equal rows
-    are one item. A null doc_id is linked by its text but never the name of a group with other ids; alone
+    Null or empty texts and those without words have n_shingles 0 and are linked with nothing; texts of any length are compared whole; a similarity at
+    the limit is a link. Equal rows are one item. A null doc_id is linked by its text but never the name of a group with other ids; alone
     its component_id is null. No rows give no rows. Other columns are ignored.
 
     ``one`` adds the column stays: true for a row in no group, and in a group for the rows of one doc_id and text only, the

@@ -137,7 +137,7 @@ def quality_rules(docs: DataFrame, window: int = WINDOW, fence: float = FENCE, m
     out of range). A limit is the median plus ``fence`` quartile distances; quartiles come from sketches of all
     rows that passed the base rules, merged from (language, source) to language to all for groups under ``min_rows``.
 
-    Null or empty texts have no words and fail the base. A null language or source is a group of its own. Equal rows
+    Null or empty texts have no words and fail the base; texts of any length are counted whole; values at a limit are within it. A null language or source is a group of its own. Equal rows
     count each. With no rows that pass, nothing is judged beyond the base. Other columns are ignored.
     """
     rows, _ = store(counts(docs, window), "counts")

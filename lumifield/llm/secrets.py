@@ -277,7 +277,7 @@ def scan(docs: DataFrame, labels: DataFrame | None = None, threshold: float = TH
     without them :func:`rule_label` labels the findings of ``docs`` that it can tell. Where labelled findings of both
     kinds are not at hand, the rule alone decides, and what it doesn't know counts as a secret.
 
-    Null and empty texts have no findings; equal rows have their findings each; a null path is an empty one; no
+    Null and empty texts have no findings, texts of any length are scanned whole; equal rows have their findings each; a probability at ``threshold`` is a secret; a null path is an empty one; no
     rows give no rows. Other columns are ignored.
     """
     found, _ = store(candidates(small_batches(docs)), "candidates")

@@ -1,4 +1,4 @@
-"""Substring dedup: removal of long word sequences that occur more than once (De Bruijn compaction)."""
+"""Substring dedup: removal of long word sequences that occur more than once, grouped by the least hash of their eight-word runs (in place of De Bruijn compaction)."""
 
 from __future__ import annotations
 
@@ -120,7 +120,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, edge: int = EDGE) ->
     4. Settled spans go back to their texts by a join.
 
     Edges of a hot passage are counted before the shuffle, and joins on them are on one counted row.
-    Null or empty texts have no words; texts shorter than a window lose none; equal rows count as occurrences of
+    Null or empty texts have no words; texts shorter than a window lose none, long ones are read whole; equal rows count as occurrences of
     their own; a null doc_id is a value like any other; no rows give no rows. Other columns are ignored.
     """
     d = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_h"), F.col("text").alias("_text"))
