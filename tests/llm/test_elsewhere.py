@@ -22,4 +22,4 @@ def test_another_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     run = subprocess.run([sys.executable, "-c", CODE.format(root=ROOT, shared=str(tmp_path / "shared"))], cwd=tmp_path, env=env,
                          capture_output=True, text=True, timeout=1200)
-    assert run.stdout.count("rows ") == 11, run.stderr[-2000:]
+    assert run.stdout.count("rows ") == 14, run.stderr[-2000:]
