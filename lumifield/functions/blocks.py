@@ -44,15 +44,15 @@ def _kinds(df: DataFrame, by: Sequence[str]) -> str:
 
 def map_blocks(
     px: DataFrame, by: Sequence[str], run: Callable[[Block], pd.DataFrame], schema: str, halo: int, block: int = BLOCK,
-    size: DataFrame | None = None, value: str = "v", fill: float | None = None,
+    size: DataFrame | tuple[DataFrame, int] | None = None, value: str = "v", fill: float | None = None,
 ) -> DataFrame:
     """``run`` on each block of each plane: the columns ``by`` and those of ``schema`` that it returns.
 
     Each sample goes to the blocks whose margin of ``halo`` pixels it lies in. A position without a sample is refused, unless
-    ``fill`` gives its value. ``size`` has by, h, w; it is measured if not given.
+    ``fill`` gives its value. ``size`` has by, h, w; it is measured if not given, and not stored again if it is a pair that ``store`` returned.
     """
     by = list(by)
-    size, n = store(plane_size(px, by) if size is None else size.select(*by, "h", "w"), "size")
+    size, n = size if isinstance(size, tuple) else store(plane_size(px, by) if size is None else size.select(*by, "h", "w"), "size")
 
     def near(c: str, side: str):
         lo, hi = (bucket(F.col(c) + k, block) for k in (-halo, halo))
@@ -79,7 +79,7 @@ def map_blocks(
 
 
 def blocks(
-    px: DataFrame, by: Sequence[str], halo: int, block: int = BLOCK, size: DataFrame | None = None, value: str = "v", fill: float | None = None,
+    px: DataFrame, by: Sequence[str], halo: int, block: int = BLOCK, size: DataFrame | tuple[DataFrame, int] | None = None, value: str = "v", fill: float | None = None,
 ) -> DataFrame:
     """Stored blocks: by, ky, kx, oy, ox, ny, nx (the array's place and sides), h, w (the image's) and data (32-bit floats)."""
     def pack(b: Block) -> pd.DataFrame:
@@ -116,7 +116,7 @@ def visit(
 
 def routed(
     jobs: DataFrame, px: DataFrame, by: Sequence[str], run: Callable[[pd.Series, np.ndarray], pd.DataFrame], schema: str,
-    block: int = BLOCK, size: DataFrame | None = None, value: str = "v", fill: float | None = None, carry: Sequence[str] = (),
+    block: int = BLOCK, size: DataFrame | tuple[DataFrame, int] | None = None, value: str = "v", fill: float | None = None, carry: Sequence[str] = (),
 ) -> DataFrame:
     """``run`` on each job with the window of its plane that it asks for; the columns ``by``, ``carry`` and those of ``schema``.
 

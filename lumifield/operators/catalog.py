@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumifield.functions import constants as K
 from lumifield.functions.lookup import attach
+from lumifield.functions.storage import store
 
 DEFAULTS = {
     "axes": K.AXES, "unit": K.UNIT, "PhysicalSizeX": K.PIXEL_SIZE, "PhysicalSizeY": K.PIXEL_SIZE,
@@ -108,7 +109,7 @@ def with_working_image(px: DataFrame, working: DataFrame, files: DataFrame, imag
     whole stack. Which planes to keep follows from the catalogue alone, so pixels are not joined to
     pixels. ``files``: image, reference_channel, working_ndim; any other number of dimensions leaves the
     image as it is. Samples of an image that ``files`` doesn't list stop the job."""
-    info = files.select(*image, "reference_channel", F.coalesce("working_ndim", F.lit(0)).alias("working_ndim"))
+    info = store(files.select(*image, "reference_channel", F.coalesce("working_ndim", F.lit(0)).alias("working_ndim")), "info")  # once for both joins
     is_ref = F.col("channel") == F.col("reference_channel")
     nd = F.col("working_ndim")
     stop = F.raise_error(F.concat(F.lit("no such image in the catalogue: "), F.to_json(F.struct(*image))))

@@ -14,7 +14,7 @@ from lumifield.functions.blocks import BLOCK, Block, bilinear, blocks, covers, m
 from lumifield.functions.constants import INLIER_PX, MIN_POINTS, TRACK_EPS, TRACK_ERROR, TRACK_MIN_EIGEN, TRACK_SETS
 from lumifield.functions.lookup import attach
 from lumifield.functions.stats import plane_size
-from lumifield.functions.storage import store
+from lumifield.functions.storage import store, store_observed
 from lumifield.operators.registration import MATRIX, _residual2, fit_affine_robust
 
 SLACK = 16  # pixels that a point may move on a level before it is sent to another block
@@ -22,7 +22,7 @@ TAPS = np.array([1, 4, 6, 4, 1]) / 16
 LOT = 256  # points that are worked on at a time
 
 
-def halve(px: DataFrame, by: Sequence[str], size: DataFrame | None = None, fill: float | None = None) -> DataFrame:
+def halve(px: DataFrame, by: Sequence[str], size: DataFrame | tuple[DataFrame, int] | None = None, fill: float | None = None) -> DataFrame:
     """The next level of a pyramid (by, y, x, v): five taps each way, mirrored at the edges, every second row and column, whole numbers."""
     def run(b: Block) -> pd.DataFrame:
         a = np.pad(b.a, [(2 * (o == 0), 2 * (o + n == side)) for o, n, side in ((b.oy, b.a.shape[0], b.h), (b.ox, b.a.shape[1], b.w))],
@@ -35,14 +35,14 @@ def halve(px: DataFrame, by: Sequence[str], size: DataFrame | None = None, fill:
     return map_blocks(px, by, run, "y long, x long, v long", 2, 2 * BLOCK, size, fill=fill)
 
 
-def pyramid(px: DataFrame, by: Sequence[str], levels: int, fill: float | None = None) -> list[DataFrame]:
-    """The image and ``levels`` smaller ones, each half the size of the one before."""
-    size, _ = store(plane_size(px, by), "size")
-    out, at = [px], size
-    for _ in range(levels):
-        small, _ = store(halve(out[-1], by, at, fill if len(out) == 1 else None), "level")
-        out.append(small)
-        at = at.select(*by, F.ceil(F.col("h") / 2).alias("h"), F.ceil(F.col("w") / 2).alias("w"))
+def pyramid(px: DataFrame, by: Sequence[str], levels: int, fill: float | None = None) -> list[tuple[DataFrame, tuple[DataFrame, int]]]:
+    """The image and ``levels`` smaller ones, each half the size of the one before; each with its stored size and the number of planes."""
+    out = [(px, store(plane_size(px, by), "size"))]
+    for level in range(levels):
+        big, size = out[-1]
+        small, _ = store(halve(big, by, size, None if level else fill), "level")
+        half = size[0].select(*by, F.ceil(F.col("h") / 2).alias("h"), F.ceil(F.col("w") / 2).alias("w"))
+        out.append((small, store(half, "size")))
     return out
 
 
@@ -139,7 +139,7 @@ def track(
     state, _ = store(state, "points")
     for level in reversed(range(levels + 1)):
         scale = float(2 ** level)
-        held = [blocks(img[level], plane, widest + 2 + extra, fill=fill if level == 0 else None)
+        held = [blocks(img[level][0], plane, widest + 2 + extra, size=img[level][1], fill=fill if level == 0 else None)
                 for img, plane, extra in ((small[0], source_plane, 1), (small[1], target_plane, SLACK))]
         waits = state.where(F.col("top") < level)
         todo = state.where(F.col("top") >= level).withColumns({
@@ -147,18 +147,20 @@ def track(
             "back_y": zero, "back_x": zero, "steps": F.col("most").cast("long"), "done": F.lit(False), "_y": F.col("y") / scale, "_x": F.col("x") / scale})
         schema = T.StructType([*[f for f in todo.schema.fields if f.name not in ("_y", "_x")], T.StructField("patch", T.BinaryType())])
         todo = visit(todo, held[0], source_plane, lambda p, b, s=scale: _patches(p, b, s), schema, "_y", "_x")
-        last, n_last = store(held[1].groupBy(*target_plane).agg((F.max("h") - 1).alias("_h"), (F.max("w") - 1).alias("_w")), "last")
+        sides, n = small[1][level][1]
+        last = sides.select(*target_plane, (F.col("h") - 1).alias("_h"), (F.col("w") - 1).alias("_w")), n
         ended = None
         while True:
             # beyond the image: the block at its edge
             at = lambda c, end: F.least(F.greatest(F.col(c) / scale + F.col(f"flow_{c}"), zero), F.col(end).cast("double"))
-            placed = attach(todo, (last, n_last), target_plane, spread_by=("rank",)).withColumns({"_y": at("y", "_h"), "_x": at("x", "_w")})
-            moved, _ = store(visit(placed, held[1], target_plane, lambda p, b, s=scale: _follow(p, b, s, eps, least), schema, "_y", "_x"), "moved")
+            placed = attach(todo, last, target_plane, spread_by=("rank",)).withColumns({"_y": at("y", "_h"), "_x": at("x", "_w")})
+            moved, seen = store_observed(visit(placed, held[1], target_plane, lambda p, b, s=scale: _follow(p, b, s, eps, least), schema, "_y", "_x"), "moved",
+                                         open=F.count_if(~F.col("done")))
             done = moved.where("done").drop("patch", "back_y", "back_x", "steps", "done")
             ended = done if ended is None else ended.unionByName(done)
-            todo, left = store(moved.where("NOT done"), "moving")
-            if not left:
+            if not seen["open"]:
                 break
+            todo = moved.where("NOT done")
         state, _ = store(waits.unionByName(ended.where("live")), "points")
     return state.select(*by, "set", "rank", "x", "y", (F.col("x") + F.col("flow_x")).alias("u"), (F.col("y") + F.col("flow_y")).alias("v"), "error")
 
