@@ -24,6 +24,7 @@ from lumifield.functions.lookup import attach, bucket
 from lumifield.functions.stats import plane_size
 from lumifield.functions.storage import store
 from lumifield.operators.intensity import ncc_agg, ncc_columns
+from lumifield.operators.matching import two_nearest
 from lumifield.operators.tiles import core_offset, half_side
 from lumifield.schemas import PLANE
 
@@ -41,50 +42,6 @@ def pair_by_rank(
     return attach(enough, size, by, how="left_semi", spread_by=("rank",))
 
 
-def two_nearest(
-    queries: DataFrame, candidates: DataFrame, by: Sequence[str] = ("tile_id",), chunk: int = 2000
-) -> DataFrame:
-    """Exact nearest and second nearest candidate vector of each query vector inside its group.
-
-    queries: by, q_id, q_vec; candidates: by, c_id, c_vec. A group is cut into chunks of about
-    ``chunk`` rows on both sides and each pair of chunks is one bounded task, so a group that holds
-    a third of all rows is spread over many tasks. A task returns two rows per query, not all pairs.
-    """
-    by = list(by)
-    counts = lambda df, name: df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias(name))
-    parts = counts(queries, "_nq").join(counts(candidates, "_nc"), by)
-    parts, _ = store(parts, "chunks")
-    part_of = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = attach(queries, parts, by, spread_by=("q_id",)).select(
-        *by, "q_id", "q_vec", part_of("q_id", "_nq").alias("_q"), every("_nc").alias("_c"))
-    # the candidate side gets its own key names, so that both sides may come from one table
-    c = attach(candidates, parts, by, spread_by=("c_id",)).select(
-        *[F.col(k).alias(f"{k}_c") for k in by], "c_id", "c_vec",
-        every("_nq").alias("_q_c"), part_of("c_id", "_nc").alias("_c_c"))
-    fields = {f.name: f for f in queries.schema.fields}
-    schema = T.StructType([
-        *[fields[k] for k in by], fields["q_id"],
-        T.StructField("c_id", candidates.schema["c_id"].dataType), T.StructField("dist", T.DoubleType())])
-
-    def nearest(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        if qs.empty or cs.empty:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
-        cs = cs.sort_values("c_id")
-        a, b = (np.stack(df[col].to_numpy()).astype(np.float64) for df, col in ((qs, "q_vec"), (cs, "c_vec")))
-        sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-        k = min(2, len(cs))
-        idx = np.argsort(sq, axis=1, kind="stable")[:, :k]
-        rows = qs[[*by, "q_id"]].loc[qs.index.repeat(k)].reset_index(drop=True)
-        diff = a[:, None, :] - b[idx]
-        return rows.assign(c_id=cs["c_id"].to_numpy()[idx].ravel(), dist=np.sqrt((diff * diff).sum(2)).ravel())
-
-    keys = [*by, "_q", "_c"]
-    found = q.groupBy(*keys).cogroup(c.groupBy(*[f"{k}_c" for k in keys])).applyInPandas(nearest, schema)
-    order = Window.partitionBy(*by, "q_id").orderBy("dist", "c_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2)
-
-
 def ratio_matches(
     nearest: DataFrame, by: Sequence[str] = ("tile_id",), ratio: float = MATCH_RATIO, at_least: int = MIN_POINTS
 ) -> DataFrame:
