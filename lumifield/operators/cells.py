@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumifield.functions.constants import (
@@ -113,47 +113,79 @@ def cell_centroids(labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.avg("x").cast("int").alias("gx"), F.avg("y").cast("int").alias("gy"))
 
 
+LEVELS = 3
+
+
 def nearest_site(
-    queries: DataFrame, sites: DataFrame, query_key: Sequence[str], on: Sequence[str], cell: int = 32
+    queries: DataFrame, sites: DataFrame, query_key: Sequence[str], on: Sequence[str], cell: int = 16
 ) -> DataFrame:
-    """Exact nearest site (x, y) of each query point (gx, gy) with the same ``on`` values.
-
-    Rounds over ever coarser grids: a query looks at the 3 x 3 buckets around it and is settled when
-    a site lies within one bucket side, the distance up to which the nine buckets show everything;
-    the rest go on with doubled buckets, until nine buckets cover all. Ties: least (x, y). Sites
-    are made distinct first, so a bucket is bounded by its area, and a protein that holds most of
-    the beads is spread over space.
+    """Exact nearest site (x, y) of each query point (gx, gy) with the same ``on`` values: query_key, on, d2, x, y.
+
+    Whole-number coordinates; ties go to the least (x, y); queries without a site give no row. Distinct sites lie in leaves
+    of ``cell`` x ``cell`` pixels, so that a leaf is bounded by its area; leaves have the box that their sites fill, and
+    ``LEVELS`` levels of boxes stand over them, with a fan-out that follows from the extent. So the number of rounds is the same
+    at every image side. A query starts at the top and goes down into those boxes whose least distance is not
+    above the best distance that some box proves (each side of a box touches a site); that leaves out nothing that could
+    win. Boxes of one parent travel as an array, leaves as an array of sites, and neither is expanded into rows of
+    its own: a leaf asked by most queries is one side row, joined to rows that any number of tasks may hold.
     """
     on, key = list(on), list(query_key)
-    far = lambda x, y: F.max(F.greatest(F.abs(x), F.abs(y)))
-    sites, seen = store_observed(sites.select(*on, "x", "y").distinct(), "sites", far=far("x", "y"))
-    asked = queries.join(sites.select(*on).distinct(), on, "left_semi").select(*key, *on, "gx", "gy")
-    todo, about = store_observed(asked, "queries", far=far("gx", "gy"))
-    n, extent = about["n"], max(seen["far"] or 0, about["far"] or 0)
-    found = None
-    ring = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    while n:
-        last = cell > extent
-        q = (
-            todo.withColumn("_ky", F.explode(F.transform(ring, lambda d: bucket("gy", cell) + d)))
-            .withColumn("_kx", F.explode(F.transform(ring, lambda d: bucket("gx", cell) + d)))
-        )
-        s = sites.withColumn("_ky", bucket("y", cell)).withColumn("_kx", bucket("x", cell))
-        dx, dy = F.col("x") - F.col("gx"), F.col("y") - F.col("gy")
-        near = q.join(s, [*on, "_ky", "_kx"]).groupBy(*key, *on, "gx", "gy").agg(
-            F.min(F.struct((dx * dx + dy * dy).alias("d2"), "x", "y")).alias("_b"))
-        if not last:
-            near = near.where(F.col("_b.d2") <= cell * cell)
-        done, n_done = store(near.select(*key, *on, "_b.*"), "nearest")
-        found = done if found is None else found.unionByName(done)
-        if last or n_done == n:
-            break
-        todo, n = store(todo.join(done, [*key, *on], "left_anti"), "queries")
-        cell *= 2
-    if found is None:
-        found = todo.select(*key, *on, F.lit(0).cast("long").alias("d2"), "gx", "gy").withColumnsRenamed(
-            {"gx": "x", "gy": "y"}).where(F.lit(False))
-    return found
+    sites, seen = store_observed(
+        sites.select(*on, F.col("x").cast("long"), F.col("y").cast("long")).distinct(), "sites",
+        far=F.max(F.greatest(F.abs("x"), F.abs("y"))))
+    fan = 2
+    while cell * fan ** LEVELS <= (seen["far"] or 0):
+        fan += 1
+    side = {"x0": ("min", "x"), "x1": ("max", "x"), "y0": ("min", "y"), "y1": ("max", "y")}
+    leaves = sites.groupBy(*on, bucket("y", cell).alias("cy"), bucket("x", cell).alias("cx")).agg(
+        *[getattr(F, f)(c).alias(k) for k, (f, c) in side.items()], F.collect_list(F.struct("x", "y")).alias("inside"))
+    leaves, _ = store(leaves, "leaves")
+    levels, boxes = [], leaves.drop("inside")
+    for depth in range(LEVELS):
+        top = depth == LEVELS - 1
+        over = lambda c: (F.lit(0).cast("long") if top else bucket(c, fan)).alias(f"_{c}")
+        grouped = boxes.groupBy(*on, over("cy"), over("cx")).agg(
+            *[getattr(F, f)(k).alias(k) for k, (f, _) in side.items()],
+            F.collect_list(F.struct("cy", "cx", *side)).alias("kids"), F.count(F.lit(1)).alias("n"))
+        stored, about = store_observed(grouped.withColumnsRenamed({"_cy": "cy", "_cx": "cx"}), "boxes", kids=F.sum("n"))
+        levels.append((stored.select(*on, "cy", "cx", "kids"), about["kids"] or 0))
+        boxes = stored.drop("kids", "n")
+
+    place = [*on, "cy", "cx"]
+    rows = queries.select(
+        *key, *on, "gx", "gy", *[F.lit(0).cast("long").alias(c) for c in ("cy", "cx", "low")],
+        F.lit((1 << 63) - 1).alias("best"))
+    for level in reversed(levels):
+        kids = attach(rows, level, place, spread_by=("gy", "gx")).drop("cy", "cx", "low").withColumn(
+            "kids", F.transform("kids", lambda k: F.struct(k.cy.alias("cy"), k.cx.alias("cx"), *_box_bounds(k))))
+        kids = kids.withColumn("best", F.least("best", F.array_min(F.transform("kids", lambda k: k.reach))))
+        # the list is cut before it is opened, so that only boxes that may win become rows
+        rows = kids.withColumn("kid", F.explode(F.filter("kids", lambda k: k.low <= F.col("best")))).select(
+            *key, *on, "gx", "gy", "kid.cy", "kid.cx", "kid.low", "best")
+    point = [*key, *on, "gx", "gy"]
+    rows = rows.withColumn("best", F.min("best").over(Window.partitionBy(*point))).where(F.col("low") <= F.col("best"))
+    # one row per leaf; its size in memory goes by the number of sites
+    near = attach(rows, (leaves.select(*place, "inside"), seen["n"]), place, spread_by=("gy", "gx"))
+    gx, gy = F.col("gx").cast("long"), F.col("gy").cast("long")
+    nearest = F.array_min(F.transform("inside", lambda s: F.struct(
+        ((s.x - gx) * (s.x - gx) + (s.y - gy) * (s.y - gy)).alias("d2"), s.x.alias("x"), s.y.alias("y"))))
+    return near.groupBy(*point).agg(F.min(nearest).alias("_b")).select(*key, *on, "_b.*")
+
+
+def _box_bounds(k: Column) -> tuple[Column, Column]:
+    """Squared distances from (gx, gy) of a box: below none of its sites lie (low), at most that far lies one (reach)."""
+    gx, gy = F.col("gx").cast("long"), F.col("gy").cast("long")
+
+    def along(g: Column, lo: Column, hi: Column) -> tuple[Column, Column, Column]:
+        outside = F.greatest(lo - g, g - hi, F.lit(0).cast("long"))
+        a, b = F.abs(g - lo), F.abs(g - hi)
+        return outside, F.least(a, b), F.greatest(a, b)
+
+    out_x, near_x, far_x = along(gx, k.x0, k.x1)
+    out_y, near_y, far_y = along(gy, k.y0, k.y1)
+    low = out_x * out_x + out_y * out_y
+    reach = F.least(near_x * near_x + far_y * far_y, near_y * near_y + far_x * far_x)
+    return low.alias("low"), reach.alias("reach")
 
 
 def check_schema(beads: DataFrame, labels: DataFrame, protein: DataFrame, code: DataFrame) -> None:

@@ -103,6 +103,34 @@ def test_nearest_site_equals_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("side, shift", [(40, 0), (23000, 0), (300, -150), (2_000_000, -1_000_000)])
+def test_nearest_site_at_every_image_side(spark, side, shift, monkeypatch):
+    rng = np.random.default_rng(side)
+    corner = [(0, int(x) + shift, int(y) + shift) for x, y in rng.integers(0, 30, (700, 2))]  # a hot protein in one corner
+    wide = [(1, int(x) + shift, int(y) + shift) for x, y in rng.integers(0, side, (80, 2))]
+    ring = [(2, 20 + 5 * a, 20 + 5 * b) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))] * 2  # equal distances, repeated rows
+    pts = corner + wide + ring
+    qs = [(i, i % 4, int(x) + shift, int(y) + shift) for i, (x, y) in enumerate(rng.integers(0, side, (120, 2)))] + [(500, 2, 20, 20)]
+    sites = spark.createDataFrame(pts, "protein_idx int, x int, y int")
+    queries = spark.createDataFrame(qs, "label int, protein_idx int, gx int, gy int")
+    stored = []
+    keep = cells.store_observed
+    monkeypatch.setattr(cells, "store_observed", lambda *a, **k: stored.append(a[1]) or keep(*a, **k))
+    got = {r.label: (r.d2, r.x, r.y) for r in cells.nearest_site(queries, sites, ["label"], ["protein_idx"]).collect()}
+    want = {i: min(((x - a) ** 2 + (y - b) ** 2, a, b) for q, a, b in pts if q == p) for i, p, x, y in qs if p < 3}
+    assert got == want
+    assert stored == ["sites", "boxes", "boxes", "boxes"]  # as many rounds at any side
+
+
+@pytest.mark.parametrize("empty", ["queries", "sites"])
+def test_nearest_site_of_nothing(spark, empty):
+    sites = spark.createDataFrame([(0, 1, 1)], "protein_idx int, x int, y int")
+    queries = spark.createDataFrame([(1, 0, 2, 2)], "label int, protein_idx int, gx int, gy int")
+    none = {"queries": (queries.where("false"), sites), "sites": (queries, sites.where("false"))}[empty]
+    out = cells.nearest_site(*none, ["label"], ["protein_idx"])
+    assert out.count() == 0 and out.columns == ["label", "protein_idx", "d2", "x", "y"]
+
+
 def adjusted(img, x, y, compat=False):
     core, ring = img[y - 2:y + 3, x - 2:x + 3], img[y - 7:y + 8, x - 7:x + 8].astype(float)
     med = np.median(core)
