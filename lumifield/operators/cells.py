@@ -15,6 +15,8 @@ from lumifield.functions.stats import grouped_median
 from lumifield.functions.storage import store, store_observed
 from lumifield.schemas import require
 
+MAX_COLUMNS = 2000
+
 
 def clean_color_code(code: DataFrame) -> DataFrame:
     """Without rows and columns that are empty throughout."""
@@ -44,25 +46,74 @@ def code_key(columns: Sequence[str], base: int | Column = 10) -> Column:
     return key
 
 
+def code_space(code: DataFrame) -> tuple[int, int]:
+    """Numbers of cycles and of colours of a colour code, which is read once. Words are whole numbers below 2^63, so more are refused."""
+    n_cycles, n_colours = code_size(code).first()
+    if n_colours is None:
+        raise ValueError("colour code is empty")
+    if max(n_colours, 10) ** n_cycles >= 1 << 63:
+        raise ValueError(f"{n_colours} colours in {n_cycles} cycles give words beyond 64 bits")
+    return n_cycles, n_colours
+
+
+def word_index(columns: Sequence[str], n_colours: int) -> Column:
+    """Place of a colour word in counting order, computed from its colours; NULL where one is missing or not a colour."""
+    valid = F.lit(True)
+    for c in columns:
+        valid = valid & F.col(c).between(0, n_colours - 1)
+    return F.when(valid, code_key(columns, n_colours)).cast(_index_type(len(columns), n_colours))
+
+
+def word_digits(index: str, columns: Sequence[str], n_colours: int) -> list[Column]:
+    """The colours of the word at ``index``, one column per cycle; the inverse of :func:`word_index`."""
+    last = len(columns) - 1
+    return [F.expr(f"CAST(pmod({index} div {n_colours ** (last - i)}L, {n_colours}) AS INT)").alias(c) for i, c in enumerate(columns)]
+
+
+def _index_type(n_cycles: int, n_colours: int) -> str:
+    return "int" if n_colours ** n_cycles < 1 << 31 else "long"
+
+
+def coded_beads(beads: DataFrame, code: DataFrame) -> DataFrame:
+    """Beads whose colours are a word, with its protein_idx. Computed from the bead's own row: no table of words, no join."""
+    cols = code_columns(code)
+    _, n_colours = code_space(code)
+    return beads.withColumn("protein_idx", word_index(cols, n_colours)).where(F.col("protein_idx").isNotNull())
+
+
 def code_words(code: DataFrame) -> DataFrame:
-    """Every colour word (digit columns, protein_idx in counting order, key); colours ** cycles rows."""
+    """Every colour word (digit columns, protein_idx in counting order, key); colours ** cycles rows, counted and decoded in parallel.
+
+    For small codes and reports. The other operators make only the words that their rows have.
+    """
     cols = code_columns(code)
-    size = code_size(code)
-    words = size
-    for c in cols:
-        words = words.withColumn(c, F.explode(F.sequence(F.lit(0), F.col("n_colours") - 1)))
-    return words.select(
-        code_key(cols, F.col("n_colours")).cast("int").alias("protein_idx"), *cols,
-        code_key(cols, F.greatest(F.col("n_colours"), F.lit(10))).alias("code"))
+    n_cycles, n_colours = code_space(code)
+    every = code.sparkSession.range(n_colours ** n_cycles).select(F.col("id").cast(_index_type(n_cycles, n_colours)).alias("protein_idx"))
+    return _decoded(every, cols, n_colours)
+
+
+def _decoded(words: DataFrame, cols: Sequence[str], n_colours: int) -> DataFrame:
+    rows = words.select("protein_idx", *word_digits("protein_idx", cols, n_colours))
+    return rows.select("protein_idx", *cols, code_key(cols, max(n_colours, 10)).alias("code"))
+
+
+def named_words(code: DataFrame) -> DataFrame:
+    """protein_idx, name of the words that the colour code names; the last name in order if it names one twice."""
+    cols = code_columns(code)
+    _, n_colours = code_space(code)
+    rows = code.select(word_index(cols, n_colours).alias("protein_idx"), F.col(code.columns[0]).cast("string").alias("name"))
+    return rows.where("protein_idx IS NOT NULL AND name IS NOT NULL").groupBy("protein_idx").agg(F.max("name").alias("name"))
+
 
+def protein_names(code: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """protein_idx, code, colours, name of ``words`` (rows with protein_idx; all words if not given).
 
-def protein_names(code: DataFrame) -> DataFrame:
-    """protein_idx, code, name: the colour code's protein, else Protein_<idx>."""
+    The name is the colour code's, else Protein_<idx>.
+    """
     cols = code_columns(code)
-    named = code.where(" AND ".join(f"{c} IS NOT NULL" for c in cols)).groupBy(*cols).agg(
-        F.max(code.columns[0]).alias("_name"))
-    words = code_words(code)
-    return words.join(named, cols, "left").select(
+    rows = code_words(code) if words is None else _decoded(words.select("protein_idx"), cols, code_space(code)[1])
+    named = attach(rows, named_words(code).withColumnRenamed("name", "_name"), ["protein_idx"], how="left", spread_by=("protein_idx",))
+    return named.select(
         "protein_idx", "code", *cols,
         F.coalesce("_name", F.concat(F.lit("Protein_"), F.col("protein_idx"))).alias("name"))
 
@@ -217,17 +268,12 @@ def cell_protein_values(
     beads: DataFrame, labels: DataFrame, protein: DataFrame, code: DataFrame, max_size: int = CELL_MAX_SIZE,
     radius: int = 2, surround: int = 7, impute: bool = True, by: Sequence[str] = (), centroids: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(median per cell x protein, centroids, protein names); pairs without a value are absent.
+    """(median per cell x protein, centroids, names of the proteins that beads carry); pairs without a value are absent.
 
     ``centroids`` may come from an earlier run over the same cells.
     """
     by = list(by)
-    cols = code_columns(code)
-    names, n_names = store(protein_names(code), "names")
-    _not_empty("colour code", n_names)
-    coded = attach(
-        beads.select(*by, "x", "y", *cols), (names.select(*cols, "protein_idx"), n_names), cols, spread_by=("y", "x"))
-    coded, _ = store(coded.select(*by, "x", "y", "protein_idx"), "coded")
+    coded, _ = store(coded_beads(beads.select(*by, "x", "y", *code_columns(code)), code).select(*by, "x", "y", "protein_idx"), "coded")
     ok = in_bounds("x", "y", max_size, surround)
     in_cell = cell_of_beads(coded.where(ok), labels, by)
     cells = cell_centroids(labels, by) if centroids is None else centroids
@@ -245,16 +291,43 @@ def cell_protein_values(
     values = bead_intensity(used, protein, radius, surround, by)
     joined = used.join(values, [*by, "x", "y"])
     medians = grouped_median(joined, [*by, "label", "protein_idx"], "intensity", "value")
-    return medians, cells, names
+    return medians, cells, protein_names(code, coded.select("protein_idx").distinct())
 
 
-def cell_table(medians: DataFrame, cells: DataFrame, names: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Wide table: cell_id, global_x, global_y and one column per protein, NULL where there is none."""
-    order = [(r["protein_idx"], r["name"]) for r in names.select("protein_idx", "name").orderBy("protein_idx").collect()]
-    wide = medians.groupBy(*by, "label").pivot("protein_idx", [i for i, _ in order]).agg(F.first("value"))
-    return cells.join(wide, [*by, "label"], "left").select(
+def cell_table(
+    medians: DataFrame, cells: DataFrame, code: DataFrame, by: Sequence[str] = (), max_columns: int = MAX_COLUMNS
+) -> DataFrame:
+    """Wide table: cell_id, global_x, global_y and a column per protein, NULL where there is none.
+
+    If there are up to ``max_columns`` words, each has a column, named by the colour code or Protein_<idx>. Beyond that the
+    words that the code names have one, and the column ``other_proteins`` maps Protein_<idx> to the value for all others that a cell
+    has; where more than ``max_columns`` are named it takes these too, as <name>_<idx>, so that keys stay apart. So the width is bounded and no value is
+    left out. The driver reads at most ``max_columns`` names.
+    """
+    by = list(by)
+    n_cycles, n_colours = code_space(code)
+    every = n_colours ** n_cycles <= max_columns
+    named = {r["protein_idx"]: r["name"] for r in named_words(code).limit(max_columns + 1).collect()}
+    if every:
+        columns = {i: named.get(i, f"Protein_{i}") for i in range(n_colours ** n_cycles)}
+    else:
+        columns = dict(sorted(named.items())) if len(named) <= max_columns else {}
+    first = ["cell_id", "global_x", "global_y"]
+    # columns are asked for by number, so that two proteins of one name stay apart
+    wide = medians.groupBy(*by, "label").pivot("protein_idx", list(columns)).agg(F.first("value")) if columns else medians.select(
+        *by, "label").distinct()
+    out = cells.join(wide, [*by, "label"], "left").select(
         *by, F.col("label").alias("cell_id"), F.col("gx").alias("global_x"), F.col("gy").alias("global_y"),
-        *[F.col(str(i)).alias(name) for i, name in order])
+        *[F.col(str(i)).alias(name) for i, name in columns.items()])
+    if every:
+        return out
+    rest = medians.where(~F.col("protein_idx").isin(list(columns))) if columns else medians
+    told = attach(rest, named_words(code), ["protein_idx"], how="left", spread_by=("label",))
+    label = F.concat_ws("_", F.coalesce("name", F.lit("Protein")), "protein_idx")
+    entries = told.groupBy(*by, F.col("label").alias("cell_id")).agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(label.alias("name"), "value")))).alias("other_proteins"))
+    inner = [c for c in out.columns if c not in (*by, *first)]
+    return out.join(entries, [*by, "cell_id"], "left").select(*by, *first, *[F.col(f"`{c}`") for c in inner], "other_proteins")
 
 
 def build_cell_table(
@@ -263,5 +336,5 @@ def build_cell_table(
     """Checks, then the whole wide table."""
     code = clean_color_code(code)
     check_schema(beads, labels, protein, code)
-    by = params.get("by", ())
-    return cell_table(*cell_protein_values(beads, labels, protein, code, **params), by)
+    medians, cells, _ = cell_protein_values(beads, labels, protein, code, **params)
+    return cell_table(medians, cells, code, params.get("by", ()))

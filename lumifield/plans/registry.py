@@ -668,9 +668,7 @@ def c07_adjusted_median(spark, sf):
 
 def _values(spark, sf):
     beads, labels, protein, code = _cell_inputs(spark, sf)
-    names = cells.protein_names(code)
-    coded = beads.join(names.select("cy0", "cy1", "cy2", "protein_idx"), ["cy0", "cy1", "cy2"])
-    inside = cells.cell_of_beads(coded.where(cells.in_bounds("x", "y")), labels)
+    inside = cells.cell_of_beads(cells.coded_beads(beads, code).where(cells.in_bounds("x", "y")), labels)
     values = cells.bead_intensity(inside, protein)
     return inside.join(values, ["x", "y"])
 
@@ -683,9 +681,8 @@ def c08_cell_protein_values(spark, sf):
 @query
 def c09_nearest_bead(spark, sf):
     beads, labels, _, code = _cell_inputs(spark, sf)
-    names = cells.protein_names(code).select("protein_idx", "cy0", "cy1", "cy2")
-    sites = beads.join(names, ["cy0", "cy1", "cy2"])
-    proteins = names.agg(F.collect_set("protein_idx")).scalar()
+    sites = cells.coded_beads(beads, code)
+    proteins = sites.agg(F.collect_set("protein_idx")).scalar()
     wanted = cells.cell_centroids(labels).withColumn("protein_idx", F.explode(proteins))
     return cells.nearest_site(wanted, sites, ["label"], ["protein_idx"])
 
@@ -703,8 +700,9 @@ def c11_protein_names(spark, sf):
 
 @query
 def c12_cell_table(spark, sf):
-    medians, centroids, names = cells.cell_protein_values(*_cell_inputs(spark, sf), impute=False)
-    return cells.cell_table(medians.withColumn("value", F.round("value", 6)), centroids, names)
+    inputs = _cell_inputs(spark, sf)
+    medians, centroids, _ = cells.cell_protein_values(*inputs, impute=False)
+    return cells.cell_table(medians.withColumn("value", F.round("value", 6)), centroids, inputs[3])
 
 
 @query

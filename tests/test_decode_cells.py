@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -194,6 +196,57 @@ def test_code_words_stay_apart_beyond_ten_colours(spark):
     assert words.count() == 144 and words.select("code").distinct().count() == 144
 
 
+def test_word_index_and_digits_are_inverse(spark):
+    cols = ["cy0", "cy1", "cy2"]
+    words = list(itertools.product(range(4), repeat=3))
+    df = spark.createDataFrame([(i, *w) for i, w in enumerate(words)] + [(-1, 0, 4, 0), (-1, 255, 0, 0), (-1, None, 0, 0)], "i int, cy0 int, cy1 int, cy2 int")
+    rows = df.withColumn("idx", cells.word_index(cols, 4)).collect()
+    assert all(r.idx == (r.i if r.i >= 0 else None) for r in rows)
+    back = spark.range(64).select("id", *cells.word_digits("id", cols, 4)).collect()
+    assert all((r.cy0, r.cy1, r.cy2) == words[r.id] for r in back)
+    big = spark.createDataFrame([(10 ** 8 - 1,)], "id bigint").select(*cells.word_digits("id", [f"c{i}" for i in range(8)], 10)).first()
+    assert tuple(big) == (9,) * 8
+
+
+def long_code_case(spark, named):
+    """8 cycles of 10 colours: 10^8 words, of which three beads have one each."""
+    cols = [f"cy{i}" for i in range(8)]
+    img = np.full((40, 40), 100)
+    img[5:20, 5:20], img[5:20, 21:36], img[22:37, 5:20] = 300, 500, 700
+    protein = spark.createDataFrame([(y, x, int(img[y, x])) for y in range(40) for x in range(40)], "y bigint, x bigint, v bigint")
+    labels = spark.createDataFrame([(y, x, 1) for y in range(40) for x in range(40)], "y bigint, x bigint, label bigint")
+    schema = ", ".join(f"{c} int" for c in cols)
+    code = spark.createDataFrame([(f"P{i}", *[(i // 10 ** k) % 10 for k in range(7, -1, -1)]) for i in named], f"protein string, {schema}")
+    digits = lambda i: [(i // 10 ** k) % 10 for k in range(7, -1, -1)]
+    beads = spark.createDataFrame(
+        [(12, 12, *digits(7)), (28, 12, *digits(12345678)), (12, 29, *digits(99999999)), (28, 29, *[255] * 8)], f"x bigint, y bigint, {schema}")
+    return beads, labels, protein, code
+
+
+def test_long_codes_need_no_row_or_column_per_word(spark, monkeypatch):
+    monkeypatch.setattr(cells, "code_words", None)  # not called
+    beads, labels, protein, code = long_code_case(spark, [7, 99999999, 5])
+    out = cells.build_cell_table(beads, labels, protein, code, max_size=40)
+    assert out.columns == ["cell_id", "global_x", "global_y", "P5", "P7", "P99999999", "other_proteins"]
+    r = out.first()
+    assert (r.P5, r.P7, r.P99999999, r.other_proteins) == (None, 300, 700, {"Protein_12345678": 500})
+    medians, centroids, names = cells.cell_protein_values(beads, labels, protein, code, max_size=40)
+    assert {(n.protein_idx, n.code, n["name"]) for n in names.collect()} == {
+        (7, 7, "P7"), (12345678, 12345678, "Protein_12345678"), (99999999, 99999999, "P99999999")}
+    narrow = cells.cell_table(medians, centroids, code, max_columns=2).first()
+    assert narrow.__fields__ == ["cell_id", "global_x", "global_y", "other_proteins"]
+    assert narrow.other_proteins == {"P7_7": 300, "P99999999_99999999": 700, "Protein_12345678": 500}
+
+
+def test_codes_beyond_64_bits_are_refused(spark):
+    cols = ", ".join(f"cy{i} int" for i in range(20))
+    code = spark.createDataFrame([("A", *[9] * 20)], f"protein string, {cols}")
+    with pytest.raises(ValueError, match="64 bits"):
+        cells.code_space(code)
+    with pytest.raises(ValueError, match="empty"):
+        cells.code_space(code.where("false"))
+
+
 def test_inspector(spark):
     beads = spark.createDataFrame([(5, 3, 4, "(-2, 1, 9, 50)"), (2, 3, 4, "(0, 0, 1, 1)")], "bead_id int, x int, y int, bbox string")
     ask = spark.createDataFrame([(1, 3, 4), (2, 9, 9)], "request_id int, x int, y int")
