@@ -22,7 +22,7 @@ from lumifield.functions.constants import (
 )
 from lumifield.functions.lookup import attach, bucket
 from lumifield.functions.stats import plane_size
-from lumifield.functions.storage import store
+from lumifield.functions.storage import store, store_observed
 from lumifield.operators.intensity import ncc_agg, ncc_columns
 from lumifield.operators.matching import two_nearest
 from lumifield.operators.tiles import core_offset, half_side
@@ -80,18 +80,26 @@ def _residual2() -> Column:
     return ex * ex + ey * ey
 
 
+PACK = 4096  # pairs that one task holds of a group
+FIRST_PART = 64
+VOTES_AT_ONCE = 1 << 20  # residuals held at once
+
+
 def fit_affine_robust(
     pairs: DataFrame, by: Sequence[str] = ("tile_id",), tries: int = 64, inlier_px: float = INLIER_PX,
-    confidence: float = 0.99, most: int = RANSAC_ROUNDS,
+    confidence: float = 0.99, most: int = RANSAC_ROUNDS, pack: int = PACK,
 ) -> DataFrame:
     """Affine from the largest agreeing subset of the pairs.
 
     Triples are drawn by a fixed arithmetic rule (so every run, and every engine, draws the same), each gives
-    a model, the model with most pairs within ``inlier_px`` wins, and its inliers are fitted again. A group has
+    a model, the model with most pairs within ``inlier_px`` wins (the first drawn of equal ones), and its inliers are fitted again. A group has
     ``tries`` draws at first, and four times as many each round until, by its share of inliers so far, a
     clean triple has been drawn with ``confidence``, or ``most`` have been drawn. ``pairs`` carries rank 1..n inside the group.
+
+    Pairs travel in packs of ``pack``, once a round, and models are counted on growing parts of them: see :func:`most_inliers`.
     """
     by = list(by)
+    pairs, _ = store(pairs.select(*by, "rank", *[F.col(c).cast("double") for c in "xyuv"]), "pairs")
     sizes = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_POINTS)
     todo, left = store(sizes, "sizes")
     best, done = None, 0
@@ -104,12 +112,8 @@ def fit_affine_robust(
             .select(*by, "try", "rank").distinct()
         )
         models = fit_affine(draws.join(pairs, [*by, "rank"]), [*by, "try"])
-        votes = models.join(pairs, by).groupBy(*by, "try", *MATRIX).agg(
-            F.count_if(_residual2() <= inlier_px * inlier_px).alias("inliers"))
-        if best is not None:
-            votes = votes.unionByName(best)
-        best, _ = store(votes.groupBy(*by).agg(F.max_by(
-            F.struct("try", *MATRIX, "inliers"), F.struct("inliers", -F.col("try"))).alias("_m")).select(*by, "_m.*"), "models")
+        found = most_inliers(models, pairs, (todo, left), by, inlier_px, best, pack)
+        best, _ = store(_most_voted(found if best is None else found.unionByName(best), by), "models")
         if tries >= most:
             break
         seen = todo.join(best.select(*by, "inliers"), by, "left").withColumn(
@@ -124,6 +128,91 @@ def fit_affine_robust(
     return fit_affine(inliers.select(*by, "x", "y", "u", "v"), by)
 
 
+def _most_voted(votes: DataFrame, by: list[str]) -> DataFrame:
+    first = F.struct("inliers", -F.col("try"))
+    return votes.groupBy(*by).agg(F.max_by(F.struct("try", *MATRIX, "inliers"), first).alias("_m")).select(*by, "_m.*")
+
+
+def most_inliers(
+    models: DataFrame, pairs: DataFrame, sizes: tuple[DataFrame, int], by: list[str], inlier_px: float,
+    known: DataFrame | None = None, pack: int = PACK,
+) -> DataFrame:
+    """The model of each group (by, try, matrix) with most pairs within ``inlier_px``: by, try, matrix, inliers.
+
+    Equal counts: least try. ``sizes`` (by, _n) with their row count; ``known``: a model counted before, at whose ``inliers`` a new
+    one has to arrive. A group without a model of enough inliers may give none if ``known`` has one.
+
+    A group is dealt into packs of about ``pack`` pairs by a hash. A model counts in one task per pack; after each part, it
+    is given up once its count and all pairs that are left stay below the best count so far. A model's count can only rise, so
+    the winner is that of counting every model on every pair. A group of one pack is decided in its task, in parts of 64,
+    128, 256, ... pairs; others in rounds over 1, 2, 4, ... packs, whose counts are summed. What moves is pairs and
+    models once per pack, never models times pairs.
+    """
+    packs, seen = store_observed(
+        sizes[0].select(*by, "_n", F.ceil(F.col("_n") / F.lit(pack)).cast("int").alias("_packs")), "packs", most=F.max("_packs"))
+    fewest = F.lit(0).cast("long")
+    if known is not None:
+        packs = packs.join(known.select(*by, F.col("inliers").alias("_least")), by, "left").withColumn("_least", F.coalesce("_least", fewest))
+    else:
+        packs = packs.withColumn("_least", fewest)
+    dealt = attach(pairs, (packs, sizes[1]), by, spread_by=("rank",)).withColumn(
+        "_pack", F.pmod(F.xxhash64("rank"), F.col("_packs")).cast("int"))
+    dealt = dealt.select(*by, "_pack", "rank", *"xyuv", "_n", "_least")
+    alive, n_alive = store(models.select(*by, "try", *MATRIX, F.lit(0).cast("long").alias("inliers")), "models")
+    schema = T.StructType([*alive.schema.fields[:-1], T.StructField("inliers", T.LongType()), T.StructField("_counted", T.LongType())])
+    near = inlier_px * inlier_px
+
+    def count(ms: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
+        if ms.empty or ps.empty:
+            return pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema.fields})
+        ps = ps.sort_values("rank")
+        x, y, u, v = (ps[c].to_numpy()[None, :] for c in "xyuv")
+        alone, least = len(ps) == ps["_n"].iloc[0], int(ps["_least"].iloc[0])
+        m = ms.sort_values("try").reset_index(drop=True)
+        votes, start, part = np.zeros(len(m), np.int64), 0, FIRST_PART
+        while start < len(ps):
+            at = slice(start, start + part)
+            group = max(1, VOTES_AT_ONCE // part)
+            for g in (slice(i, i + group) for i in range(0, len(m), group)):
+                a, b, tx, c, d, ty = (m[k].to_numpy()[g, None] for k in MATRIX)
+                ex = a * x[:, at] + b * y[:, at] + tx - u[:, at]
+                ey = c * x[:, at] + d * y[:, at] + ty - v[:, at]
+                votes[g] += (ex * ex + ey * ey <= near).sum(1)
+            start, part = min(len(ps), at.stop), 2 * part
+            if alone:
+                least = max(least, int(votes.max()))
+                stay = votes + (len(ps) - start) >= least
+                m, votes = m[stay].reset_index(drop=True), votes[stay]
+                if m.empty:
+                    break
+        if alone and len(m):
+            m, votes = m.iloc[[int(votes.argmax())]], votes[[int(votes.argmax())]]
+        return m[[*by, "try", *MATRIX]].assign(inliers=votes, _counted=np.int64(len(ps)))
+
+    first, step, total = 0, 1, int(seen["most"] or 0)
+    whole = [*by, "try", *MATRIX]
+    while first < total and n_alive:
+        last = min(total, first + step)
+        here = (F.col("_pack") >= first) & (F.col("_pack") < last)
+        places = packs.select(*by, F.explode(F.expr(f"filter(sequence({first}, {last - 1}), p -> p < _packs)")).alias("_pack"))
+        asked = alive.drop("inliers").join(places, by)
+        keys = [*by, "_pack"]
+        counted = asked.groupBy(*keys).cogroup(dealt.where(here).groupBy(*keys)).applyInPandas(count, schema)
+        if total == 1:
+            return counted.drop("_counted")
+        # a lone pack has given up all models of its group but one
+        before = alive.withColumn("_counted", F.lit(0).cast("long")) if not first else alive
+        lone = packs.where(F.col("_packs") == 1).select(*by)
+        old = before.join(lone, by, "left_anti") if not first else before
+        sums = old.unionByName(counted).groupBy(*whole).agg(F.sum("inliers").alias("inliers"), F.sum("_counted").alias("_counted"))
+        sums, _ = store(sums, "votes")
+        top = sums.groupBy(*by).agg(F.max("inliers").alias("_top")).join(packs.select(*by, "_n", "_least"), by)
+        alive, n_alive = store(attach(sums, top, by, spread_by=("try",)).where(
+            F.col("inliers") + F.col("_n") - F.col("_counted") >= F.greatest("_top", "_least")).select(*whole, "inliers", "_counted"), "models")
+        first, step = last, 2 * step
+    return _most_voted(alive.select(*whole, "inliers"), by)
+
+
 def shift_search(
     fixed: DataFrame, moving: DataFrame, by: Sequence[str] = ("tile_id",), radius: int = 2,
     plane: Sequence[str] = (), value: str = "v",
