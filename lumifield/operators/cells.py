@@ -135,7 +135,8 @@ def bead_intensity(
     """Adjusted median at each distinct position (x, y): by, x, y, intensity.
 
     Core: (2 radius + 1) square; surround: the 15 x 15 square without the core. ``compat`` leaves
-    out what absolute indices into the cut-out would hit instead of the core.
+    out what absolute indices into the cut-out would hit instead of the core. A position outside the image whose surround still
+    has samples, but whose core has none, has the intensity NULL; one without any sample gives no row.
     """
     points = positions.select(*by, F.col("y").alias("py"), F.col("x").alias("px")).distinct()
     near = window_join(points, protein, surround, surround + 1, by)
@@ -155,7 +156,7 @@ def bead_intensity(
     lifted = F.when((around > SURROUND_RATIO * mean) & (med > CORE_MEDIAN), med - line + LINEAR_SHIFT).otherwise(med)
     floored = F.when(lifted < 1, F.lit(1.0)).otherwise(lifted)
     value = F.when(F.col("n") == 225, floored).otherwise(med)
-    return g.where(med.isNotNull()).select(*by, F.col("px").alias("x"), F.col("py").alias("y"), value.alias("intensity"))
+    return g.select(*by, F.col("px").alias("x"), F.col("py").alias("y"), value.alias("intensity"))
 
 
 def cell_centroids(labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:

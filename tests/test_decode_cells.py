@@ -162,6 +162,29 @@ def test_adjusted_median(spark, compat):
         assert abs(got[(x, y)] - adjusted(img, x, y, compat)) < 1e-6
 
 
+def test_position_whose_core_lies_outside_the_image(spark):
+    pos = spark.createDataFrame([(5, 22), (5, 21), (23, 23), (5, 27), (60, 60)], "x bigint, y bigint")
+    protein = spark.createDataFrame([(y, x, 100) for y in range(20) for x in range(20)], "y bigint, x bigint, v bigint")
+    got = {(r.x, r.y): r.intensity for r in cells.bead_intensity(pos, protein).collect()}
+    assert got == {(5, 22): None, (5, 21): 100.0, (23, 23): None}
+
+
+@pytest.mark.parametrize("side", [26, 29])
+def test_adjusted_median_equals_sql_where_beads_stand_over_the_edge(spark, tmp_path, side):
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__ as contract
+
+    n = side * side - 3
+    spark.range(n).selectExpr("id AS event_id", "CAST(id % 173 AS DOUBLE) AS value").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(f"SELECT x, y, intensity FROM ({contract.oracle_sql()['c07_adjusted_median']})").fetchall()
+    got = contract.queries()["c07_adjusted_median"](spark, str(tmp_path)).select("x", "y", "intensity").collect()
+    place = lambda r: (r[0], r[1])
+    assert sorted(map(tuple, got), key=place) == sorted(want, key=place)
+    assert (None in {v for _, _, v in want}) == (side == 26)
+
+
 def test_cell_table_by_hand(spark):
     img = np.full((60, 60), 100)
     img[10:15, 10:15], img[30:35, 30:35] = 400, 800
