@@ -13,6 +13,7 @@ from lumifield.operators.catalog import with_working_image
 from lumifield.schemas import PIXELS, PLANE
 
 TILE = 256  # pixels are clustered by squares of this side, so that crops skip row groups
+TASK_ROWS = 16 * TILE * TILE  # pixels that a task sorts and writes, about
 
 
 def list_stacks(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,14 +57,21 @@ def read_stack(
 
 
 def write_stack(px: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Store pixels by file, cycle and channel, clustered by square blocks."""
-    ky, kx = bucket("y", TILE), bucket("x", TILE)
-    (
-        px.select(*[F.col(f.name).cast(f.dataType) for f in PIXELS])
-        .repartition(*PLANE, bucket("y", TILE * 16), bucket("x", TILE * 16))
-        .sortWithinPartitions(*PLANE, ky, kx, "y", "x")
-        .write.mode(mode).partitionBy(*PLANE).parquet(path)
-    )
+    """Store pixels by file, cycle and channel, clustered by square blocks. ``px`` is read three times, as :func:`_clustered` tells."""
+    rows = px.select(*[F.col(f.name).cast(f.dataType) for f in PIXELS])
+    _clustered(rows, PLANE).write.mode(mode).partitionBy(*PLANE).parquet(path)
+
+
+def _clustered(rows: DataFrame, planes: Sequence[str]) -> DataFrame:
+    """Rows sorted by plane and square block, in as many range partitions as hold about ``TASK_ROWS`` rows each.
+
+    So a task's sort is as large for one huge plane as for many small ones, whatever the size of the data. The rows
+    are counted and sampled before they are shuffled: those of a costly plan are better stored first.
+    """
+    spark = rows.sparkSession
+    blocks = [*planes, bucket("y", TILE), bucket("x", TILE)]
+    n = max(-(-rows.count() // TASK_ROWS), spark.sparkContext.defaultParallelism)
+    return rows.repartitionByRange(n, *blocks).sortWithinPartitions(*blocks, "y", "x")
 
 
 def crop(px: DataFrame, max_size: int | Column) -> DataFrame:
@@ -92,5 +100,4 @@ def export_rows(
 
 def export_stacks(rows: DataFrame, folder: str) -> None:
     """Write exported samples, one directory per output name and channel."""
-    blocks = rows.repartition("out_name", "channel", bucket("y", TILE * 16), bucket("x", TILE * 16))
-    blocks.sortWithinPartitions("out_name", "channel", "y", "x").write.partitionBy("out_name", "channel").parquet(folder)
+    _clustered(rows, ["out_name", "channel"]).write.partitionBy("out_name", "channel").parquet(folder)

@@ -55,6 +55,18 @@ def test_stored_stack_prunes_and_pushes_down(spark, tmp_path):
     assert (info.n_channels, info.height, info.width, info.dtype) == (3, 10, 10, "uint16")
 
 
+def test_a_task_writes_a_bounded_part_of_a_plane(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stacks, "TILE", 2)
+    monkeypatch.setattr(stacks, "TASK_ROWS", 20, raising=False)
+    stacks.write_stack(stack(spark), str(tmp_path / "px"))
+    stacks.export_stacks(stack(spark).withColumn("out_name", F.col("file")), str(tmp_path / "out"))
+    for name in ("px", "out"):  # six and three planes of 100 and 200 pixels
+        back = spark.read.parquet(str(tmp_path / name)).withColumn("part", F.input_file_name())
+        size = {r["part"]: r["count"] for r in back.groupBy("part").count().collect()}
+        assert sum(size.values()) == 600 and max(size.values()) <= 40
+    assert sorted(map(tuple, stacks.read_stack(spark, str(tmp_path / "px")).collect())) == sorted(map(tuple, stack(spark).collect()))
+
+
 def test_export_applies_working_image_crop_and_name(spark, tmp_path):
     px = stack(spark).where("cycle = 0")
     files = catalog.with_defaults(spark.createDataFrame(
