@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from lumifield.llm.words import small_batches
 
 SPACE = "▁"
+LETTER, MARK = "[A-Za-zÀ-ÖØ-öø-ɏ]", f"[^A-Za-zÀ-ÖØ-öø-ɏ{SPACE}\n]"  # Latin letters, and what is neither they nor space
 REMEMBER = 300_000  # segments, and pairs of pieces, whose result is kept
 
 
@@ -38,7 +40,10 @@ class Vocabulary:
         inner = {c for p in self.ids if len(p) > 1 for c in p}
         self.breaks = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self.lone_newline = "\n" not in inner
+        self.pure = not any(re.search(f"{LETTER}{MARK}|{MARK}{LETTER}", p) for p in self.ids)
         self._pairs: dict[tuple[str, str], bool] = {}
+        self.next: dict[str, dict[str, bool]] = {}  # piece -> what may stand right after it, and what may not
+        self._nexts = 0
         # lengths of the pieces of three characters and more by their last three, longest first
         ends: dict[str, set[int]] = {}
         for p in self.ids:
@@ -80,6 +85,23 @@ class Vocabulary:
             got = self._pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
         return got
 
+    def after(self, a: str) -> dict[str, bool]:
+        """The known answers of :meth:`may` for texts right after piece ``a``."""
+        got = self.next.get(a)
+        if got is None:
+            got = self.next[a] = {}
+        return got
+
+    def may(self, a: str, b: str) -> bool:
+        """May ``b``, a piece or a character, stand right after ``a`` in a result of merging?"""
+        if self._nexts > REMEMBER:
+            for known in self.next.values():
+                known.clear()
+            self._nexts = 0
+        ok = self.after(a)[b] = self.made(b) and (not a or self.follows(a, b))
+        self._nexts += 1
+        return ok
+
     def made(self, a: str) -> bool:
         """Is piece ``a`` what merging makes of its own text?"""
         return len(a) == 1 or self.follows("", a)
@@ -197,9 +219,12 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, remember: int = REMEMBER) -> None:
         self.v, self.remember, self.known, self.packed = vocabulary, remember, {}, {}
-        parts = [f"{SPACE}*[^{SPACE}\n]+|{SPACE}+" if vocabulary.lone_newline else f"{SPACE}*[^{SPACE}]+|{SPACE}+"]
-        if vocabulary.lone_newline:
-            parts.append("\n")
+        if vocabulary.lone_newline and vocabulary.pure:
+            parts = [f"{SPACE}*(?:{LETTER}+|{MARK}+)", f"{SPACE}+", "\n"]
+        elif vocabulary.lone_newline:
+            parts = [f"{SPACE}*[^{SPACE}\n]+", f"{SPACE}+", "\n"]
+        else:
+            parts = [f"{SPACE}*[^{SPACE}]+", f"{SPACE}+"]
         self.cut = re.compile("|".join(parts)).findall if vocabulary.breaks else lambda t: [t]
 
     def _ids(self, piece: str) -> bytes:
@@ -211,26 +236,21 @@ class Encoder:
 
     def _window(self, text: str) -> list[str]:
         """The path of :class:`Viterbi` for a merge model and a text that fits its window, where nothing is committed before the end."""
-        v, n, pair, ids, ends, short = self.v, len(text), self.v._pairs, self.v.ids, self.v.ends, (2, 1)
-        last: list[str | None] = [""] + [None] * n
+        v, n, ids, ends, short = self.v, len(text), self.v.ids, self.v.ends, (2, 1)
+        last: list[str] = [""] * (n + 1)
+        rows: list[dict[str, bool] | None] = [v.after("")] + [None] * n  # of the piece that ends there
         for j in range(1, n + 1):
             for size in ends.get(text[j - 3 : j], short) if j > 2 else short:
                 i = j - size
-                if i < 0 or (before := last[i]) is None:
+                if i < 0 or (row := rows[i]) is None:
                     continue
                 piece = text[i:j]
-                if size > 1:
-                    if piece not in ids:
-                        continue
-                    ok = pair.get(("", piece))
-                    if not (v.follows("", piece) if ok is None else ok):
-                        continue
-                if before:
-                    ok = pair.get((before, piece))
-                    if not (v.follows(before, piece) if ok is None else ok):
-                        continue
-                last[j] = piece
-                break
+                if size > 1 and piece not in ids:
+                    continue
+                ok = row.get(piece)
+                if ok or (ok is None and v.may(last[i], piece)):
+                    last[j], rows[j] = piece, v.next.get(piece) or v.after(piece)
+                    break
         out = []
         while n:
             out.append(last[n])
@@ -262,6 +282,18 @@ class Encoder:
         return b"".join([known(s) or segment(s) for s in self.cut(text)])
 
 
+@lru_cache(maxsize=2)
+def _vocabulary(path: str) -> Vocabulary:
+    """The model, read once by each Python worker, whatever the number of its tasks."""
+    return Vocabulary.load(path)
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """An encoder that a worker's tasks share, with the segments and pairs that it remembers."""
+    return Encoder(_vocabulary(path))
+
+
 def decode(vocabulary: Vocabulary, ids: Iterable[int], chunk: int = 1 << 16) -> str:
     """Text of ids, decoded ``chunk`` pieces at a time; a character cut between two chunks is carried over."""
     table, utf8, out, ids = vocabulary.bytes, codecs.getincrementaldecoder("utf-8")("replace"), [], iter(ids)
@@ -273,7 +305,7 @@ def decode(vocabulary: Vocabulary, ids: Iterable[int], chunk: int = 1 << 16) ->
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(Vocabulary.load(path))
+    encoder = _encoder(path)
     for part in batches:
         rest = part.drop_columns(["_text"])
         text = part.column("_text")
@@ -284,7 +316,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    v = Vocabulary.load(path)
+    v = _vocabulary(path)
     for part in batches:
         rest = part.drop_columns(["ids"])
         for lo in range(0, part.num_rows, 256):
