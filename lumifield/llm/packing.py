@@ -6,6 +6,7 @@ import os
 from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,13 +48,14 @@ class WordTokens(dict):
     def parts(word: str) -> list[str]:
         """A word of letters, and the marks after it, where the tokenizer splits it anyway."""
         core = word.rstrip(MARKS)
-        return [core, word[len(core) :]] if core != word and core.isalpha() else [word]
+        return [core, word[len(core) :]] if core != word and core.isalpha() and "İ" not in core else [word]
 
     def learn(self, words: list[str]) -> None:
         new = set(words).difference(self)
         if len(self) + len(new) > self.remember:
+            lately = {w: self[w] for w in self.keys() & set(words)}
             self.clear()
-            new = set(words)
+            self.update(lately)
         parts = {w: self.parts(w) for w in new}
         fresh = list(set().union(*parts.values()).difference(self))
         plain = [w for w in fresh if w.isalpha() and max(w) < "\u0250" and "İ" not in w]
@@ -75,7 +77,9 @@ class WordTokens(dict):
         texts = pc.replace_substring(texts.fill_null(""), "\n", " ")
         # a special token's bracket, or letters whose lower case depends on their place or is not one letter: left to the tokenizer
         odd = pc.match_substring_regex(texts, "<\\||[İΣ]")
-        lists = pc.split_pattern(pc.if_else(odd, texts, pc.utf8_lower(texts)), " ")
+        # marks after a word become a word of their own, so that a word is looked up once whatever follows it
+        plain = pc.replace_substring_regex(pc.utf8_lower(texts), f"([a-zß-öø-ɏ])([{MARKS}]+)( |$)", r"\1 \2\3")
+        lists = pc.split_pattern(pc.if_else(odd, texts, plain), " ")
         words = lists.flatten().dictionary_encode()
         different = words.dictionary.to_pylist()
         self.learn(different)
@@ -89,6 +93,12 @@ class WordTokens(dict):
         return [ids[a:b] for a, b in zip(off[:-1], off[1:])]
 
 
+@lru_cache(maxsize=2)
+def _word_tokens(path: str) -> WordTokens:
+    """The tokenizer, read once by each Python worker; its tasks share the words that it remembers."""
+    return WordTokens(path)
+
+
 Piece = tuple[int, int, int]  # length, document, start
 
 
@@ -244,4 +254,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, keep: list[str], longest: in
     from pyspark.sql.pandas.types import to_arrow_schema
 
     names = to_arrow_schema(docs.sparkSession.createDataFrame([], out).schema)
-    return got.mapInArrow(lambda it: _pack(it, lambda: WordTokens(tokenizer), names, longest, pool, step_tokens), out)
+    return got.mapInArrow(lambda it: _pack(it, lambda: _word_tokens(tokenizer), names, longest, pool, step_tokens), out)
