@@ -50,6 +50,17 @@ def bucket(c: Column | str, size: int) -> Column:
     return F.floor(c / F.lit(size))
 
 
+def _by_bucket(copies: DataFrame, cells: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Join by bucket in which the samples are never broadcast.
+
+    Spark takes samples that a plan makes from few stored bytes (one row exploded into its cycles and channels) for a small
+    table, and would gather all of them in the driver. So the copies are stored and counted, and the count decides: few
+    are broadcast, and the samples are not shuffled; many are merged with the samples, bucket by bucket.
+    """
+    copies, n = store(copies, "copies")
+    return F.broadcast(copies).join(cells, on) if n <= BROADCAST_ROWS else copies.join(cells.hint("merge"), on)
+
+
 def window_join(
     points: DataFrame,
     pixels: DataFrame,
@@ -78,7 +89,7 @@ def window_join(
         & (F.col("x") >= F.col("px") - before)
         & (F.col("x") < F.col("px") + after)
     )
-    return spread.join(cells, [*by, "_by", "_bx"]).where(inside).drop("_by", "_bx")
+    return _by_bucket(spread, cells, [*by, "_by", "_bx"]).where(inside).drop("_by", "_bx")
 
 
 def box_join(boxes: DataFrame, pixels: DataFrame, by: Sequence[str] = (), side: int = 16) -> DataFrame:
@@ -94,4 +105,4 @@ def box_join(boxes: DataFrame, pixels: DataFrame, by: Sequence[str] = (), side:
     cells = pixels.withColumn("_by", bucket("y", side)).withColumn("_bx", bucket("x", side))
     inside = (
         (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")))
-    return spread.join(cells, [*by, "_by", "_bx"]).where(inside).drop("_by", "_bx")
+    return _by_bucket(spread, cells, [*by, "_by", "_bx"]).where(inside).drop("_by", "_bx")
