@@ -6,7 +6,6 @@ import os
 from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumifield.llm.kept import kept
 from lumifield.llm.words import small_batches
 
 LONGEST = 2048
@@ -93,10 +93,9 @@ class WordTokens(dict):
         return [ids[a:b] for a, b in zip(off[:-1], off[1:])]
 
 
-@lru_cache(maxsize=2)
 def _word_tokens(path: str) -> WordTokens:
     """The tokenizer, read once by each Python worker; its tasks share the words that it remembers."""
-    return WordTokens(path)
+    return kept("word tokens", path, WordTokens)
 
 
 Piece = tuple[int, int, int]  # length, document, start

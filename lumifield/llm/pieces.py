@@ -5,7 +5,6 @@ from __future__ import annotations
 import codecs
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -13,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumifield.llm.kept import kept
 from lumifield.llm.words import small_batches
 
 SPACE = "▁"
@@ -282,16 +282,14 @@ class Encoder:
         return b"".join([known(s) or segment(s) for s in self.cut(text)])
 
 
-@lru_cache(maxsize=2)
 def _vocabulary(path: str) -> Vocabulary:
     """The model, read once by each Python worker, whatever the number of its tasks."""
-    return Vocabulary.load(path)
+    return kept("vocabulary", path, Vocabulary.load)
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
     """An encoder that a worker's tasks share, with the segments and pairs that it remembers."""
-    return Encoder(_vocabulary(path))
+    return kept("encoder", path, lambda p: Encoder(_vocabulary(p)))
 
 
 def decode(vocabulary: Vocabulary, ids: Iterable[int], chunk: int = 1 << 16) -> str:
